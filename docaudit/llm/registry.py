@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docaudit.llm.bpe import op5_bpe_encode_decode
+from docaudit.llm.quality import op3_quality_classifier
+from docaudit.llm.tokens import op2_token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_bpe_encode_decode,)}
+    return {f.__name__: f for f in (op2_token_counts, op3_quality_classifier, op5_bpe_encode_decode)}
 
 
 def oracle_sql() -> dict[str, str]:
