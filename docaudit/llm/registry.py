@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docaudit.llm.bpe import op5_bpe_encode_decode
+from docaudit.llm.neardup import op6_minhash_near_dedup
 from docaudit.llm.quality import op3_quality_classifier
 from docaudit.llm.tokens import op2_token_counts
 
@@ -14,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_token_counts, op3_quality_classifier, op5_bpe_encode_decode)}
+    return {f.__name__: f for f in (op2_token_counts, op3_quality_classifier, op5_bpe_encode_decode, op6_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
