@@ -6,20 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docaudit.llm import mixing
+from docaudit.llm import mixing, topk
+from docaudit.llm.ann import op4_additive_quantisation
 from docaudit.llm.bpe import op5_bpe_encode_decode
 from docaudit.llm.mixing import op10_mix_to_weights
 from docaudit.llm.neardup import op6_minhash_near_dedup
 from docaudit.llm.pii import op7_private_data
 from docaudit.llm.quality import op3_quality_classifier
 from docaudit.llm.tokens import op2_token_counts
+from docaudit.llm.topk import op8_exact_top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_token_counts, op3_quality_classifier, op5_bpe_encode_decode, op6_minhash_near_dedup, op7_private_data, op10_mix_to_weights)}
+    operators = (
+        op2_token_counts, op3_quality_classifier, op4_additive_quantisation, op5_bpe_encode_decode,
+        op6_minhash_near_dedup, op7_private_data, op8_exact_top_k, op10_mix_to_weights,
+    )
+    return {f.__name__: f for f in operators}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mix_to_weights": mixing.ORACLE}
+    return {"op8_exact_top_k": topk.ORACLE, "op10_mix_to_weights": mixing.ORACLE}
