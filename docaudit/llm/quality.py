@@ -135,6 +135,21 @@ def score(docs: DataFrame, weights: np.ndarray, key: str = "doc_id", threshold:
     return slim.mapInArrow(run, "k long, score double, predicted int").select(F.col("k").cast(kind).alias(key), "score", "predicted")
 
 
+def accepted(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns; each text goes through one scoring pass and no join."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float64))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shared.value
+        least = np.log(threshold / (1 - threshold))
+        for batch in batches:
+            total = np.array([w[features(t.as_py())].sum() + w[-1] for t in batch.column(at)], dtype=np.float64)
+            yield batch.filter(pa.array(total >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(key: str = "doc_id") -> Column:
     """crc32 of doc_id as text, modulo 5; remainder 0 is held out."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % 5
