@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from docaudit.functions import text as T
 from docaudit.operators import combine as C
 from docaudit.operators import watch as W
 from docaudit.plans.registry import query, table
+from docaudit.sources.shared import shared_dir
 from docaudit.sources import html as H
 from docaudit.streaming import streams as S
 
@@ -209,20 +210,10 @@ def _is_file(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
 
 
-def _shared(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="docaudit-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def _collected(stream: DataFrame, name: str, mode: str) -> DataFrame:
     """Run a stream over what is there now and read what it wrote."""
-    import uuid
-
     spark = stream.sparkSession
-    at = f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = stream.schema
     if mode == "append":
         stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", at + "/state").trigger(availableNow=True).start(at + "/rows").awaitTermination()

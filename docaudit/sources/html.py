@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.functions.text import normalize_spaces
+from docaudit.sources.shared import checkpointed
 
 #: Tags without visible text, page furniture, tags that begin a line, tags without an end, and kept attributes.
 SKIP = frozenset("script style noscript template svg canvas iframe object embed head title meta link audio video".split())
@@ -189,13 +190,3 @@ def reachable(links: DataFrame, start: DataFrame, max_level: int = 10, limit: in
         if seen.limit(limit).count() >= limit:
             break
     return seen.orderBy("level", "url").limit(limit)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder that ``spark.checkpoint.dir`` names, or in a folder of our own where it is unset (tests)."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="docaudit-"))
-    return df.checkpoint()
