@@ -11,10 +11,11 @@ if 100 * intersection >= 75 * union, confirmed on the full sets; a component is
    do). So in any order of keys that all nodes use, two linked nodes share a key among their first
    K - T + 1: the prefix. With rare keys first, keys of very common passages fall outside; long lists are
    skipped, and nodes with too few shared keys leave altogether.
-4. In each prefix list all nodes are compared with the first one only, which is linear, and confirmed links
-   are merged into components. Lists whose nodes are then in one component are done. In the others, pairs of
-   different components that agree in T coordinates are confirmed too; long lists are dealt out there as
-   pairs of blocks of ``BLOCK`` nodes, so no list has to fit in a task.
+4. The prefix lists that begin with the same node are merged into one group, so a node that shares most of its
+   keys with the same others goes there once. In a group, pairs that agree in T coordinates are confirmed on the
+   full sets; pairs that links already join are left out, and only the links that join something are emitted. A
+   group of over ``BLOCK`` nodes is dealt out as pairs of blocks, so no group has to fit in a task and no pair
+   is ever a row. What links join are the components.
 
 Defined results: empty texts, null texts and texts of white space have an empty set, are linked with nothing
 and are kept. A row without doc_id takes no part: component_id null, kept. Rows that repeat a doc_id each come
@@ -39,7 +40,7 @@ from docaudit.llm.graph import components
 WIDTH = 5
 K, T = 64, 32
 PERCENT = 75
-BLOCK = 256
+BLOCK = 512
 CACHE_WORDS = 400_000
 
 _rng = np.random.RandomState(20240229)
@@ -79,22 +80,17 @@ def node_of(found: np.ndarray) -> int:
 
 
 def signature(found: np.ndarray) -> np.ndarray:
-    """K 32-bit coordinates: the least value of the set under K hash functions."""
+    """K coordinates: the least value of the set under K hash functions."""
     least = np.full(K, np.iinfo(np.uint64).max, dtype=np.uint64)
     for start in range(0, len(found), 2048):
         part = found[start : start + 2048]
         np.minimum(least, ((part[None, :] ^ _MASK[:, None]) * _ODD[:, None]).min(axis=1), out=least)
-    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
-
-
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return least.view(np.int64)
 
 
 def sketch(docs: DataFrame) -> DataFrame:
     """k (doc_id), n (size of the set), node and sig of every row; node and sig are null for empty sets and rows without doc_id."""
-    schema = pa.schema([("k", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sig", pa.list_(pa.int32()))])
+    schema = pa.schema([("k", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sig", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,11 +103,11 @@ def sketch(docs: DataFrame) -> DataFrame:
                 sigs.append(signature(found) if part else None)
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sigs, schema.field("sig").type)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("k"), F.col("text").alias("t")).mapInArrow(run, "k long, n long, node long, sig array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("k"), F.col("text").alias("t")).mapInArrow(run, "k long, n long, node long, sig array<long>")
 
 
-def prefixes(nodes: DataFrame) -> DataFrame:
-    """(node, key, first): the postings of each node's prefix under keys that at least two prefixes share, and the least node of the list."""
+def groups(nodes: DataFrame) -> DataFrame:
+    """(first, node, m): the nodes of each group, and how many they are."""
     posted = nodes.select("node", F.posexplode("sig").alias("at", "value")).select("node", F.xxhash64("at", "value").alias("key"))
     counted = written(posted.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "keys")
     shared = posted.join(counted, "key")
@@ -119,93 +115,75 @@ def prefixes(nodes: DataFrame) -> DataFrame:
     ranked = shared.select("node", "key", F.row_number().over(by_node.orderBy("m", "key")).alias("rank"), F.count("*").over(by_node).alias("c"))
     # the K - c keys that a node shares with nobody come first in its order
     kept = written(ranked.where(F.col("rank") <= F.col("c") - F.lit(T - 1)).select("node", "key"), "prefix")
-    lists = kept.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("m")).where("m > 1")
-    return written(kept.join(written(lists, "lists"), "key"), "postings")
-
-
-def promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose sizes allow the similarity and whose signatures agree in T coordinates."""
-    a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-    b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-    agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-    sized = F.lit(100) * F.least("na", "nb") >= F.lit(PERCENT) * F.greatest("na", "nb")
-    return pairs.join(a, "a").join(b, "b").where(sized & (agree >= T)).select("a", "b")
-
-
-def confirmed(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked, on the full sets of their texts. ``firsts``: node and a doc_id that has it."""
-    pairs = written(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = written(firsts.join(wanted, "node").select("node", "k"), "wanted")
+    lists = kept.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("m")).where("m > 1").select("key", "first")
+    members = written(kept.join(written(lists, "lists"), "key").select("first", "node").distinct(), "members")
+    sizes = written(members.groupBy("first").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
+    return members.join(sizes, "first")
+
+
+def links_within(node: np.ndarray, block: np.ndarray, sig: np.ndarray, texts: list[str]) -> list[tuple[int, int]]:
+    """Links that join the nodes of a group (or of two blocks of one, then across them only)."""
+    sets = [shingles(t) for t in texts]
+    good = np.array([node_of(s) == k for s, k in zip(sets, node)])  # a repeated doc_id may bring another text
+    node, block, sig, sets = node[good], block[good], sig[good], [s for s, g in zip(sets, good) if g]
+    apart = len(np.unique(block)) > 1
+    size = np.array([len(s) for s in sets])
+    if not len(sets):
+        return []
+    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    codes = np.split(codes, np.cumsum(size)[:-1])
+    mark, label, out = np.zeros(len(values), dtype=bool), np.arange(len(sets)), []
+    for x in range(len(sets) - 1):
+        y = np.arange(x + 1, len(sets))
+        y = y[(label[y] != label[x]) & (100 * np.minimum(size[y], size[x]) >= PERCENT * np.maximum(size[y], size[x]))]
+        if apart:
+            y = y[block[y] != block[x]]
+        y = y[(sig[y] == sig[x]).sum(axis=1) >= T]
+        if not len(y):
+            continue
+        mark[codes[x]] = True
+        both = np.add.reduceat(mark[np.concatenate([codes[i] for i in y])].astype(np.int64), np.concatenate([[0], np.cumsum(size[y])[:-1]]))
+        mark[codes[x]] = False
+        for i in y[100 * both >= PERCENT * (size[x] + size[y] - both)]:
+            if label[i] != label[x]:
+                label[label == label[i]] = label[x]
+                out.append((int(node[x]), int(node[i])))
+    return out
+
+
+def links(members: DataFrame, nodes: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b), confirmed on the full sets of the texts, that join whatever links join. ``firsts``: node and a doc_id that has it."""
+    wanted = written(firsts.join(members.select("node").distinct(), "node").select("node", "k"), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("k"), "text").join(wanted, "k").select("node", "text")
+    full = written(texts.join(nodes.select("node", "sig"), "node"), "texts")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    rows = members.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("first", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node").join(full, "node")
+    rows = rows.select("first", "i", "j", "own", "node", "sig", "text").repartition("first", "i", "j").sortWithinPartitions("first", "i", "j")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int | None, np.ndarray] = (None, np.array([]))
-        for batch in batches:
-            out = []
-            for a, b, x, y in zip(*(batch.column(i) for i in range(4))):
-                a, b = a.as_py(), b.as_py()
-                if last[0] != a:
-                    found = shingles(x.as_py())
-                    if node_of(found) != a:  # another text of a repeated doc_id
-                        continue
-                    last = (a, found)
-                other = shingles(y.as_py())
-                if node_of(other) == b and similar(last[1], other):
-                    out.append((a, b))
-            yield pa.record_batch([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], schema=schema)
-
-    texts = written(texts, "texts")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-    both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
-    return written(both.mapInArrow(run, "a long, b long").distinct(), "links")
-
-
-def open_pairs(postings: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of different components that agree in T coordinates and share a prefix key, apart from pairs with the first of its list."""
-    labelled = postings.join(labels.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = written(labelled, "labelled")
-    still = labelled.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("m > 2 and lo <> hi")
-    still = written(still.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "open")
-    rows = labelled.join(still, "key").join(nodes, "node")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "first", "label", "n", "sig")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        last, held = None, []
 
-    def pairs_of(group: list[tuple]) -> Iterator[tuple[int, int]]:
-        node, label, own, n, first = (np.array([g[i] for g in group], dtype=np.int64) for i in (4, 6, 3, 7, 5))
-        sig = np.array([g[8] for g in group], dtype=np.int32)
-        apart = group[0][1] != group[0][2]
-        for x in range(len(group) - 1):
-            if node[x] == first[x]:
-                continue
-            y = slice(x + 1, None)
-            ok = (label[y] != label[x]) & (node[y] != first[x]) & (100 * np.minimum(n[y], n[x]) >= PERCENT * np.maximum(n[y], n[x]))
-            if apart:
-                ok &= own[y] != own[x]
-            at = np.flatnonzero(ok) + x + 1
-            if len(at):
-                for z in at[(sig[at] == sig[x]).sum(axis=1) >= T]:
-                    yield (min(node[x], node[z]), max(node[x], node[z]))
+        def close() -> pa.RecordBatch:
+            part = pa.Table.from_batches(held).combine_chunks()
+            sig = part.column(5).combine_chunks().flatten().to_numpy().reshape(part.num_rows, K)
+            found = links_within(part.column(4).to_numpy(), part.column(3).to_numpy(), sig, part.column(6).to_pylist())
+            return pa.record_batch([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            for row in zip(*(batch.column(i).to_pylist() for i in range(9))):
-                if group and group[0][:3] != row[:3]:
-                    out += pairs_of(group)
-                    group = []
-                group.append(row)
-            out = sorted(set(out))
-            yield pa.record_batch([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], schema=schema)
-        out = sorted(set(pairs_of(group))) if group else []
-        yield pa.record_batch([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], schema=schema)
+            keys = np.stack([batch.column(i).to_numpy() for i in range(3)])
+            begins = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1), batch.num_rows] if batch.num_rows else []
+            for lo, hi in zip(begins, begins[1:]):
+                if held and last != tuple(keys[:, lo]):
+                    yield close()
+                    held.clear()
+                last = tuple(keys[:, lo])
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield close()
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return written(rows.mapInArrow(run, "a long, b long").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -215,19 +193,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     firsts = rows.where("node is not null").groupBy("node").agg(F.min("k").alias("k"), F.count("*").alias("copies"))
     firsts = written(firsts, "nodes")
     nodes = written(rows.where("node is not null").select("node", "n", "sig").dropDuplicates(["node"]), "signatures")
-    postings = prefixes(nodes)
-    stars = postings.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    labels = components(confirmed(promising(stars, nodes), firsts, docs))
-    rest = confirmed(open_pairs(postings, labels, nodes), firsts, docs)
-    if not rest.isEmpty():
-        def root(side: str) -> DataFrame:
-            return labels.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-        joined = rest.join(root("a"), "a", "left").join(root("b"), "b", "left")
-        more = components(joined.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")))
-        more = more.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        known = labels.join(more, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
-        fresh = more.select(F.col("root").alias("node"), F.col("further").alias("root")).join(labels, "node", "left_anti")
-        labels = written(known.unionByName(fresh), "labels")
+    labels = components(links(groups(nodes), nodes, firsts, docs))
     linked = labels.join(firsts, "node")
     least = linked.groupBy("root").agg(F.min("k").alias("component"))
     linked = linked.select("node", "root").join(least, "root").select("node", "component")
