@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from docaudit.llm.common import table, written
 from docaudit.llm.vectors import best_first, query_blocks, ranked, rows_of, usable
 
-BOOKS, WORDS, BEAM = 6, 256, 4
+BOOKS, WORDS, BEAM = 20, 64, 4
 SAMPLE = 4096
-RERANK = 64
+RERANK = 192
 CHUNK = 8192
 NEAREST = 5
 EVERY = 50
