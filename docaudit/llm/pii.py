@@ -7,7 +7,7 @@ context, isolation) vote yes, no or nothing on it. The votes of all candidates o
 by vote pattern (a bounded number of rows, with partial sums before the shuffle), expectation-maximisation
 over the counts estimates the labelers' reliabilities, and the posteriors train the final span classifier, a
 logistic regression over span features. It adds the loose candidates that it puts at ``ADD_AT`` or more and that
-overlap no base span; base spans always stay. Only sums over the vote patterns come to the driver.
+overlap no base span; base spans always stay. Both are SQL folds over the counts in one job; only the classifier's weights come to the driver.
 
 Positions are code points, ends exclusive. Patterns are written with possessive quantifiers, so very long
 runs neither overflow a stack nor take quadratic time.
@@ -18,7 +18,6 @@ rows and ties come back as they are; other columns are ignored; without candidat
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -165,49 +164,44 @@ def vote_patterns(cands: DataFrame) -> DataFrame:
     return written(rows.groupBy(*names).agg(F.count("*").cast("double").alias("n")).coalesce(1), "votes")
 
 
-def reliabilities(patterns: DataFrame) -> dict:
-    """Expectation-maximisation: the share of private candidates and each labeler's chance of each vote, given the class. The pattern check starts as the most reliable."""
-    model = {"share": 0.6} | {(j, u, y): (0.8 if j == 0 else 0.5) if u == y else (0.05 if j == 0 else 0.2) if u == -y else (0.15 if j == 0 else 0.3) for j in range(4) for u in (-1, 0, 1) for y in (-1, 1)}
-    for _ in range(EM_STEPS):
-        p = posterior(model)
-        sums = [F.sum("n").alias("all"), F.sum(F.col("n") * p).alias("yes")]
-        sums += [F.sum(F.when(F.col(f"v{j}") == u, F.col("n") * (p if y > 0 else 1 - p)).otherwise(0.0)).alias(f"{j}_{u}_{y}") for j in range(4) for u in (-1, 0, 1) for y in (-1, 1)]
-        got = patterns.agg(*sums).first()
-        if not got["all"]:
-            break
-        yes, no = got["yes"], got["all"] - got["yes"]
-        model = {"share": min(0.95, max(0.05, yes / got["all"]))} | {(j, u, y): (got[f"{j}_{u}_{y}"] + 1) / ((yes if y > 0 else no) + 3) for j in range(4) for u in (-1, 0, 1) for y in (-1, 1)}
-    return model
+def _bound(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``, worked out once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def posterior(model: dict) -> Column:
-    def chance(j: int, y: int) -> Column:
-        v = F.col(f"v{j}")
-        return F.when(v == 1, math.log(model[j, 1, y])).when(v == -1, math.log(model[j, -1, y])).otherwise(math.log(model[j, 0, y]))
+def _total(items: str, term: str) -> str:
+    return f"aggregate({items}, 0D, (s, x) -> s + {term})"
 
-    odds = F.lit(math.log(model["share"] / (1 - model["share"])))
-    for j in range(4):
-        odds = odds + chance(j, 1) - chance(j, -1)
-    return 1 / (1 + F.exp(-odds))
+
+def reliabilities() -> str:
+    """Expectation-maximisation over ``ps`` (votes v, number n) as one SQL fold; gives ``share``, the share of private candidates, and ``t``, each labeler's chance of each vote
+    given the class: place 12 * class + 3 * labeler + vote + 1. The pattern check starts as the most reliable labeler."""
+    start = [(0.8, 0.5) if u == y else (0.05, 0.2) if u == -y else (0.15, 0.3) for y in (-1, 1) for u in (-1, 0, 1)]
+    t = ", ".join(f"{start[3 * y + u][0 if j == 0 else 1]}D" for y in range(2) for j in range(4) for u in range(3))
+    odds = " + ".join(f"ln(m.t[12 + {3 * j + 1} + p.v[{j}]] / m.t[{3 * j + 1} + p.v[{j}]])" for j in range(4))
+    expected = f"transform(ps, p -> named_struct('v', p.v, 'n', p.n, 'w', p.n / (1 + exp(-(ln(m.share / (1 - m.share)) + {odds})))))"
+    yes, whole = _total("q", "x.w"), _total("q", "x.n")
+    voted = _total("q", "CASE WHEN x.v[cast(floor((k % 12) / 3) AS int)] = k % 3 - 1 THEN CASE WHEN k >= 12 THEN x.w ELSE x.n - x.w END ELSE 0D END")
+    chances = f"transform(sequence(0, 23), k -> ({voted} + 1) / (CASE WHEN k >= 12 THEN {yes} ELSE {whole} - {yes} END + 3))"
+    step = _bound(expected, "q", f"named_struct('share', least(0.95D, greatest(0.05D, {yes} / {whole})), 't', {chances})")
+    return f"aggregate(sequence(1, {EM_STEPS}), named_struct('share', 0.6D, 't', array({t})), (m, i) -> {step})"
 
 
 def classifier(patterns: DataFrame) -> dict[str, float]:
-    """Weights of the span classifier, fitted to the posteriors by damped steps over the counted patterns."""
-    row = F.struct(*patterns.columns)
-    rows = patterns.withColumn("p", posterior(reliabilities(patterns))).select("n", "p", *(_feature(row, f).cast("double").alias(f) for f in FEATURES))
-    rows = written(rows.coalesce(1), "fit")
-    weights = dict.fromkeys(FEATURES, 0.0)
-    for _ in range(FIT_STEPS):
-        linear = sum((F.col(f) * w for f, w in weights.items()), F.lit(0.0))
-        q = 1 / (1 + F.exp(-linear))
-        slopes = [F.sum(F.col("n") * (F.col("p") - q) * F.col(f)).alias(f"g_{f}") for f in FEATURES]
-        bends = [F.sum(F.col("n") * q * (1 - q) * F.col(f)).alias(f"h_{f}") for f in FEATURES]
-        got = rows.agg(F.sum("n").alias("all"), *slopes, *bends).first()
-        if not got["all"]:
-            return weights | {"f_one": -35.0}
-        # damped steps by the diagonal of the second derivatives
-        weights = {f: w + RATE * (got[f"g_{f}"] / got["all"] - DECAY * w) / (got[f"h_{f}"] / got["all"] + DECAY) for f, w in weights.items()}
-    return weights
+    """Weights of the span classifier, fitted to the posteriors by damped steps over the counted patterns. Both folds run in one small job."""
+    c = F.struct(*patterns.columns)
+    p = F.struct(F.array(*VOTES).alias("v"), F.col("n"), F.array(*(_feature(c, f).cast("double") for f in FEATURES)).alias("f"))
+    one = patterns.agg(F.array_sort(F.collect_list(p)).alias("ps")).where("size(ps) > 0").withColumn("m", F.expr(reliabilities()))
+    odds = " + ".join(f"ln(m.t[12 + {3 * j + 1} + p.v[{j}]] / m.t[{3 * j + 1} + p.v[{j}]])" for j in range(4))
+    one = one.withColumn("ps", F.expr(f"transform(ps, p -> named_struct('f', p.f, 'n', p.n, 'p', 1 / (1 + exp(-(ln(m.share / (1 - m.share)) + {odds})))))"))
+    linear = "aggregate(zip_with(p.f, w, (a, b) -> a * b), 0D, (s, x) -> s + x)"
+    errors = "transform(ps, p -> " + _bound(f"1 / (1 + exp(-{linear}))", "z", "named_struct('f', p.f, 'n', p.n, 'e', p.n * (p.p - z), 'h', p.n * z * (1 - z))") + ")"
+    whole = _total("q", "x.n")
+    moved = f"transform(w, (wk, k) -> wk + {RATE}D * ({_total('q', 'x.e * x.f[k]')} / {whole} - {DECAY}D * wk) / ({_total('q', 'x.h * x.f[k]')} / {whole} + {DECAY}D))"
+    fold = f"aggregate(sequence(1, {FIT_STEPS}), array_repeat(0D, {len(FEATURES)}), (w, i) -> {_bound(errors, 'q', moved)})"
+    got = one.select(F.expr(fold).alias("w")).first()
+    # without candidates nothing is added
+    return dict(zip(FEATURES, got["w"])) if got else dict.fromkeys(FEATURES, 0.0) | {"f_one": -35.0}
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
