@@ -41,6 +41,7 @@ WIDTH = 5
 K, T = 64, 32
 PERCENT = 75
 BLOCK = 512
+FILTER_BITS = 1 << 26
 CACHE_WORDS = 400_000
 
 _rng = np.random.RandomState(20240229)
@@ -151,10 +152,20 @@ def links_within(node: np.ndarray, block: np.ndarray, sig: np.ndarray, texts: li
     return out
 
 
+def likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose k may be in ``wanted``: a bitmap over ``FILTER_BITS`` hashed places (8 MB, whatever the corpus) is broadcast, so that most texts that the join would drop are not shuffled for it. It lets all wanted rows pass; where very many are wanted it lets all rows pass."""
+    place = F.pmod(F.xxhash64("k"), F.lit(FILTER_BITS)) + 1
+    bits = wanted.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    at = F.bitmap_bit_position(place).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    tested = docs.withColumn("bucket", F.bitmap_bucket_number(place)).join(F.broadcast(written(bits, "bits")), "bucket")
+    return tested.where(F.getbit(byte, at % 8) == 1).select(*docs.columns)
+
+
 def links(members: DataFrame, nodes: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b), confirmed on the full sets of the texts, that join whatever links join. ``firsts``: node and a doc_id that has it."""
     wanted = written(firsts.join(members.select("node").distinct(), "node").select("node", "k"), "wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("k"), "text").join(wanted, "k").select("node", "text")
+    texts = likely(docs.select(F.col("doc_id").cast("long").alias("k"), "text"), wanted).join(wanted, "k").select("node", "text")
     full = written(texts.join(nodes.select("node", "sig"), "node"), "texts")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     rows = members.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
