@@ -81,9 +81,9 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, period: int
     plan = schedule(shares(sizes.groupBy("name").agg(F.sum("n").alias("n")), weights, period), period)
     plan = written(plan.coalesce(1), "plan")
     turns = F.broadcast(plan.groupBy("name").agg(F.first("p").alias("p"), F.map_from_entries(F.collect_list(F.struct("j", "slot"))).alias("slots")))
-    # at most PERIOD rows and 4096 rows for each of fewer sources than that
+    # both sides are dealt by source and shard already, so this join moves the counts only
     local = F.row_number().over(Window.partitionBy("name", "shard").orderBy("h")) - 1
-    out = rows.withColumn("local", local).join(F.broadcast(offsets), ["name", "shard"]).withColumn("at_source", F.col("before") + F.col("local"))
+    out = rows.withColumn("local", local).join(offsets, ["name", "shard"]).withColumn("at_source", F.col("before") + F.col("local"))
     out = out.join(turns, "name", "left").withColumn("block", F.floor(F.col("at_source") / block))
     p = F.col("p")
     cycle = F.floor(F.col("block") / p)
