@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("text", "findings", "stats", "retrieval", "review", "monitoring", "files")
+MODULES = ("text", "findings", "stats", "retrieval", "review", "monitoring", "files", "blocks")
 
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
