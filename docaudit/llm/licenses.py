@@ -3,8 +3,10 @@
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased. Templates (short phrases and
 notices) are indexed by word: each word has postings (template, position). The words' document frequencies are
 counted over all documents, with partial sums in each task; the counts of the templates' words, which are some
-hundred, give their IDF. In a file, the licence words with the highest IDF are looked up; an occurrence at p and a
-posting at t propose the template at p - t, and where enough of them agree on a place, the template is laid there.
+hundred, give their IDF. Each notice has postings for its own words with the highest IDF: ``VOTES`` more than the words
+that ``COVER`` lets it lack. In a file, all places of these words are looked up; an occurrence at p and a posting at t
+propose the notice at p - t, and where ``VOTES`` of them agree on a place, the notice is laid there. A notice that stands
+there thus gets its votes whatever else the file holds.
 
 Phrases must stand there word for word. They are proposed by the rarest of their own words, at all its places, so
 none is missed. Notices must hold ``COVER`` of their words at their places and all their mandatory key phrases.
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from docaudit.llm.common import table
 
 COVER = 0.8
-RAREST = 12
+VOTES = 3
 #: Phrases and the labels they give.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Notices of public licences, and the key phrases that must stand in them.
@@ -52,8 +54,13 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()
 
 
+def lacking(n: int) -> int:
+    """How many of its n words a notice may lack."""
+    return next((m for m in range(n, 0, -1) if (n - m) / n >= COVER), 0)
+
+
 class Index:
-    """Postings of the templates' words by IDF."""
+    """Postings of the phrases' and notices' rarest words."""
 
     def __init__(self, idf: dict[bytes, float], phrases: dict[str, str], notices: dict[str, tuple[str, tuple[str, ...]]]):
         self.idf = idf
@@ -65,8 +72,9 @@ class Index:
         self.notices = [(label, words_of(text), [words_of(k) for k in keys]) for label, (text, keys) in sorted(notices.items())]
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for n, (_, words, _) in enumerate(self.notices):
-            for at, word in enumerate(words):
-                self.postings[word].append((n, at))
+            rarest = sorted(range(len(words)), key=lambda i: (-idf[words[i]], words[i], i))
+            for at in rarest[: lacking(len(words)) + VOTES]:
+                self.postings[words[at]].append((n, at))
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, str]], dict[str, float]]:
         """Places of phrases (first word, label), and the covered shares of the notices found."""
@@ -82,13 +90,13 @@ class Index:
                     if i >= at and words[i - at : i - at + len(phrase)] == phrase:
                         base.append((i - at, label))
         votes: Counter[tuple[int, int]] = Counter()
-        for w in sorted(places, key=lambda w: (-idf[w], w))[:RAREST]:
-            for n, at in self.postings.get(w, ()):
-                votes.update((n, i - at) for i in places[w])
+        for w, postings in self.postings.items():
+            for n, at in postings:
+                votes.update((n, i - at) for i in places.get(w, ()))
         found: dict[str, float] = {}
         for (n, start), agree in votes.items():
             label, notice, keys = self.notices[n]
-            if agree < min(3, len(notice)) or found.get(label, 0) == 1:
+            if agree < min(VOTES, len(notice)) or found.get(label, 0) == 1:
                 continue
             lo, hi = max(0, start), start + len(notice)
             cover = sum(a == b for a, b in zip(words[lo:hi], notice[lo - start :])) / len(notice)

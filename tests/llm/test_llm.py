@@ -286,6 +286,21 @@ def test_license_base(spark):
     assert got[len(texts) - 2]["labels"] == ""
 
 
+def test_license_all_notices_in_one_text(spark):
+    """A long text of all notices, each with as many words replaced as COVER allows, amid stray words of other notices."""
+    stray = " " + " ".join(sorted(w.decode() for w in licenses.vocabulary({}, licenses.NOTICES))) + " "
+    cut = []
+    for text, keys in licenses.NOTICES.values():
+        words = [w.decode() for w in licenses.words_of(text)]
+        held = {i for k in keys for n in [k.split()] for s in range(len(words)) if words[s : s + len(n)] == n for i in range(s, s + len(n))}
+        for i in [i for i in range(len(words)) if i not in held][: licenses.lacking(len(words))]:
+            words[i] = "x"
+        cut.append(" ".join(words))
+    texts = [stray.join(["", *(t for t, _ in licenses.NOTICES.values()), ""]), stray.join(["", *cut, ""]), stray]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(docs_of(spark, texts + ["common words"] * 5)).collect()}
+    assert got[0] == got[1] == ",".join(sorted(licenses.NOTICES)) and got[2] == ""
+
+
 # 10
 def test_mixing_stays_within_a_block(spark):
     rows = [(i, None, "en", "hot" if i % 3 else f"s{i % 4}", 0) for i in range(6000)]
