@@ -36,8 +36,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with a digest of what they decode to."""
-    return bpe.encoded(docs, bpe.vocabulary())
+    """Token ids of each document, with a digest of what they decode to, and its place in the mix: slot, and number within the source.
+
+    The order of the rows isn't kept where documents are reread, so the places are worked out here once more, from doc_id and source.
+    """
+    placed = mixing.mixed(docs.select("doc_id", "source", "text")).select("row.*", "slot", "at_source")
+    return bpe.encoded(placed, bpe.vocabulary(), ("slot", "at_source"))
 
 
 STAGES = [

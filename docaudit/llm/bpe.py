@@ -211,10 +211,10 @@ def token_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     return slim.mapInArrow(run, "k long, n_tokens long, ids_sha256 string, decoded_sha256 string").select(F.col("k").cast(kind).alias(key), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids (array<int>) and decoded_sha256 of every row, in the order of the rows."""
+def encoded(docs: DataFrame, path: str, places: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, n_tokens, ids (array<int>) and decoded_sha256 of every row, in the order of the rows; ``places``: long columns carried along."""
     kinds = docs.schema["doc_id"].dataType, docs.schema["source"].dataType
-    schema = pa.schema([("k", pa.int64()), ("s", pa.string()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())])
+    schema = pa.schema([("k", pa.int64()), ("s", pa.string()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string()), *((c, pa.int64()) for c in places)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
@@ -224,11 +224,11 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
                 coded = [bpe.encode(t.as_py()) for t in part.column(2)]
                 ids = pa.array([np.frombuffer(c, dtype="<i4") for c in coded], pa.list_(pa.int32()))
                 of_text = pa.array([hashlib.sha256(bpe.decode(c)).hexdigest() for c in coded], pa.string())
-                yield pa.record_batch([part.column(0), part.column(1), pa.array([len(c) // 4 for c in coded], pa.int64()), ids, of_text], schema=schema)
+                yield pa.record_batch([part.column(0), part.column(1), pa.array([len(c) // 4 for c in coded], pa.int64()), ids, of_text, *part.columns[3:]], schema=schema)
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("k"), F.col("source").cast("string").alias("s"), F.col("text").alias("t"))
-    out = slim.mapInArrow(run, "k long, s string, n_tokens long, ids array<int>, decoded_sha256 string")
-    return out.select(F.col("k").cast(kinds[0]).alias("doc_id"), F.col("s").cast(kinds[1]).alias("source"), "n_tokens", "ids", "decoded_sha256")
+    slim = docs.select(F.col("doc_id").cast("long").alias("k"), F.col("source").cast("string").alias("s"), F.col("text").alias("t"), *places)
+    out = slim.mapInArrow(run, "k long, s string, n_tokens long, ids array<int>, decoded_sha256 string" + "".join(f", {c} long" for c in places))
+    return out.select(F.col("k").cast(kinds[0]).alias("doc_id"), F.col("s").cast(kinds[1]).alias("source"), "n_tokens", "ids", "decoded_sha256", *places)
 
 
 def vocabulary() -> str:

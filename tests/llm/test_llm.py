@@ -355,3 +355,34 @@ def test_pipeline(spark, library):
     texts = {r["doc_id"]: r["text"] for r in mixed.collect()}
     for r in docs.collect():
         assert r["ids"] == library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+
+
+def brute_mix(docs):
+    """{doc_id: (slot, at_source)} by a slot after slot schedule."""
+    queues = {}
+    for k, s in sorted(docs, key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest()):
+        queues.setdefault("" if s is None else "=" + s, []).append(k)
+    names = sorted(queues)
+    roots = [math.sqrt(len(queues[n])) for n in names]
+    exact = [1 + w / sum(roots) * (mixing.PERIOD - len(names)) for w in roots]
+    p = [math.floor(e) for e in exact]
+    for i in sorted(range(len(names)), key=lambda i: (round(p[i] - exact[i], 9), names[i]))[: mixing.PERIOD - sum(p)]:
+        p[i] += 1
+    done, out, slot = [0] * len(names), {}, 0
+    while len(out) < len(docs):
+        ready = [(-(-(done[i] + 1) * mixing.PERIOD // p[i]), i) for i in range(len(names)) if done[i] * mixing.PERIOD < (slot + 1) * p[i]]
+        if ready:
+            i = min(ready)[1]
+            at = done[i] * mixing.BLOCK
+            out |= {k: (slot, at + j) for j, k in enumerate(queues[names[i]][at : at + mixing.BLOCK])}
+            done[i] += 1
+        slot += 1
+    return out
+
+
+def test_pipeline_shows_the_mix(spark):
+    rows = [(i, f"text {i}", "en", [None, "a", "a", "a", "b", "b"][i % 6] if i % 97 else "c", 0) for i in range(9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.encode_tokens(spark, corpus_pipeline.written(corpus_pipeline.mix_sources(spark, df, SF), "test-mix"), SF)
+    assert {r["doc_id"]: (r["slot"], r["at_source"]) for r in got.collect()} == brute_mix([(r[0], r[3]) for r in rows])
+    assert got.where("slot >= 512").count() > 0
