@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from docaudit.llm import bpe, mixing, neardup, pii, quality
 from docaudit.llm.common import table, written
 
+#: Column of a row's digest.
+ROW = "_row"
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
@@ -20,9 +23,20 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates, the one with the smallest doc_id."""
-    gone = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(written(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each component of near duplicates, the one with the smallest doc_id (any of those that share it; none counts as the largest).
+
+    doc_id may be missing or repeated, so a row is known by a 64-bit digest of doc_id and text; rows that share one are copies.
+    """
+    rows = docs.withColumn(ROW, F.xxhash64("doc_id", F.md5("text")))
+    found = neardup.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text")).where("n_shingles > 0").select(F.col("doc_id").alias(ROW), "component_id")
+    found = written(found.groupBy(ROW).agg(F.min("component_id").alias("component_id"), F.count("*").alias("copies")), "components")
+    found = found.join(rows.select(ROW, "doc_id").distinct(), ROW)
+    stays = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW].alias(ROW))
+    gone = found.select(ROW, "copies").join(stays.withColumn("stays", F.lit(True)).select(ROW, "stays"), ROW, "left")
+    # rows that leave, and copies of one that stays; any other row passes as it is
+    odd = written(gone.where("stays is null or copies > 1").select(ROW, F.col("stays").isNotNull().alias("_stays")), "odd")
+    once = rows.join(odd.where("_stays"), ROW, "left_semi").dropDuplicates([ROW])
+    return rows.join(odd, ROW, "left_anti").unionByName(once).select(*docs.columns)
 
 
 def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -386,3 +386,17 @@ def test_pipeline_shows_the_mix(spark):
     got = corpus_pipeline.encode_tokens(spark, corpus_pipeline.written(corpus_pipeline.mix_sources(spark, df, SF), "test-mix"), SF)
     assert {r["doc_id"]: (r["slot"], r["at_source"]) for r in got.collect()} == brute_mix([(r[0], r[3]) for r in rows])
     assert got.where("slot >= 512").count() > 0
+
+
+def test_pipeline_near_duplicates_by_row(spark):
+    """Repeated and missing doc_ids: one document of each component stays, and each text of its own."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (5, a + " more"), (5, b), (7, c), (7, c), (None, d), (None, d), (None, d + " more"), (9, None), (9, None), (None, ""), (None, a)]
+    df = docs_of(spark, [t for _, t in rows], [k for k, _ in rows])
+    out = corpus_pipeline.drop_near_duplicates(spark, df, SF)
+    assert out.schema.names == df.schema.names
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    left = [r for r in got if r[0] is not None or r[1] == ""]
+    assert sorted(left, key=repr) == sorted([(1, a), (5, b), (7, c), (9, None), (9, None), (None, "")], key=repr)
+    assert len(got) == len(left) + 1 and (set(got) - set(left)).pop() in {(None, d), (None, d + " more")}
+    assert corpus_pipeline.drop_near_duplicates(spark, df.where("false"), SF).count() == 0
