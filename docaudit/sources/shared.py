@@ -1,23 +1,48 @@
-"""The folder that driver and executors share."""
+"""Intermediate tables in the folder that all machines share, so that a lost executor costs no recomputation."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """What ``spark.checkpoint.dir`` names; a folder of our own only where it is unset, as in tests."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where that is unset: on a local master a temporary folder, deleted at exit; on a cluster a folder in the warehouse, which all machines reach.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = "file://" + tempfile.mkdtemp(prefix="docaudit-")
-        found = _own[app]
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        path = tempfile.mkdtemp(prefix="docaudit-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        _own[app] = f"file://{path}"
+    return _own[app]
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back, so that a lost executor costs no recomputation and the plan starts afresh."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -26,3 +51,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Delete every intermediate table that this session made, once no result that reads them is needed any more; how many there were."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    return len(paths)
