@@ -5,13 +5,15 @@ each adjacent pair. The smallest rank is looked for again and again, the boundar
 and the two neighbouring ranks are looked up anew. That is quadratic, so words of over ``SHORT`` symbols
 take a heap over a linked list instead, with the same order of merges.
 
-Texts are rows of a DataFrame; Spark deals them out and each Python worker keeps a bounded cache of
-words. There is no shuffle. Defined results: a null text counts as an empty one (no ids, empty decoded
-text); repeated rows give repeated results; other columns of the input are ignored.
+Texts are rows of a DataFrame; Spark deals them out and each Python worker keeps a cache of words, bounded in
+bytes. There is no shuffle. Defined results: a null text counts as an empty one (no ids, empty decoded text);
+repeated rows give repeated results; an empty table gives no rows; other columns of the input are ignored. Keys
+are integers or strings of digits; a key that is no whole number is an error.
 """
 
 from __future__ import annotations
 
+import array
 import hashlib
 import heapq
 import json
@@ -26,14 +28,38 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm.common import table
+from docaudit.llm.common import BoundedCache, table
 
 SHORT = 48
-CACHE_WORDS = 400_000
+ID_BITS = 20
 NO_RANK = 1 << 60
 WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 WORDS_ASCII = "'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\\t-\\r a-z0-9]+"
 
+# Where the character tables that the vocabulary's pattern, normal form and lower case go by differ from those of this interpreter.
+#: Letters and numbers of Unicode versions that the pattern does not know; to it they are symbols.
+NOT_WORDS = (
+    "\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d"
+    "\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb\U00011de0-\U00011de9\U00011df1"
+    "\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20"
+    "\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96"
+    "\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff"
+    "\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
+#: Combining marks that the normal form does not know: it neither moves nor joins them.
+NOT_MARKS = (
+    "\u07fd\u0898-\u089f\u08ca-\u08d3\u09fe\u0c3c\u0d3b-\u0d3c\u0eba\u1715\u1abf-\u1ace\u1df6-\u1dfa\ua82c\U00010d24-\U00010d27\U00010eab-\U00010eac\U00010efd-\U00010eff"
+    "\U00010f46-\U00010f50\U00010f82-\U00010f85\U00011070\U0001133b\U0001145e\U00011839-\U0001183a\U00011930\U0001193d-\U0001193e\U00011943\U000119e0\U00011a34\U00011a47\U00011a99"
+    "\U00011d42\U00011d44-\U00011d45\U00011d97\U00011f41-\U00011f42\U00016ff0-\U00016ff1\U0001e08f\U0001e130-\U0001e136\U0001e2ae\U0001e2ec-\U0001e2ef\U0001e4ec-\U0001e4ef"
+)
+#: Capitals of later Unicode versions and their small letters: single ones, then (first, last, distance).
+SMALL = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+SMALL_RANGES = ((0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B))
+
+_not_words, _not_marks = regex.compile(f"[{NOT_WORDS}]"), regex.compile(f"([{NOT_MARKS}])")
+#: Sigma has one small letter wherever it stands.
+_small = {0x3A3: 0x3C3} | SMALL | {c: c + away for first, last, away in SMALL_RANGES for c in range(first, last + 1)}
+
 
 def byte_alphabet() -> list[str]:
     """Printable stand-ins for the 256 bytes: printable Latin-1 stands for itself, the others are numbered from U+0100 on."""
@@ -54,7 +80,8 @@ class WordBpe:
         self.end = model["end_of_word_suffix"]
         vocab = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(model["merges"])}
+        #: rank and new id of each pair in one number, so that the least number is the pair of least rank
+        self.merges = {(vocab[a], vocab[b]): rank << ID_BITS | vocab[a + b] for rank, (a, b) in enumerate(model["merges"])}
         alphabet = byte_alphabet()
         self.inner = [vocab[c] for c in alphabet]
         self.last = [vocab[c + self.end] for c in alphabet]
@@ -65,7 +92,8 @@ class WordBpe:
             self.tokens[i] = piece.encode("utf-8")
         self.words, self.words_ascii = regex.compile(WORDS), re.compile(WORDS_ASCII)
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.cache: dict[str, bytes] = {}
+        self.cache = BoundedCache(lambda word: array.array("I", self.merge(word)).tobytes())
+        self.lengths = BoundedCache(lambda word: len(self.merge(word)))
 
     def segments(self, text: str) -> Iterator[str | int]:
         """The id of a special string, or the text between two of them."""
@@ -79,15 +107,18 @@ class WordBpe:
                 yield part
 
     def split(self, text: str) -> list[str]:
-        """Normal form C, lower case letter by letter (a capital sigma has one lower form), then words."""
+        """Normal form C, lower case letter by letter, then words."""
         if text.isascii():
             return self.words_ascii.findall(text.lower())
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        unassigned = {c for c in text if unicodedata.category(c) == "Cn"}
-        if not unassigned:
+        if _not_marks.search(text):
+            text = "".join(unicodedata.normalize("NFC", part) for part in _not_marks.split(text))
+        else:
+            text = unicodedata.normalize("NFC", text)
+        text = text.translate(_small).lower()
+        if not _not_words.search(text):
             return self.words.findall(text)
-        # the pattern library knows letters of later Unicode versions; here they are symbols, as U+FFFD is
-        marked = "".join("\ufffd" if c in unassigned else c for c in text)
+        # seen as U+FFFD, which is a symbol
+        marked = _not_words.sub("\ufffd", text)
         return [text[m.start() : m.end()] for m in self.words.finditer(marked)]
 
     def merge(self, word: str) -> list[int]:
@@ -97,67 +128,49 @@ class WordBpe:
         return self._short(ids) if len(ids) <= SHORT else self._long(ids)
 
     def _short(self, ids: list[int]) -> list[int]:
-        merges = self.merges
-        none = (NO_RANK, 0)
-        pairs = [merges.get(p, none) for p in zip(ids, ids[1:])]
-        while pairs:
-            best = min(pairs)
-            if best is none or best[0] == NO_RANK:
+        rank_of = self.merges.get
+        ranks = [rank_of(pair, NO_RANK) for pair in zip(ids, ids[1:])]
+        while ranks:
+            least = min(ranks)
+            if least == NO_RANK:
                 break
-            at = pairs.index(best)
-            ids[at] = best[1]
-            del ids[at + 1], pairs[at]
+            at = ranks.index(least)
+            ids[at] = new = least & ((1 << ID_BITS) - 1)
+            del ids[at + 1], ranks[at]
             if at:
-                pairs[at - 1] = merges.get((ids[at - 1], ids[at]), none)
-            if at < len(pairs):
-                pairs[at] = merges.get((ids[at], ids[at + 1]), none)
+                ranks[at - 1] = rank_of((ids[at - 1], new), NO_RANK)
+            if at < len(ranks):
+                ranks[at] = rank_of((new, ids[at + 1]), NO_RANK)
         return ids
 
     def _long(self, ids: list[int]) -> list[int]:
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(found[0], i, found[1], a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (found := self.merges.get((a, b)))]
+        heap = [(found, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (found := self.merges.get((a, b)))]
         heapq.heapify(heap)
         while heap:
-            _, i, new, a, b = heapq.heappop(heap)
+            least, i, a, b = heapq.heappop(heap)
             j = after[i] if ids[i] == a else n
             if j >= n or ids[j] != b:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = new, _ = least & ((1 << ID_BITS) - 1), -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
                 if found := self.merges.get((new, ids[k])):
-                    heapq.heappush(heap, (found[0], i, found[1], new, ids[k]))
+                    heapq.heappush(heap, (found, i, new, ids[k]))
             if (h := before[i]) >= 0 and (found := self.merges.get((ids[h], new))):
-                heapq.heappush(heap, (found[0], h, found[1], ids[h], new))
+                heapq.heappush(heap, (found, h, ids[h], new))
         return [x for x in ids if x >= 0]
 
-    def encode_words(self, piece: str) -> bytes:
-        ids: list[int] = []
-        for word in self.split(piece):
-            ids += self.merge(word)
-        return np.array(ids, dtype="<u4").tobytes()
-
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         out = []
-        cache = self.cache
         for part in self.segments(text or ""):
             if isinstance(part, int):
                 out.append(part.to_bytes(4, "little"))
-                continue
-            # no word crosses a space, so pieces between spaces are what the cache holds
-            pieces = part.replace("\n", " ").split(" ")
-            try:
-                out.append(b"".join([cache[p] for p in pieces]))
-            except KeyError:
-                if len(cache) > CACHE_WORDS:
-                    cache.clear()
-                for p in pieces:
-                    if p not in cache:
-                        cache[p] = self.encode_words(p)
-                out.append(b"".join([cache[p] for p in pieces]))
+            else:
+                out += self.cache.all(self.split(part))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:

@@ -1,15 +1,15 @@
 """Token counts of whole texts (operator 2) with a map-side lookup in two tiers.
 
-Tier one is a hash table of frequent pre-tokens (pieces between spaces) and their lengths in tokens, at
-most ``FREQUENT`` entries of at most ``PIECE_CHARS`` characters, so its size has a fixed bound; it is
-broadcast. Tier two is a bounded cache in each Python worker for the pre-tokens that miss, which are
-encoded once. Pre-tokens are never shuffled.
+Tier one is a hash table of frequent pre-tokens and their lengths in tokens: at most ``FREQUENT`` entries of at most
+``WORD_CHARS`` characters, so its size has a fixed bound. It is broadcast and only read. Tier two is a cache in each
+Python worker, bounded in bytes, for the pre-tokens that tier one lacks; a miss there is encoded. Pre-tokens are never
+shuffled.
 
-Which pre-tokens are in tier one changes the speed only, never a count, so they are taken from the
-``SAMPLE_DOCS`` documents whose hashed doc_id is smallest.
+Which pre-tokens are in tier one changes the speed only, never a count, so they are taken from the ``SAMPLE_DOCS``
+documents whose hashed doc_id is smallest.
 
-Defined results: a null text counts as an empty one (0 bytes, 0 tokens); repeated rows give repeated
-results; other columns are ignored; an empty table gives no rows.
+Defined results: a null text counts as an empty one (0 bytes, 0 tokens); repeated rows give repeated results; other
+columns are ignored; an empty table gives no rows. Keys are integers or strings of digits.
 """
 
 from __future__ import annotations
@@ -21,38 +21,53 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm.bpe import loaded, vocabulary
+from docaudit.llm.bpe import WordBpe, loaded, vocabulary
 from docaudit.llm.common import table
 
 FREQUENT = 32_768
-PIECE_CHARS = 48
+WORD_CHARS = 48
 SAMPLE_DOCS = 400
-CACHE_PIECES = 400_000
 LIMIT = 2048
 
 
 def frequent_lengths(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> dict[str, int]:
-    """Frequent pre-tokens with their numbers of tokens, from a bounded sample of documents."""
+    """Tier one: frequent pre-tokens with their numbers of tokens, from a bounded sample of documents."""
     ids = [r[0] for r in docs.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(SAMPLE_DOCS).collect()]
+    if not ids:
+        return {}
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = loaded(path)
         seen: Counter[str] = Counter()
         for batch in batches:
             for t in batch.column(0):
-                seen.update(p for p in (t.as_py() or "").replace("\n", " ").split(" ") if len(p) <= PIECE_CHARS)
+                for part in bpe.segments(t.as_py() or ""):
+                    if isinstance(part, str):
+                        seen.update(w for w in bpe.split(part) if len(w) <= WORD_CHARS)
                 if len(seen) > 8 * FREQUENT:
                     seen = Counter(dict(seen.most_common(FREQUENT)))
-        most = seen.most_common(4096)
+        most = seen.most_common(FREQUENT)
         if most:
-            yield pa.record_batch([pa.array([p for p, _ in most]), pa.array([n for _, n in most], pa.int64())], names=["piece", "n"])
+            yield pa.record_batch([pa.array([w for w, _ in most]), pa.array([n for _, n in most], pa.int64())], names=["word", "n"])
 
-    total: Counter[str] = Counter()
-    if ids:
-        # every non-empty task sends one list of at most 4096 short pieces, and at most SAMPLE_DOCS tasks have rows
-        for piece, n in docs.where(F.col(key).isin(ids)).select(text).mapInArrow(top, "piece string, n long").collect():
-            total[piece] += n
+    counts = docs.where(F.col(key).isin(ids)).select(text).mapInArrow(top, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     bpe = loaded(path)
-    return {p: len(bpe.encode(p)) // 4 for p, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:FREQUENT]}
+    return {r["word"]: len(bpe.merge(r["word"])) for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()}
+
+
+def count(bpe: WordBpe, frequent: dict[str, int], text: str | None) -> int:
+    total = 0
+    for part in bpe.segments(text or ""):
+        if isinstance(part, int):
+            total += 1
+            continue
+        words = bpe.split(part)
+        found = list(map(frequent.get, words))
+        if None in found:
+            total += sum(bpe.lengths.all([w for w, n in zip(words, found) if n is None])) + sum(filter(None, found))
+        else:
+            total += sum(found)
+    return total
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -61,24 +76,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, key: str = "doc
     schema = pa.schema([("k", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
-        lengths = dict(shared.value)
-
-        def count(part: str) -> int:
-            nonlocal lengths
-            pieces = part.replace("\n", " ").split(" ")
-            try:
-                return sum([lengths[p] for p in pieces])
-            except KeyError:
-                if len(lengths) > CACHE_PIECES:
-                    lengths = dict(shared.value)
-                for p in pieces:
-                    if p not in lengths:
-                        lengths[p] = sum(len(bpe.merge(w)) for w in bpe.split(p))
-                return sum([lengths[p] for p in pieces])
-
+        bpe, frequent = loaded(path), shared.value
         for batch in batches:
-            n = [sum(1 if isinstance(s, int) else count(s) for s in bpe.segments(t.as_py() or "")) for t in batch.column(2)]
+            n = [count(bpe, frequent, t.as_py()) for t in batch.column(2)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int64())], schema=schema)
 
     kind = docs.schema[key].dataType
