@@ -1,9 +1,10 @@
 """Quality classifier (operator 3): logistic regression over hashed word n-grams, trained with
 follow-the-regularised-leader (FTRL-proximal) updates and scored as sparse dot products.
 
-Words are runs of letters, of digits or of symbols; features are the distinct words and pairs of
-neighbouring words of a text (a word that repeats at once gives one pair for all such words), hashed to ``2 ** BITS`` places, each with value 1. L1 regularisation keeps
-the weights of rare features at zero.
+Words are runs of letters, of digits or of symbols; features are the words and pairs of neighbouring words of a
+text, hashed to ``2 ** BITS`` places. The value of a place is ``SCALE`` times the root of its share of all the
+text's words and pairs, so long and short texts have feature vectors of one length. L1 regularisation keeps the
+weights of rare features at zero.
 
 Fitting takes a bounded sample: the ``sample_rows`` labelled rows whose hashed doc_id is smallest. It is
 dealt over ``SHARDS`` groups by that hash; each group trains by itself in a Spark task and the weights are
@@ -13,8 +14,9 @@ a shuffle. Language, source, doc_id and labels are never inputs of a score.
 
 Defined results: null text scores as an empty one; an empty text has no features and scores the sigmoid
 of the bias. Rows with a null label or doc_id are not learnt from; several labels of one doc_id are all
-learnt from. With no labels of one of the two kinds nothing is learnt and every score is 0.5. Repeated
-rows get equal scores; other columns are ignored.
+learnt from. A doc_id that ``documents`` repeats is learnt from once, with its least text. With no labels of one
+of the two kinds nothing is learnt and every score is 0.5. Repeated rows get equal scores; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,45 +31,34 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm.common import table, written
+from docaudit.llm.common import BoundedCache, table, written
 
 BITS = 18
 SHARDS = 4
-#: Passes of each group over its rows: three at least, more (40 at most) while it has made fewer than UPDATES steps.
-EPOCHS, UPDATES = 3, 6_000
+EPOCHS = 5
 SAMPLE_ROWS = 12_000
 THRESHOLD = 0.3
-CACHE_WORDS = 400_000
+SCALE = 10.0
 ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.0, 1.0
-WORD = re.compile(r"[^\W\d_]+|\d+|[\W_]+")
+WORD = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: A word that follows itself gives one pair, whatever the word; so do eight words or more that come again two places on.
-ECHO, ECHO_APART = np.uint64(0xD1B54A32D192ED03), np.array([0xABC98388FB8FAC03], dtype=np.uint64)
 
-_cache: dict[str, bytes] = {}
+_hashes = BoundedCache(lambda word: xxhash.xxh64_digest(word.encode("utf-8", "replace")))
 
 
-def _hashes(piece: str) -> bytes:
-    return b"".join(xxhash.xxh64_digest(w.encode("utf-8", "replace")) for w in WORD.findall(piece))
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed places of the words and word pairs of a text, in rising order, and their values."""
+    words = np.frombuffer(b"".join(_hashes.all(WORD.findall(text or ""))), dtype="<u8")
+    pairs = (words[:-1] * MIX) ^ (words[1:] >> np.uint64(7))
+    places = (np.concatenate([words, pairs * MIX]) >> np.uint64(64 - BITS)).astype(np.int32)
+    at, times = np.unique(places, return_counts=True)
+    return at, SCALE * np.sqrt(times / max(1, len(places)))
 
 
-def features(text: str | None) -> np.ndarray:
-    """Distinct hashed places of the words and word pairs of a text, in rising order."""
-    pieces = (text or "").split()
-    try:
-        raw = b"".join([_cache[p] for p in pieces])
-    except KeyError:
-        if len(_cache) > CACHE_WORDS:
-            _cache.clear()
-        for p in pieces:
-            if p not in _cache:
-                _cache[p] = _hashes(p)
-        raw = b"".join([_cache[p] for p in pieces])
-    words = np.frombuffer(raw, dtype="<u8")
-    pairs = (words[:-1] * MIX) ^ (words[1:] >> np.uint64(7))
-    pairs[words[:-1] == words[1:]] = ECHO
-    both = np.concatenate([words, pairs * MIX, ECHO_APART[: 1 if (words[:-2] == words[2:]).sum() >= 8 else 0]])
-    return np.unique((both >> np.uint64(64 - BITS)).astype(np.int32))
+def linear(weights: np.ndarray, text: str | None) -> float:
+    """Sparse dot product of a text's features with the weights, with the bias, which stands last."""
+    at, value = features(text)
+    return float(weights[at] @ value + weights[-1])
 
 
 class Ftrl:
@@ -80,9 +71,9 @@ class Ftrl:
         z, n = self.z[at], self.n[at]
         return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
-    def learn(self, at: np.ndarray, label: float) -> None:
+    def learn(self, at: np.ndarray, value: np.ndarray, label: float) -> None:
         w = self.weights(at)
-        g = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35))) - label
+        g = (1.0 / (1.0 + np.exp(-np.clip(w @ value, -35, 35))) - label) * value
         n = self.n[at]
         self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / ALPHA * w
         self.n[at] = n + g * g
@@ -92,16 +83,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows:
     """Weights (the bias last) learnt from at most ``sample_rows`` labelled rows."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("double").alias("label"))
     ids = known.select("doc_id", "label", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id", "label").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").withColumn("shard", F.pmod("h", F.lit(SHARDS)))
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id")
+    # a repeated doc_id counts once, so a group holds no more rows than were sampled
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text")).join(F.broadcast(ids), "doc_id").withColumn("shard", F.pmod("h", F.lit(SHARDS)))
 
     def train(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["h", "doc_id", "label", "text"], kind="stable")
         found = [features(t) for t in part["text"]]
-        bias = np.array([1 << BITS], dtype=np.int32)
+        found = [(np.append(at, np.int32(1 << BITS)), np.append(value, 1.0)) for at, value in found]
         model = Ftrl()
-        for _ in range(max(EPOCHS, min(40, UPDATES // max(1, len(part))))):
-            for at, y in zip(found, part["label"]):
-                model.learn(np.concatenate([at, bias]), y)
+        for _ in range(EPOCHS):
+            for (at, value), y in zip(found, part["label"]):
+                model.learn(at, value, y)
         w = model.weights(slice(None))
         at = np.flatnonzero(w)
         return pd.DataFrame({"at": at.astype("int32"), "w": w[at], "shard": key[0]})
@@ -126,7 +119,7 @@ def score(docs: DataFrame, weights: np.ndarray, key: str = "doc_id", threshold:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for batch in batches:
-            total = np.array([w[features(t.as_py())].sum() + w[-1] for t in batch.column(1)], dtype=np.float64)
+            total = np.array([linear(w, t.as_py()) for t in batch.column(1)], dtype=np.float64)
             p = 1.0 / (1.0 + np.exp(-np.clip(total, -35, 35)))
             yield pa.record_batch([batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], schema=schema)
 
@@ -144,10 +137,12 @@ def accepted(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD)
         w = shared.value
         least = np.log(threshold / (1 - threshold))
         for batch in batches:
-            total = np.array([w[features(t.as_py())].sum() + w[-1] for t in batch.column(at)], dtype=np.float64)
+            total = np.array([linear(w, t.as_py()) for t in batch.column(at)], dtype=np.float64)
             yield batch.filter(pa.array(total >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    # names may hold dots, which mapInArrow doesn't take
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def fold(key: str = "doc_id") -> Column:
