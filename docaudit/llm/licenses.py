@@ -5,11 +5,13 @@ notices) are indexed by word: each word has postings (template, position). The w
 counted over all documents, with partial sums in each task; the counts of the templates' words, which are some
 hundred, give their IDF. Each notice has postings for its own words with the highest IDF: ``VOTES`` more than the words
 that ``COVER`` lets it lack. In a file, all places of these words are looked up; an occurrence at p and a posting at t
-propose the notice at p - t, and where ``VOTES`` of them agree on a place, the notice is laid there. A notice that stands
-there thus gets its votes whatever else the file holds.
+propose the notice at p - t. Neighbouring places pool their proposals: where ``VOTES`` of them lie within ``DRIFT`` words,
+the notice is laid there. A notice that stands there thus gets its votes whatever else the file holds, and with up to
+``DRIFT`` words put in or left out.
 
 Phrases must stand there word for word. They are proposed by the rarest of their own words, at all its places, so
-none is missed. Notices must hold ``COVER`` of their words at their places and all their mandatory key phrases.
+none is missed. Notices must hold ``COVER`` of their words in their order, and all their mandatory key phrases.
+Templates are a parameter; ``templates`` reads them from a table.
 
 Defined results: a null text counts as an empty one (0 words, no labels, score 0); repeated rows come back alike; rows
 without doc_id are scanned too; other columns are ignored; empty tables give no rows. Score: 1 with a phrase, else the
@@ -30,6 +32,7 @@ from docaudit.llm.common import table
 
 COVER = 0.8
 VOTES = 3
+DRIFT = 8
 #: Phrases and the labels they give.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Notices of public licences, and the key phrases that must stand in them.
@@ -59,6 +62,38 @@ def lacking(n: int) -> int:
     return next((m for m in range(n, 0, -1) if (n - m) / n >= COVER), 0)
 
 
+def pooled(starts: list[int], votes: int) -> Iterator[tuple[int, int]]:
+    """(first, last) of the runs of ``starts`` that hold ``votes`` of them or more within ``DRIFT`` words."""
+    starts = sorted(starts)
+    lo = 0
+    for hi, start in enumerate(starts):
+        while start - starts[lo] > DRIFT:
+            lo += 1
+        # a run is given once, when the next start lies too far off to belong to it
+        if hi - lo + 1 >= votes and (hi + 1 == len(starts) or starts[hi + 1] - starts[lo] > DRIFT):
+            yield starts[lo], start
+
+
+def in_order(notice: list[bytes], window: list[bytes]) -> int:
+    """How many words of the notice stand in the window in their order (longest common subsequence)."""
+    row = [0] * (len(notice) + 1)
+    for w in window:
+        last = 0
+        for i, n in enumerate(notice, 1):
+            kept = row[i]
+            if w == n:
+                row[i] = last + 1
+            elif row[i - 1] > kept:
+                row[i] = row[i - 1]
+            last = kept
+    return row[-1]
+
+
+def templates(table: DataFrame) -> dict[str, tuple[str, tuple[str, ...]]]:
+    """Notices from a table of label, text and keys (array of key phrases). One row for each licence comes to the driver."""
+    return {r["label"]: (r["text"], tuple(r["keys"] or ())) for r in table.select("label", "text", "keys").collect()}
+
+
 class Index:
     """Postings of the phrases' and notices' rarest words."""
 
@@ -69,7 +104,7 @@ class Index:
             words = words_of(phrase)
             at = max(range(len(words)), key=lambda i: (idf[words[i]], -i))
             self.anchors[words[at]].append((words, at, label))
-        self.notices = [(label, words_of(text), [words_of(k) for k in keys]) for label, (text, keys) in sorted(notices.items())]
+        self.notices = [(label, words_of(text), [words_of(k) for k in keys]) for label, (text, keys) in sorted(notices.items()) if words_of(text)]
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for n, (_, words, _) in enumerate(self.notices):
             rarest = sorted(range(len(words)), key=lambda i: (-idf[words[i]], words[i], i))
@@ -89,20 +124,21 @@ class Index:
                 for phrase, at, label in phrases:
                     if i >= at and words[i - at : i - at + len(phrase)] == phrase:
                         base.append((i - at, label))
-        votes: Counter[tuple[int, int]] = Counter()
+        starts: dict[int, list[int]] = defaultdict(list)
         for w, postings in self.postings.items():
-            for n, at in postings:
-                votes.update((n, i - at) for i in places.get(w, ()))
+            if w in places:
+                for n, at in postings:
+                    starts[n] += [i - at for i in places[w]]
         found: dict[str, float] = {}
-        for (n, start), agree in votes.items():
+        for n, proposed in starts.items():
             label, notice, keys = self.notices[n]
-            if agree < min(VOTES, len(notice)) or found.get(label, 0) == 1:
-                continue
-            lo, hi = max(0, start), start + len(notice)
-            cover = sum(a == b for a, b in zip(words[lo:hi], notice[lo - start :])) / len(notice)
-            window = b" " + b" ".join(words[lo:hi]) + b" "
-            if cover >= COVER and all(b" " + b" ".join(k) + b" " in window for k in keys):
-                found[label] = max(found.get(label, 0), cover)
+            for lo, hi in pooled(proposed, min(VOTES, len(notice))):
+                window = words[max(0, lo) : hi + len(notice)]
+                spaced = b" " + b" ".join(window) + b" "
+                if found.get(label, 0) < 1 and all(b" " + b" ".join(k) + b" " in spaced for k in keys):
+                    cover = in_order(notice, window) / len(notice)
+                    if cover >= COVER:
+                        found[label] = max(found.get(label, 0), cover)
         return sorted(base), found
 
 
