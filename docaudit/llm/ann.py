@@ -1,40 +1,42 @@
 """Approximate nearest neighbours by additive quantisation (operator 4).
 
 A vector is approximated by the sum of one word from each of ``BOOKS`` codebooks of full-dimensional words.
-The codebooks are fitted on a bounded sample (the ``SAMPLE`` vectors whose hashed id is smallest): residual
-k-means, then turns of encoding and least squares over all books together. Every row is encoded by beam search,
-with the inner products of words looked up instead of computed, and stored with its codes and the norm of its
-approximation. A query builds a table of its inner products with all words; the sum of a row's entries over its
-stored norm approximates the cosine. In each chunk of rows the ``RERANK`` best by that are scored again exactly,
-in double precision on the original vectors, and the tasks' best are merged.
-
-Queries are broadcast in blocks with a fixed bound; the rows stay where they are. Equal vectors within a chunk are
-scored once and give their smallest ids, so large groups of copies cannot push out nearer rows and ties go to
-the smaller id.
-
-Defined results: vectors that are null, zero, hold null or non-finite components or are of another length than most
-take no part, nor do rows without vec_id; rows with the query's vec_id are its own and left out; a query with fewer
-candidates than k returns them all; tables without usable vectors give no rows; other columns are ignored.
+The codebooks are fitted on a bounded sample (the ``SAMPLE`` vectors whose hash is smallest): residual k-means, then
+turns of encoding and least squares over all books together. Every vector is encoded by beam search over the
+residuals and stored with its codes and the norm of its approximation. A query builds a table of its inner products
+with all words; the sum of a row's entries over its stored norm approximates the cosine. The ``SHORTLIST`` best of all
+rows by that are a query's short list, which is then scored exactly, once, in double precision on the original vectors.
+
+Equal vectors are one entry of the index, with their k + 1 smallest ids, so large groups of copies cost nothing further,
+cannot push nearer vectors out of a short list, and ties go to the smaller id. Queries come in blocks with a fixed
+bound, each of which is searched, ranked and written before the next.
+
+Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor do rows without
+vec_id; vectors of different lengths are not compared; rows with the query's vec_id are its own and left out; a row
+repeated with id and vector counts once; a query with fewer candidates than k returns them all; tables without usable
+vectors give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docaudit.llm.common import table, written
-from docaudit.llm.vectors import best_first, query_blocks, ranked, rows_of, usable
+from docaudit.llm.vectors import chunks, in_query_blocks, lengths, ranked, rows_of, usable
 
-BOOKS, WORDS, BEAM = 20, 64, 4
+BOOKS, WORDS, BEAM = 32, 64, 4
 SAMPLE = 4096
-RERANK = 192
+SHORTLIST = 256
 CHUNK = 8192
 NEAREST = 5
 EVERY = 50
+FOUND = "query_id long, rank int, vec_id long, score double"
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -43,7 +45,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.RandomState) -> np.ndarray:
     words = x[rng.choice(len(x), k, replace=False)].copy()
-    for _ in range(6):
+    for _ in range(8):
         near = np.argmin((words * words).sum(1) - 2 * x @ words.T, axis=1)
         count = np.bincount(near, minlength=k)
         total = np.zeros_like(words)
@@ -63,122 +65,128 @@ def fit(x: np.ndarray) -> np.ndarray:
         books.append(words)
     books = np.stack(books)
     for _ in range(2):
-        codes = encode(x, books)[0].astype(np.int64) + np.arange(BOOKS) * k
-        gram, target = np.zeros((BOOKS * k, BOOKS * k)), np.zeros((BOOKS * k, x.shape[1]))
-        for m in range(BOOKS):
-            np.add.at(target, codes[:, m], x)
-            for o in range(BOOKS):
-                np.add.at(gram, (codes[:, m], codes[:, o]), 1.0)
+        chosen = np.zeros((len(x), BOOKS * k), dtype=np.float32)
+        chosen[np.arange(len(x))[:, None], encode(x, books)[0].astype(np.int64) + np.arange(BOOKS) * k] = 1
+        gram = (chosen.T @ chosen).astype(np.float64)
         gram[np.diag_indices(BOOKS * k)] += 1.0
-        old = books.reshape(BOOKS * k, -1)
-        books = np.linalg.solve(gram, target + old).reshape(books.shape).astype(np.float32)
+        books = np.linalg.solve(gram, chosen.T @ x + books.reshape(BOOKS * k, -1)).reshape(books.shape).astype(np.float32)
     return books
 
 
 def encode(x: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes by beam search, and the norms of the approximations."""
-    m, k, _ = books.shape
-    flat = books.reshape(m * k, -1)
-    gram = flat @ flat.T
-    own = np.diag(gram).reshape(m, k)
+    """Codes by beam search over the residuals, and the norms of the approximations."""
+    k = books.shape[1]
+    own = (books * books).sum(axis=2)
     codes, norms = [], []
     for start in range(0, len(x), 1024):
         part = x[start : start + 1024]
         n = len(part)
-        inner = (part @ flat.T).reshape(n, m, k)
-        cost, chosen = np.zeros((n, 1), dtype=np.float32), np.zeros((n, 1, 0), dtype=np.int64)
-        for i in range(m):
-            grown = cost[:, :, None] + (own[i] - 2 * inner[:, i])[:, None, :]
-            for j in range(i):
-                grown = grown + 2 * gram[chosen[:, :, j] + j * k, i * k : (i + 1) * k]
-            grown = grown.reshape(n, -1)
-            keep = min(BEAM, grown.shape[1])
-            at = np.argpartition(grown, keep - 1, axis=1)[:, :keep]
+        left, cost, chosen = part[:, None, :], np.zeros((n, 1), dtype=np.float32), np.zeros((n, 1, 0), dtype=np.uint8)
+        for words, square in zip(books, own):
+            grown = (cost[:, :, None] + square - 2 * (left @ words.T)).reshape(n, -1)
+            at = np.argpartition(grown, min(BEAM, grown.shape[1]) - 1, axis=1)[:, :BEAM]
+            path, word = (at // k)[:, :, None], at % k
             cost = np.take_along_axis(grown, at, 1)
-            chosen = np.concatenate([np.take_along_axis(chosen, (at // k)[:, :, None], 1), (at % k)[:, :, None]], axis=2)
-        best = chosen[np.arange(n), cost.argmin(axis=1)]
-        codes.append(best.astype(np.uint8))
-        norms.append(np.sqrt((sum(books[i][best[:, i]] for i in range(m)) ** 2).sum(axis=1)))
+            left = np.take_along_axis(left, path, 1) - words[word]
+            chosen = np.concatenate([np.take_along_axis(chosen, path, 1), word[:, :, None].astype(np.uint8)], axis=2)
+        best = np.arange(n), cost.argmin(axis=1)
+        codes.append(chosen[best])
+        norms.append(np.sqrt(((part - left[best]) ** 2).sum(axis=1)))
     return np.concatenate(codes), np.concatenate(norms).astype(np.float32)
 
 
-def build_index(vectors: DataFrame) -> tuple[DataFrame, np.ndarray | None]:
-    """Every usable row with its codes and norm, as a written table, and the codebooks."""
-    rows = usable(vectors, nonzero=True)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).toArrow()
-    if not sample.num_rows:
-        return rows.withColumn("codes", F.lit(None).cast("binary")).withColumn("norm", F.lit(None).cast("float")), None
-    books = fit(unit(rows_of(sample.column(1).combine_chunks())))
-    shared = rows.sparkSession.sparkContext.broadcast(books)
+def distinct_vectors(rows: DataFrame, ids: int) -> DataFrame:
+    """(h, v, names): every different vector with a hash and its ``ids`` smallest ids. No task sorts more than that many ids of a vector before the shuffle."""
+    hashed = rows.select(F.xxhash64("v").alias("h"), "v", "vec_id")
+    least = hashed.withColumn("place", F.dense_rank().over(Window.partitionBy("h", "v").orderBy("vec_id"))).where(F.col("place") <= ids)
+    return least.groupBy("h", "v").agg(F.array_sort(F.collect_set("vec_id")).alias("names"))
+
+
+def build_index(entries: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """Every entry with its codes and norm, as a written table, and the codebooks."""
+    sample = entries.select("v", "h").orderBy("h", "v").limit(SAMPLE).select("v").toArrow()
+    books = fit(unit(rows_of(sample.column(0).combine_chunks())))
+    shared = entries.sparkSession.sparkContext.broadcast(books)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 codes, norms = encode(unit(rows_of(batch.column(1))), shared.value)
-                yield pa.record_batch([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], names=["vec_id", "v", "codes", "norm"])
-
-    return written(rows.mapInArrow(run, "vec_id long, v array<double>, codes binary, norm float"), "index"), books
+                yield pa.record_batch([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], names=["h", "v", "names", "codes", "norm"])
 
+    coded = entries.select("h", "v", "names").mapInArrow(run, "h long, v array<double>, names array<long>, codes binary, norm float")
+    return written(coded, "index"), books
 
-def _chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            held.append(batch.slice(start, rows))
-            if sum(b.num_rows for b in held) >= rows:
-                yield pa.Table.from_batches(held)
-                held = []
-    if held:
-        yield pa.Table.from_batches(held)
 
-
-def search(index: DataFrame, books: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int, rerank: int = RERANK) -> DataFrame:
-    """What each task finds nearest for a block of queries: at most k rows a query and task."""
-    shared = index.sparkSession.sparkContext.broadcast((books, ids, queries))
+def short_lists(index: DataFrame, books: np.ndarray, ids: np.ndarray, queries: np.ndarray, size: int) -> DataFrame:
+    """(query_id, h, first): the entries of each query's short list, by looked-up scores over all entries; ``first`` is an entry's smallest id."""
+    shared = index.sparkSession.sparkContext.broadcast((books, ids, unit(queries)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books, ids, queries = shared.value
-        m = len(books)
-        length = np.sqrt((queries * queries).sum(axis=1))
-        asked = unit(queries)
-        best, names = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
-        for chunk in _chunks(batches, CHUNK):
-            chunk = chunk.combine_chunks().sort_by("vec_id")
-            vec_id, v = chunk.column(0).to_numpy(), rows_of(chunk.column(1).combine_chunks())
-            # equal vectors count once, with the k + 1 smallest ids of each
-            _, first, group = np.unique(v.view(np.dtype((np.void, v.dtype.itemsize * v.shape[1]))).ravel(), return_index=True, return_inverse=True)
-            order = np.argsort(group, kind="stable")
-            begin = np.searchsorted(group[order], np.arange(len(first)))
-            count = np.diff(np.append(begin, len(group)))
-            at = begin[:, None] + np.arange(k + 1)
-            members = np.where(np.arange(k + 1) < count[:, None], vec_id[order[np.minimum(at, len(group) - 1)]], -1)
-            codes = np.frombuffer(b"".join(chunk.column(2).to_pylist()), dtype=np.uint8).reshape(-1, m)[first].astype(np.int64)
-            norm, exact = chunk.column(3).to_numpy()[first], v[first]
-            size = np.sqrt((exact * exact).sum(axis=1))
-            keep = min(rerank, len(first))
+        books, ids, asked = shared.value
+        best = np.full((len(ids), 0), -np.inf, dtype=np.float32)
+        who = np.zeros((len(ids), 0), dtype=np.int32)
+        hashes, firsts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        for chunk in chunks(batches, CHUNK):
+            codes = np.frombuffer(b"".join(chunk.column(2).to_pylist()), dtype=np.uint8).reshape(-1, len(books)).astype(np.int64)
+            norm, base = np.maximum(chunk.column(3).to_numpy(), 1e-12), len(hashes)
+            hashes, firsts = np.concatenate([hashes, chunk.column(0).to_numpy()]), np.concatenate([firsts, chunk.column(1).to_numpy()])
+            keep = min(size, best.shape[1] + len(norm))
+            nearest, names = np.empty((len(ids), keep), dtype=np.float32), np.empty((len(ids), keep), dtype=np.int32)
             for start in range(0, len(ids), 128):
                 q = slice(start, start + 128)
-                near = sum(np.take(asked[q] @ books[i].T, codes[:, i], axis=1) for i in range(m)) / np.maximum(norm, 1e-12)
+                near = sum(np.take(asked[q] @ book.T, codes[:, i], axis=1) for i, book in enumerate(books)) / norm
+                near = np.concatenate([best[q], near], axis=1)
                 at = np.argpartition(-near, keep - 1, axis=1)[:, :keep]
-                score = (queries[q][:, None, :] * exact[at]).sum(axis=2) / (length[q][:, None] * size[at])
-                who = members[at]
-                score = np.where((who < 0) | (who == ids[q][:, None, None]), -np.inf, score[:, :, None]).reshape(len(at), -1)
-                who = np.where(np.isinf(score), np.iinfo(np.int64).max, who.reshape(len(at), -1))
-                best[q], names[q] = best_first(np.concatenate([best[q], score], axis=1), np.concatenate([names[q], who], axis=1), k)
-        x, y = np.nonzero(~np.isinf(best))
-        yield pa.record_batch([pa.array(ids[x]), pa.array(names[x, y]), pa.array(best[x, y])], names=["query_id", "vec_id", "score"])
+                nearest[q] = np.take_along_axis(near, at, 1)
+                names[q] = np.where(at < best.shape[1], np.take_along_axis(who[q], np.minimum(at, best.shape[1] - 1), 1) if best.shape[1] else 0, at - best.shape[1] + base)
+            best, who = nearest, names
+            # only entries that some query still holds are remembered
+            used, who = np.unique(who, return_inverse=True)
+            hashes, firsts, who = hashes[used], firsts[used], who.reshape(best.shape).astype(np.int32)
+        for start in range(0, len(ids) if best.shape[1] else 0, 64):
+            part = who[start : start + 64]
+            yield pa.record_batch([pa.array(np.repeat(ids[start : start + 64], part.shape[1])), pa.array(hashes[part].ravel()), pa.array(firsts[part].ravel()), pa.array(best[start : start + 64].ravel())], names=["query_id", "h", "first", "near"])
+
+    found = index.select("h", F.col("names")[0].alias("first"), "codes", "norm").mapInArrow(run, "query_id long, h long, first long, near float")
+    order = Window.partitionBy("query_id").orderBy(F.desc("near"), "first", "h")
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size).select("query_id", "h", "first")
+
+
+def rescored(index: DataFrame, listed: DataFrame, ids: np.ndarray, queries: np.ndarray) -> DataFrame:
+    """(query_id, vec_id, score): exact cosines of the short lists, with every id of an entry but the query's own."""
+    shared = index.sparkSession.sparkContext.broadcast((ids, queries, np.sqrt((queries * queries).sum(axis=1))))
+    rows = listed.join(index.select("h", F.col("names")[0].alias("first"), "v", "names"), ["h", "first"]).select("query_id", "v", "names")
 
-    return index.select("vec_id", "v", "codes", "norm").mapInArrow(run, "query_id long, vec_id long, score double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, queries, size = shared.value
+        order = np.argsort(ids)
+        for batch in batches:
+            asked = order[np.searchsorted(ids[order], batch.column(0).to_numpy())]
+            v = rows_of(batch.column(1))
+            score = (queries[asked] * v).sum(axis=1) / (size[asked] * np.sqrt((v * v).sum(axis=1)))
+            each = np.repeat(np.arange(len(asked)), np.diff(batch.column(2).offsets.to_numpy()))
+            names = batch.column(2).flatten().to_numpy()
+            other = names != ids[asked][each]
+            yield pa.record_batch([pa.array(ids[asked][each][other]), pa.array(names[other]), pa.array(score[each][other])], names=["query_id", "vec_id", "score"])
 
+    return rows.mapInArrow(run, "query_id long, vec_id long, score double")
 
-def nearest(vectors: DataFrame, every: int = EVERY, k: int = NEAREST, rerank: int = RERANK) -> DataFrame:
+
+def nearest(vectors: DataFrame, every: int = EVERY, k: int = NEAREST, shortlist: int = SHORTLIST) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest found for each row whose vec_id is divisible by ``every``."""
-    index, books = build_index(vectors)
-    found = index.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
-    if books is not None:
-        for ids, queries in query_blocks(index, F.col("vec_id") % every == 0):
-            found = found.unionByName(search(index, books, ids, queries, k, rerank))
-    return ranked(found, k)
+    rows = usable(vectors, nonzero=True)
+    parts = [_nearest(rows.where(F.size("v") == d), every, k, shortlist) for d in lengths(rows)]
+    return reduce(DataFrame.unionByName, parts) if parts else vectors.sparkSession.createDataFrame([], FOUND)
+
+
+def _nearest(rows: DataFrame, every: int, k: int, shortlist: int) -> DataFrame:
+    index, books = build_index(written(distinct_vectors(rows, k + 1), "entries"))
+
+    def search(ids: np.ndarray, queries: np.ndarray) -> DataFrame:
+        return ranked(rescored(index, short_lists(index, books, ids, queries, shortlist), ids, queries), k)
+
+    return in_query_blocks(rows, F.col("vec_id") % every == 0, search, FOUND)
 
 
 def op4_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,32 +6,36 @@ the terms of weight times largest (smallest, where the query's weight is negativ
 Each query takes the blocks in falling order of its bounds, scores them through the block's forward index (its rows of
 weights) and stops once the bound falls below its k-th score so far; at equality it goes on, as ties go to smaller ids.
 
-Queries are broadcast in blocks with a fixed bound. Weights are multiplied as doubles where all sums stay below
-2 ** 53, so they are exact, and as 64-bit integers otherwise.
-
-Defined results: vectors that are null, hold null or non-finite components or are of another length than most take no
-part, nor do rows without vec_id; rows with the query's vec_id are its own; fewer candidates than k all come back;
-empty tables give no rows; other columns are ignored.
+Queries come in blocks with a fixed bound, each of which is searched, ranked and written before the next. Weights are
+multiplied as doubles where all sums stay below 2 ** 53, so they are exact, as 64-bit integers where they stay below 2 ** 63,
+and as Python's integers otherwise.
+
+Defined results: vectors that are null or hold null or non-finite components take no part, nor do rows without vec_id;
+vectors of different lengths are not compared; rows with the query's vec_id are its own; a repeated vec_id asks once, with
+its least vector, and each of its rows is a candidate; fewer candidates than k all come back; a score beyond 64 bits comes
+back as the largest (smallest) 64-bit integer; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm.ann import _chunks
 from docaudit.llm.common import table, written
-from docaudit.llm.vectors import query_blocks, ranked, rows_of, usable
+from docaudit.llm.vectors import chunks, in_query_blocks, lengths, ranked, rows_of, usable
 
 SCALE = 64
 TOP = 20
 EVERY = 20
 BLOCK_DOCS = 256
 CHUNK = 64 * BLOCK_DOCS
+FOUND = "query_id long, rank int, vec_id long, score long"
+LARGEST = 2**63 - 1
 
 
 class Best:
@@ -60,17 +64,22 @@ class Best:
         self.n[old] = np.minimum(self.k, np.bincount(q, minlength=len(self.n))[old])
 
 
+def integers(x: np.ndarray, kind: type) -> np.ndarray:
+    """Whole-numbered doubles as ``kind``; as Python's integers for ``object``."""
+    return np.vectorize(int, otypes=[object])(x) if kind is object else x.astype(kind)
+
+
 def search(index: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
     shared = index.sparkSession.sparkContext.broadcast((ids, queries))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries = shared.value
         best = None
-        for chunk in _chunks(batches, CHUNK):
+        for chunk in chunks(batches, CHUNK):
             docs, w = chunk.column(0).to_numpy(), rows_of(chunk.column(1).combine_chunks())
-            exact = np.abs(w).max() * np.abs(queries).max() * w.shape[1] < 2.0**53
-            kind = np.float64 if exact else np.int64
-            w, q = w.astype(kind), queries.astype(kind)
+            largest = np.abs(w).max() * np.abs(queries).max() * w.shape[1]
+            kind = np.float64 if largest < 2.0**53 else np.int64 if largest < 2.0**62 else object
+            w, q = integers(w, kind), integers(queries, kind)
             if best is None:
                 best = Best(len(ids), k, np.int64)
             blocks = [slice(s, s + BLOCK_DOCS) for s in range(0, len(docs), BLOCK_DOCS)]
@@ -92,7 +101,7 @@ def search(index: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> Da
                     ok &= names[None, :] != ids[who][:, None]
                     x, y = np.nonzero(ok)
                     if len(x):
-                        best.add(who[x], score[x, y].astype(np.int64), names[y])
+                        best.add(who[x], np.clip(score[x, y], -LARGEST - 1, LARGEST).astype(np.int64), names[y])
         if best is not None:
             x, y = np.nonzero(np.arange(k) < best.n[:, None])
             yield pa.record_batch([pa.array(ids[x]), pa.array(best.ids[x, y]), pa.array(best.score[x, y])], names=["query_id", "vec_id", "score"])
@@ -103,11 +112,12 @@ def search(index: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> Da
 def top_inner_products(vectors: DataFrame, every: int = EVERY, k: int = TOP, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id and score: the k highest inner products for each row whose vec_id is divisible by ``every``."""
     rows = usable(vectors, nonzero=False).select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
-    index = written(rows.repartitionByRange("vec_id").sortWithinPartitions("vec_id"), "forward")
-    found = index.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
-    for ids, queries in query_blocks(index, F.col("vec_id") % every == 0):
-        found = found.unionByName(search(index, ids, queries, k))
-    return ranked(found, k)
+    parts = []
+    for d in lengths(rows):
+        own = rows.where(F.size("v") == d)
+        index = written(own.repartitionByRange("vec_id").sortWithinPartitions("vec_id"), "forward")
+        parts.append(in_query_blocks(index, F.col("vec_id") % every == 0, lambda ids, queries, index=index: ranked(search(index, ids, queries, k), k), FOUND))
+    return reduce(DataFrame.unionByName, parts) if parts else vectors.sparkSession.createDataFrame([], FOUND)
 
 
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
