@@ -12,10 +12,13 @@ if 100 * intersection >= 75 * union, confirmed on the full sets; a component is
    K - T + 1: the prefix. With rare keys first, keys of very common passages fall outside; long lists are
    skipped, and nodes with too few shared keys leave altogether.
 4. The prefix lists that begin with the same node are merged into one group, so a node that shares most of its
-   keys with the same others goes there once. In a group, pairs that agree in T coordinates are confirmed on the
-   full sets; pairs that links already join are left out, and only the links that join something are emitted. A
-   group of over ``BLOCK`` nodes is dealt out as pairs of blocks, so no group has to fit in a task and no pair
-   is ever a row. What links join are the components.
+   keys with the same others goes there once. Within a group collisions are counted from inverted lists with
+   skipping: a node's T - 1 longest lists are left out, the others merged, and only the nodes met there are looked up
+   in the long ones. Pairs that collide in T coordinates are confirmed on the full sets; pairs that links already join are left
+   out, and only the links that join something are emitted, so no pair is ever a row.
+5. A group of over ``BLOCK`` nodes is dealt out: each block is searched by itself, together with the group's first
+   node. Mostly that joins all of it. Where it does not, the pairs of blocks are searched for links between different
+   components. What links join are the components.
 
 Defined results: empty texts, null texts and texts of white space have an empty set, are linked with nothing
 and are kept. A row without doc_id takes no part: component_id null, kept. Rows that repeat a doc_id each come
@@ -34,21 +37,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docaudit.llm.common import table, written
+from docaudit.llm.common import BoundedCache, table, written
 from docaudit.llm.graph import components
 
 WIDTH = 5
 K, T = 64, 32
 PERCENT = 75
-BLOCK = 512
+BLOCK = 256
 FILTER_BITS = 1 << 26
-CACHE_WORDS = 400_000
 
 _rng = np.random.RandomState(20240229)
 _FACTORS = (_rng.randint(0, 2**63, WIDTH, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 _ODD = (_rng.randint(0, 2**63, K, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 _MASK = _rng.randint(0, 2**63, K, dtype=np.int64).astype(np.uint64)
-_words: dict[bytes, bytes] = {}
+_hashes = BoundedCache(xxhash.xxh64_digest)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -56,15 +58,7 @@ def shingles(text: str | None) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if len(words) < WIDTH:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), 7)] if words else [], dtype=np.uint64)
-    try:
-        raw = b"".join([_words[w] for w in words])
-    except KeyError:
-        if len(_words) > CACHE_WORDS:
-            _words.clear()
-        for w in words:
-            if w not in _words:
-                _words[w] = xxhash.xxh64_digest(w)
-        raw = b"".join([_words[w] for w in words])
+    raw = b"".join(_hashes.all(words))
     h = np.frombuffer(raw, dtype=">u8").astype(np.uint64)
     n = len(h) - WIDTH + 1
     mixed = h[:n] * _FACTORS[0]
@@ -122,24 +116,45 @@ def groups(nodes: DataFrame) -> DataFrame:
     return members.join(sizes, "first")
 
 
-def links_within(node: np.ndarray, block: np.ndarray, sig: np.ndarray, texts: list[str]) -> list[tuple[int, int]]:
-    """Links that join the nodes of a group (or of two blocks of one, then across them only)."""
+class Postings:
+    """Inverted lists over the (coordinate, value) pairs of some signatures."""
+
+    def __init__(self, sig: np.ndarray):
+        self.sig = sig
+        code = np.stack([np.unique(c, return_inverse=True)[1] for c in sig.T], axis=1) if len(sig) else sig
+        self.code = code + np.concatenate([[0], np.cumsum(code.max(axis=0) + 1)[:-1]]) if len(sig) else code
+        flat = self.code.ravel()
+        self.rows = np.argsort(flat, kind="stable") // K
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(flat))]) if len(sig) else np.zeros(1, dtype=np.int64)
+
+    def colliding(self, x: int) -> np.ndarray:
+        """Rows that agree with row x in ``T`` coordinates or more; whoever does is in one of x's K - T + 1 shortest lists."""
+        begin, end = self.begin[self.code[x]], self.begin[self.code[x] + 1]
+        short = np.argsort(end - begin, kind="stable")[: K - T + 1]
+        met = np.unique(np.concatenate([self.rows[begin[i] : end[i]] for i in short]))
+        return met[(self.sig[met] == self.sig[x]).sum(axis=1) >= T]
+
+
+def links_within(node: np.ndarray, block: np.ndarray, label: np.ndarray, sig: np.ndarray, texts: list[str]) -> list[tuple[int, int]]:
+    """Links that join nodes of a group with different labels (in two blocks of one, then across them only)."""
     sets = [shingles(t) for t in texts]
     good = np.array([node_of(s) == k for s, k in zip(sets, node)])  # a repeated doc_id may bring another text
-    node, block, sig, sets = node[good], block[good], sig[good], [s for s, g in zip(sets, good) if g]
-    apart = len(np.unique(block)) > 1
-    size = np.array([len(s) for s in sets])
+    node, block, label, sig, sets = node[good], block[good], label[good].copy(), sig[good], [s for s, g in zip(sets, good) if g]
     if not len(sets):
         return []
+    apart = len(np.unique(block)) > 1
+    size = np.array([len(s) for s in sets])
     values, codes = np.unique(np.concatenate(sets), return_inverse=True)
     codes = np.split(codes, np.cumsum(size)[:-1])
-    mark, label, out = np.zeros(len(values), dtype=bool), np.arange(len(sets)), []
+    postings = Postings(sig)
+    mark, out = np.zeros(len(values), dtype=bool), []
     for x in range(len(sets) - 1):
-        y = np.arange(x + 1, len(sets))
-        y = y[(label[y] != label[x]) & (100 * np.minimum(size[y], size[x]) >= PERCENT * np.maximum(size[y], size[x]))]
+        if (label[x + 1 :] == label[x]).all():
+            continue
+        y = postings.colliding(x)
+        y = y[(y > x) & (label[y] != label[x]) & (100 * np.minimum(size[y], size[x]) >= PERCENT * np.maximum(size[y], size[x]))]
         if apart:
             y = y[block[y] != block[x]]
-        y = y[(sig[y] == sig[x]).sum(axis=1) >= T]
         if not len(y):
             continue
         mark[codes[x]] = True
@@ -162,15 +177,10 @@ def likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return tested.where(F.getbit(byte, at % 8) == 1).select(*docs.columns)
 
 
-def links(members: DataFrame, nodes: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b), confirmed on the full sets of the texts, that join whatever links join. ``firsts``: node and a doc_id that has it."""
-    wanted = written(firsts.join(members.select("node").distinct(), "node").select("node", "k"), "wanted")
-    texts = likely(docs.select(F.col("doc_id").cast("long").alias("k"), "text"), wanted).join(wanted, "k").select("node", "text")
-    full = written(texts.join(nodes.select("node", "sig"), "node"), "texts")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = members.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("first", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node").join(full, "node")
-    rows = rows.select("first", "i", "j", "own", "node", "sig", "text").repartition("first", "i", "j").sortWithinPartitions("first", "i", "j")
+def confirmed(rows: DataFrame, full: DataFrame) -> DataFrame:
+    """Links (a, b) within each group (first, i, j) of ``rows``, which also hold own (the block), node and label. ``full``: node, sig and text."""
+    rows = rows.join(full, "node").select("first", "i", "j", "own", "node", "label", "sig", "text")
+    rows = rows.repartition("first", "i", "j").sortWithinPartitions("first", "i", "j")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,8 +188,8 @@ def links(members: DataFrame, nodes: DataFrame, firsts: DataFrame, docs: DataFra
 
         def close() -> pa.RecordBatch:
             part = pa.Table.from_batches(held).combine_chunks()
-            sig = part.column(5).combine_chunks().flatten().to_numpy().reshape(part.num_rows, K)
-            found = links_within(part.column(4).to_numpy(), part.column(3).to_numpy(), sig, part.column(6).to_pylist())
+            sig = part.column(6).combine_chunks().flatten().to_numpy().reshape(part.num_rows, K)
+            found = links_within(part.column(4).to_numpy(), part.column(3).to_numpy(), part.column(5).to_numpy(), sig, part.column(7).to_pylist())
             return pa.record_batch([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], schema=schema)
 
         for batch in batches:
@@ -197,6 +207,30 @@ def links(members: DataFrame, nodes: DataFrame, firsts: DataFrame, docs: DataFra
     return written(rows.mapInArrow(run, "a long, b long").distinct(), "links")
 
 
+def links(members: DataFrame, nodes: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b), confirmed on the full sets of the texts, that join whatever links join. ``firsts``: node and a doc_id that has it."""
+    wanted = written(firsts.join(members.select("node").distinct(), "node").select("node", "k"), "wanted")
+    texts = likely(docs.select(F.col("doc_id").cast("long").alias("k"), "text"), wanted).join(wanted, "k").select("node", "text")
+    full = written(texts.join(nodes.select("node", "sig"), "node"), "texts")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    dealt = written(members.select("first", "node", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own")), "dealt")
+    # the first node goes to every block of its group
+    own = F.when(F.col("node") == F.col("first"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
+    rows = dealt.select("first", "node", F.explode(own).alias("own"))
+    found = confirmed(rows.select("first", F.col("own").alias("i"), F.col("own").alias("j"), "own", "node", F.col("node").alias("label")), full)
+    split = dealt.where("blocks > 1")
+    if split.isEmpty():
+        return found
+    roots = components(found)
+    split = split.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    split = written(split, "split")
+    # only groups whose blocks are not all joined yet
+    open_groups = split.groupBy("first").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("first")
+    split = split.join(open_groups, "first").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> own")
+    pairs = split.select("first", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
+    return found.unionByName(confirmed(pairs, full))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable) and kept of every row."""
     kind = docs.schema["doc_id"].dataType
