@@ -7,7 +7,7 @@ context, isolation) vote yes, no or nothing on it. The votes of all candidates o
 by vote pattern (a bounded number of rows, with partial sums before the shuffle), expectation-maximisation
 over the counts estimates the labelers' reliabilities, and the posteriors train the final span classifier, a
 logistic regression over span features. It adds the loose candidates that it puts at ``ADD_AT`` or more and that
-overlap no base span; base spans always stay. Both are SQL folds over the counts in one job; only the classifier's weights come to the driver.
+overlap no base span; base spans always stay. Candidates are worked out once and written. Both are SQL folds over the counts in one job; only the classifier's weights come to the driver.
 
 Positions are code points, ends exclusive. Patterns are written with possessive quantifiers, so very long
 runs neither overflow a stack nor take quadratic time.
@@ -204,9 +204,8 @@ def classifier(patterns: DataFrame) -> dict[str, float]:
     return dict(zip(FEATURES, got["w"])) if got else dict.fromkeys(FEATURES, 0.0) | {"f_one": -35.0}
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """Adds ``base`` and ``spans``: sorted arrays of struct<start, kind, end, ...>, kind as a place in ``KINDS``."""
-    found = with_candidates(docs)
+def with_spans(found: DataFrame) -> DataFrame:
+    """Adds ``base`` and ``spans`` to rows with their candidates: sorted arrays of struct<start, kind, end, ...>, kind as a place in ``KINDS``. ``found`` should be a written table, as it is read twice."""
     weights = classifier(vote_patterns(found.select("cands")))
 
     def adds(c: Column) -> Column:
@@ -224,8 +223,8 @@ def _joined(spans: Column) -> Column:
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in brackets, and n_chars to match if there is such a column. Overlapping spans give one mark."""
     columns = docs.columns
-    inner = docs.select("text", F.struct(*(F.col(c) for c in columns)).alias("row"))
-    found = with_spans(inner)
+    inner = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))
+    found = with_spans(written(with_candidates(inner).select("row", "cands"), "candidates")).withColumn("text", F.coalesce("row.text", F.lit("")))
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
 
@@ -241,7 +240,7 @@ def redacted(docs: DataFrame) -> DataFrame:
 
 def find_private(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base spans by kind, base_sha256 and spans of every row."""
-    found = with_spans(docs.select("doc_id", "text"))
+    found = with_spans(written(with_candidates(docs.select("doc_id", "text")).select("doc_id", "base", "cands"), "candidates"))
     counts = [F.size(F.filter("base", _of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
