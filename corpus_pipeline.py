@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame. ``run`` writes what a stage returns as Parquet in the
 shared folder and reads it back as the next one's documents.
+
+Defined results, for every stage: an empty table gives no rows; null texts count as empty ones and stay null where they
+are returned; rows without doc_id or source take part; repeated rows stay, but for near duplicates, of which one row stays;
+further columns are carried along whatever their names, but for the last stage, which returns its own.
 """
 
 from __future__ import annotations
@@ -12,8 +16,8 @@ from pyspark.sql import functions as F
 from docaudit.llm import bpe, mixing, neardup, pii, quality
 from docaudit.llm.common import table, written
 
-#: Column of a row's digest.
-ROW = "_row"
+#: Column of a row's digest, and whether one row with it stays.
+ROW, STAYS = "row digest of near duplicates", "row stays of near duplicates"
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,16 +31,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     doc_id may be missing or repeated, so a row is known by a 64-bit digest of doc_id and text; rows that share one are copies.
     """
-    rows = docs.withColumn(ROW, F.xxhash64("doc_id", F.md5("text")))
+    # only the columns at hand are named, so others may have any name
+    carried = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(F.xxhash64("doc_id", F.md5("text")).alias(ROW), "doc_id", "text", carried.alias("carried"))
     found = neardup.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text")).where("n_shingles > 0").select(F.col("doc_id").alias(ROW), "component_id")
     found = written(found.groupBy(ROW).agg(F.min("component_id").alias("component_id"), F.count("*").alias("copies")), "components")
     found = found.join(rows.select(ROW, "doc_id").distinct(), ROW)
     stays = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW].alias(ROW))
-    gone = found.select(ROW, "copies").join(stays.withColumn("stays", F.lit(True)).select(ROW, "stays"), ROW, "left")
+    gone = found.select(ROW, "copies").join(stays.select(ROW, F.lit(True).alias(STAYS)), ROW, "left")
     # rows that leave, and copies of one that stays; any other row passes as it is
-    odd = written(gone.where("stays is null or copies > 1").select(ROW, F.col("stays").isNotNull().alias("_stays")), "odd")
-    once = rows.join(odd.where("_stays"), ROW, "left_semi").dropDuplicates([ROW])
-    return rows.join(odd, ROW, "left_anti").unionByName(once).select(*docs.columns)
+    odd = written(gone.where(F.col(STAYS).isNull() | (F.col("copies") > 1)).select(ROW, F.col(STAYS).isNotNull().alias(STAYS)), "odd")
+    once = rows.join(odd.where(F.col(STAYS)), ROW, "left_semi").dropDuplicates([ROW])
+    return rows.join(odd, ROW, "left_anti").unionByName(once).select("carried.*")
 
 
 def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
