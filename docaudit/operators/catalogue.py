@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from docaudit.operators.lint import Rule
+from dataclasses import replace
+
+from docaudit.operators.rules import Rule
 
 #: Names, patterns and levels.
 RUSSIAN = (
@@ -36,3 +38,17 @@ RUSSIAN = (
 )
 
 RULES = tuple(Rule(name, pattern, name.replace("_", " "), level) for name, pattern, level in RUSSIAN)
+
+
+def named(name: str, literal: str) -> Rule:
+    """A rule of the catalogue; lines without ``literal`` need not be tried."""
+    return replace(next(r for r in RULES if r.rule == name), literal=literal)
+
+
+#: Rules over any script: four of the catalogue and three of this library.
+DEFAULT_RULES = (
+    named("Quotes_Straight", '"'), named("HomogeneousMembers", ","), named("Spacing_Double", "  "), named("Parentheses", "("),
+    Rule("Digits_Long", r"[0-9]{16}", "Long run of digits", "suggestion"),
+    Rule("Email_Address", r"[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)++", "Personal address", "suggestion", literal="@"),
+    Rule("Exclamation_Double", r"!{2,}", "One exclamation mark is enough", "warning", literal="!!", replacement="!"),
+)

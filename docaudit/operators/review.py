@@ -242,9 +242,18 @@ def eval_metrics(results: DataFrame) -> DataFrame:
         F.coalesce(F.sum("violations"), F.lit(0)).alias("violations"), F.count_if("clean_failure").alias("clean_failures"))
 
 
-def eval_thresholds(metrics: DataFrame, limits: dict[str, tuple[str, float]]) -> DataFrame:
-    """(metric, value, ok): minimum or maximum checks; a null metric passes."""
+#: What an evaluation has to reach.
+THRESHOLDS = {
+    "pass_rate": ("min", 0.70), "rule_recall": ("min", 0.80), "block_recall": ("min", 0.70), "span_recall": ("min", 0.70), "suggestion_recall": ("min", 0.60), "violations": ("max", 0),
+    "clean_failures": ("max", 0), "rule_recall_at_k": ("min", 0.90), "finder_rule_recall": ("min", 0.80), "verifier_rule_recall": ("min", 0.80),
+}
+
+
+def eval_thresholds(metrics: DataFrame, limits: dict[str, tuple[str, float]] | None = None) -> DataFrame:
+    """(metric, value, ok): minimum or maximum checks; a metric that is null or wasn't measured passes."""
+    limits = THRESHOLDS if limits is None else limits
     names = list(limits)
+    metrics = metrics.withColumns({n: F.lit(None).cast("double") for n in names if n not in metrics.columns})
     tall = metrics.select(F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value"), F.lit(limits[n][0]).alias("kind"), F.lit(float(limits[n][1])).alias("bound")) for n in names))).alias("m")).select("m.*")
     ok = F.col("value").isNull() | F.when(F.col("kind") == "min", F.col("value") >= F.col("bound")).otherwise(F.col("value") <= F.col("bound"))
     return tall.select("metric", "value", ok.alias("ok"))

@@ -11,8 +11,9 @@ from docaudit.functions import text as T
 from docaudit.operators import combine as C
 from docaudit.operators import watch as W
 from docaudit.plans.registry import query, table
-from docaudit.sources.shared import shared_dir
+from docaudit.plans.text import replaced
 from docaudit.sources import html as H
+from docaudit.sources.shared import shared_dir, written
 from docaudit.streaming import streams as S
 
 
@@ -137,11 +138,9 @@ def snapshot_quality(spark: SparkSession, d: str) -> DataFrame:
     return pages(spark, d).select("page_id", W.snapshot_quality(F.col("html"), F.col("html")).alias("problem"))
 
 
-@query(r"""SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(text, '\b[0-9a-fA-F]{16,}\b', '', 'g'), '\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b', '', 'g'), '[ \t]+', ' ', 'g'), ' -–—•·')) AS content_hash
-FROM documents WHERE NOT regexp_matches(text, '(?i)updated|\d:\d|\d views?|\d{4}-\d{2}-\d{2}|[0-9a-f]{8}-[0-9a-f]{4}')""")
+@query(f"SELECT doc_id, sha256(trim({replaced('text', T.VOLATILE)}, ' -–—•·')) AS content_hash FROM documents")
 def content_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where(~F.col("text").rlike(r"(?i)updated|\d:\d|\d views?|\d{4}-\d{2}-\d{2}|[0-9a-f]{8}-[0-9a-f]{4}"))
-    return docs.select("doc_id", W.content_fingerprint(F.col("text")).alias("content_hash"))
+    return table(spark, d, "documents").select("doc_id", W.content_fingerprint(F.col("text")).alias("content_hash"))
 
 
 @query()
@@ -173,7 +172,8 @@ def text_hunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
-    nodes = H.dom_nodes(versions(spark, d), ("page_id", "version"))
+    # both versions are read several times below, so they are parsed once and written
+    nodes = written(H.dom_nodes(versions(spark, d).where("version in (1, 3)"), ("page_id", "version")), "nodes")
     return W.merge_events(W.diff_nodes(nodes.where("version = 1").drop("version"), nodes.where("version = 3").drop("version")))
 
 
@@ -187,16 +187,19 @@ def event_ui_list(spark: SparkSession, d: str) -> DataFrame:
     return W.event_ui_list(hunks(spark, d), events(spark, d))
 
 
-@query("SELECT event_id, ends_with(props, ']') AS full, props FROM events WHERE false UNION ALL SELECT page_id, page_id % 2 = 0, CASE WHEN page_id % 2 = 0 THEN '[{\"a\":1},{\"b\":2}]' ELSE '[{\"a\":1}]' END FROM pages")
+@query("""SELECT page_id, page_id % 3 > 0 AS full, '[' || array_to_string(list_transform(parts[1:CASE WHEN page_id % 3 > 0 THEN len(parts) ELSE len(parts) - 1 END], lambda x: to_json({'text': x})), ',') || ']' AS nodes
+FROM (SELECT page_id, regexp_extract_all(html, '[A-Za-z0-9]+') AS parts FROM pages) WHERE len(parts) > 0""")
 def salvage_truncated_dom(spark: SparkSession, d: str) -> DataFrame:
-    body = F.when(F.col("page_id") % 2 == 0, '[{"a":1},{"b":2}]').otherwise('[{"a":1},{"b":')
-    return pages(spark, d).select(F.col("page_id").alias("event_id"), W.salvage_truncated(body).alias("s")).select("event_id", F.col("s.full").alias("full"), F.col("s.json").alias("props"))
+    """Each page's words as a JSON list, cut within its last element where page_id divides by 3."""
+    words = pages(spark, d).select("page_id", F.regexp_extract_all("html", F.lit("([A-Za-z0-9]+)"), F.lit(1)).alias("parts")).where(F.size("parts") > 0)
+    body = F.to_json(F.transform("parts", lambda x: F.struct(x.alias("text"))))
+    cut = F.when(F.col("page_id") % 3 > 0, body).otherwise(F.substring(body, F.lit(1), F.length(body) - 3))
+    return words.select("page_id", W.salvage_truncated(cut).alias("s")).select("page_id", F.col("s.full").alias("full"), F.col("s.json").alias("nodes"))
 
 
-@query(r"SELECT page_id, md5(regexp_replace(html, '([A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]*@([A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+)', '\1•••@\2', 'g')) AS digest FROM pages WHERE NOT regexp_matches(html, '\d{10}|\d{4}[ -]\d{4}|\+7|\b8[ (-]')")
+@query()
 def mask_pii_html(spark: SparkSession, d: str) -> DataFrame:
-    p = pages(spark, d).where(~F.col("html").rlike(r"\d{10}|\d{4}[ -]\d{4}|\+7|\b8[ (-]"))
-    return p.select("page_id", F.md5(T.mask_pii(F.col("html"))).alias("digest"))
+    return pages(spark, d).select("page_id", T.mask_pii(F.col("html")).alias("masked"))
 
 
 # streams: each reads its table as a stream of files, runs until all is read, and returns what the sink holds

@@ -19,8 +19,8 @@ def placed(spark: SparkSession, d: str) -> DataFrame:
 
 def rules(spark: SparkSession) -> DataFrame:
     none = F.lit(None).cast("array<string>")
-    return rule_table(spark).withColumns({"machine_verifiable": F.col("automation") == "automatic", "forbidden_chars": F.when(F.col("rule") == "Homogeneous_Members", F.array(F.lit(","))).otherwise(none), "forbidden_introduced_chars": none, "required_chars": none,
-                                          "priority": F.when(F.col("rule") == "Digits_Long", 10).otherwise(60), "conflict_family": F.when(F.col("rule").isin("Quotes_Straight", "Digits_Long"), "q"), "over": F.when(F.col("rule") == "Exclamation_Double", F.array(F.lit("Homogeneous_Members"))).otherwise(none)})
+    return rule_table(spark).withColumns({"machine_verifiable": F.col("automation") == "automatic", "forbidden_chars": F.when(F.col("rule") == "HomogeneousMembers", F.array(F.lit(","))).otherwise(none), "forbidden_introduced_chars": none, "required_chars": none,
+                                          "priority": F.when(F.col("rule") == "Digits_Long", 10).otherwise(60), "conflict_family": F.when(F.col("rule").isin("Quotes_Straight", "Digits_Long"), "q"), "over": F.when(F.col("rule") == "Exclamation_Double", F.array(F.lit("HomogeneousMembers"))).otherwise(none)})
 
 
 @query(FOUND + "SELECT rule, CASE severity WHEN 'error' THEN 'blocker' WHEN 'suggestion' THEN 'minor' ELSE 'suggestion' END AS severity, rule = 'Digits_Long' AS verification_required, count(*) AS n FROM found GROUP BY ALL")
@@ -38,7 +38,7 @@ def blocks(spark: SparkSession, d: str) -> DataFrame:
     return lines(spark, d).select("doc_id", F.col("line").alias("block_index"), F.col("text").alias("plain"))
 
 
-REASON = "CASE WHEN line % 7 = 0 THEN 'unknown rule' WHEN line % 4 = 0 THEN 'no description' WHEN line % 5 = 0 THEN 'suggestion changes nothing' WHEN rule = 'Homogeneous_Members' THEN 'forbidden character' END"
+REASON = "CASE WHEN line % 7 = 0 THEN 'unknown rule' WHEN line % 4 = 0 THEN 'no description' WHEN line % 5 = 0 THEN 'suggestion changes nothing' WHEN rule = 'HomogeneousMembers' THEN 'forbidden character' END"
 
 
 @query(FOUND + f"SELECT doc_id, line AS block_index, CASE WHEN line % 7 = 0 THEN 'Nobody' ELSE rule END AS rule, text AS span_text, {REASON} AS reject_reason FROM found")
@@ -234,9 +234,9 @@ def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
     return V.eval_metrics(results(spark, d))
 
 
-@query(RESULTS + ", m AS (SELECT CAST(count(*) FILTER (missing = 0 AND violations = 0 AND NOT clean_failure) / count(*) AS DOUBLE) AS p, CAST(sum(violations) AS DOUBLE) AS v FROM res) SELECT 'pass_rate' AS metric, p AS value, p >= 0.7 AS ok FROM m UNION ALL SELECT 'violations', v, v <= 0 FROM m")
+@query(RESULTS + ", m AS (SELECT CAST(count(*) FILTER (missing = 0 AND violations = 0 AND NOT clean_failure) / count(*) AS DOUBLE) AS p, CAST(sum(violations) AS DOUBLE) AS v, CAST(sum(hits) / (sum(hits) + sum(missing)) AS DOUBLE) AS r, CAST(count(*) FILTER (clean_failure) AS DOUBLE) AS c FROM res) SELECT 'pass_rate' AS metric, p AS value, p >= 0.7 AS ok FROM m UNION ALL SELECT 'rule_recall', r, r >= 0.8 FROM m UNION ALL SELECT 'violations', v, v <= 0 FROM m UNION ALL SELECT 'clean_failures', c, c <= 0 FROM m UNION ALL SELECT unnest(['block_recall', 'span_recall', 'suggestion_recall', 'rule_recall_at_k', 'finder_rule_recall', 'verifier_rule_recall']), NULL, true")
 def eval_thresholds(spark: SparkSession, d: str) -> DataFrame:
-    return V.eval_thresholds(V.eval_metrics(results(spark, d)), {"pass_rate": ("min", 0.7), "violations": ("max", 0.0)})
+    return V.eval_thresholds(V.eval_metrics(results(spark, d)))
 
 
 @query(FOUND + "SELECT l.doc_id AS \"case\", f.line, f.rule FROM labels l JOIN found f ON l.doc_id = f.doc_id WHERE (l.quality = 1 OR f.rule = 'Exclamation_Double') AND (l.toxic = 0 OR contains(lower(f.text), 'e'))")

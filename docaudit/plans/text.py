@@ -27,30 +27,32 @@ def normalize_spaces(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(T.normalize_spaces(F.col("text"))).alias("digest"))
 
 
-@query(r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^#{1,6}\s+', '', 'g'), '(?m)^\s*[-*+]\s+', '', 'g'), '<[^>]+>', '', 'g'), '\n{3,}', E'\n\n', 'g'), ' ')) AS digest
-FROM documents WHERE NOT regexp_matches(text, '[`*_\[>]|(?m)^\s*([-]\s*){3,}$|(?m)^\s*[0-9]+[.)]')""")
+def replaced(column: str, rules: tuple[tuple[str, str], ...]) -> str:
+    """The rewriting rules as nested SQL."""
+    for pattern, to in rules:
+        pattern, to = pattern.replace("'", "''"), to.replace("$", "\\")
+        column = f"regexp_replace({column}, '{pattern}', '{to}', 'g')"
+    return column
+
+
+@query(f"SELECT doc_id, md5(trim({replaced('text', T.MARKDOWN)}, ' ')) AS digest FROM documents")
 def markdown_to_plain(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where(~F.col("text").rlike(r"[`*_\[>]|(?m)^\s*([-]\s*){3,}$|(?m)^\s*[0-9]+[.)]"))
-    return docs.select("doc_id", F.md5(T.markdown_to_plain(F.col("text"))).alias("digest"))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.markdown_to_plain(F.col("text"))).alias("digest"))
 
 
-@query(r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '\*([^*]+)\*', '\1', 'g'), '<[^>]+>', '', 'g'), ' ')) AS digest FROM documents WHERE NOT regexp_matches(text, '\*\*|[`\[~]|__')")
+@query(f"SELECT doc_id, md5(trim({replaced('text', T.MARKDOWN_INLINE)}, ' ')) AS digest FROM documents")
 def markdown_inline_to_plain(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where(~F.col("text").rlike(r"\*\*|[`\[~]|__")).select("doc_id", F.md5(T.markdown_inline_to_plain(F.col("text"))).alias("digest"))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.markdown_inline_to_plain(F.col("text"))).alias("digest"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(text, '([A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]*@([A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+)', '\1•••@\2', 'g'), '\b\d{4}[ \-]?\d{4}[ \-]?\d{4}[ \-]?\d{4}\b', '••••••••••••••••', 'g') AS masked
-FROM documents WHERE regexp_matches(text, '@|\d{16}') AND NOT regexp_matches(text, '\b\d{10}\b|\b\d{12}\b|\+7|\b8[ \-(]|\d{3}-\d{3}-\d{3} ')""")
+@query()
 def mask_pii(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where(F.col("text").rlike(r"@|\d{16}") & ~F.col("text").rlike(r"\b\d{10}\b|\b\d{12}\b|\+7|\b8[ \-(]|\d{3}-\d{3}-\d{3} "))
-    return docs.select("doc_id", T.mask_pii(F.col("text")).alias("masked"))
+    return table(spark, d, "documents").select("doc_id", T.mask_pii(F.col("text")).alias("masked"))
 
 
-@query(r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '\b[0-9a-fA-F]{16,}\b', '', 'g'), '\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b', '', 'g'), '[ \t]+', ' ', 'g'), ' -–—•·')) AS digest
-FROM documents WHERE NOT regexp_matches(text, '(?i)updated|\d:\d|\d views?|\d{4}-\d{2}-\d{2}|[0-9a-f]{8}-[0-9a-f]{4}')""")
+@query(f"SELECT doc_id, md5(trim({replaced('text', T.VOLATILE)}, ' -–—•·')) AS digest FROM documents")
 def mask_volatile(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where(~F.col("text").rlike(r"(?i)updated|\d:\d|\d views?|\d{4}-\d{2}-\d{2}|[0-9a-f]{8}-[0-9a-f]{4}"))
-    return docs.select("doc_id", F.md5(T.mask_volatile(F.col("text"))).alias("digest"))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.mask_volatile(F.col("text"))).alias("digest"))
 
 
 @query("SELECT count(*) AS n FROM documents WHERE length(trim(text)) > 0")

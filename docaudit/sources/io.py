@@ -127,6 +127,21 @@ def append_usage(usage: DataFrame, path: str) -> None:
     usage.where((F.col("prompt_tokens") > 0) | (F.col("completion_tokens") > 0)).write.mode("append").parquet(path)
 
 
+#: How many rows of the audit log, and of each user's history, are kept.
+AUDIT_ROWS, HISTORY_ROWS = 2000, 50
+
+
+def latest_audit(rows: DataFrame, at: str, keep: int = AUDIT_ROWS) -> DataFrame:
+    """The last ``keep`` rows of the log by the column ``at``; each task passes on no more than that."""
+    return rows.orderBy(F.desc(at), *(c for c in rows.columns if c != at)).limit(keep)
+
+
+def latest_history(rows: DataFrame, user: str, at: str, keep: int = HISTORY_ROWS) -> DataFrame:
+    """The last ``keep`` rows of every user by the column ``at``."""
+    place = F.row_number().over(Window.partitionBy(user).orderBy(F.desc(at), *(c for c in rows.columns if c not in (user, at))))
+    return rows.withColumn("_place", place).where(F.col("_place") <= keep).drop("_place")
+
+
 def append_audit(rows: DataFrame, path: str) -> None:
     rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(path)
 
