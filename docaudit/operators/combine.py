@@ -7,11 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docaudit.sources.shared import written
+
 
 # joins
 def enrich_findings(findings: DataFrame, rules: DataFrame) -> DataFrame:
     """Section, name, automation and group of each finding's rule; custom rules get fixed ones."""
-    joined = findings.join(F.broadcast(rules.select("rule", "section", "name", "automation", "rule_group")), "rule", "left")
+    joined = findings.join(rules.select("rule", "section", "name", "automation", "rule_group"), "rule", "left")
     custom = F.col("source") == "custom"
     return joined.select(
         *findings.columns, F.when(custom, "Custom rules").otherwise(F.col("section")).alias("section"), F.coalesce("name", "rule").alias("name"),
@@ -26,7 +28,7 @@ def line_to_block(findings: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def guide_semi_filter(findings: DataFrame, *ids: DataFrame) -> DataFrame:
     """Findings whose rule is in the guide, the base rules or the lexicon."""
-    return findings.join(F.broadcast(effective_rule_ids(*ids)), "rule", "left_semi")
+    return findings.join(effective_rule_ids(*ids), "rule", "left_semi")
 
 
 def spelling_shadowed(findings: DataFrame) -> DataFrame:
@@ -170,13 +172,15 @@ def unique_rule_ids(rules: DataFrame) -> DataFrame:
 
     base = F.coalesce(F.nullif(F.trim("rule"), F.lit("")), slug(F.col("title")))
     rows = rules.withColumn("base", base)
-    n = F.row_number().over(Window.partitionBy("base").orderBy("seq"))
-    rows = rows.withColumn("n", n)
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("base").orderBy("seq")))
     taken = rows.where("n = 1").select(F.col("base").alias("made"))
-    rows = rows.withColumn("made", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), F.col("n").cast("string"))))
-    clash = rows.where("n > 1").join(taken, "made", "left_semi").select("base", "n", F.lit(True).alias("clash"))
-    rows = rows.join(clash, ["base", "n"], "left")
-    return rows.withColumn("rule", F.when(F.col("clash"), F.concat("made", F.lit("_x"))).otherwise(F.col("made"))).drop("base", "n", "made", "clash")
+    # a base with m repeated rows and t names that already look like one of its own has m free ones among the first m + t
+    looks = taken.select(F.regexp_extract("made", r"^(.*)_[0-9]+$", 1).alias("base")).groupBy("base").agg(F.count("*").alias("t"))
+    wanted = rows.where("n > 1").groupBy("base").agg(F.count("*").alias("m")).join(looks, "base", "left")
+    names = wanted.select("base", F.explode(F.sequence(F.lit(2), 1 + F.col("m") + F.coalesce("t", F.lit(0)))).alias("k")).withColumn("made", F.concat_ws("_", "base", "k"))
+    free = names.join(taken, "made", "left_anti").withColumn("n", F.row_number().over(Window.partitionBy("base").orderBy("k")) + 1)
+    rows = rows.join(free.select("base", "n", "made"), ["base", "n"], "left")
+    return rows.withColumn("rule", F.coalesce("made", "base")).drop("base", "n", "made")
 
 
 # aggregates
@@ -340,14 +344,24 @@ def folder_descendants(folders: DataFrame, root: int, max_depth: int = 50) -> Da
     )
 
 
-def reference_cycles(edges: DataFrame, max_depth: int = 20) -> DataFrame:
-    """Starts of cycles in (src, dst), with the shortest way round."""
-    return edges.sparkSession.sql(
-        f"""WITH RECURSIVE walk(start, at, path, closed) AS (
-              SELECT src, dst, array(src), src = dst FROM {{edges}}
-              UNION ALL
-              SELECT w.start, e.dst, concat(w.path, array(e.src)), e.dst = w.start FROM walk w JOIN {{edges}} e ON w.at = e.src
-              WHERE NOT w.closed AND NOT array_contains(w.path, e.src) AND size(w.path) < {max_depth})
-            SELECT start, min(size(path)) AS length FROM walk WHERE closed GROUP BY start""",
-        edges=edges,
-    )
+def reference_cycles(edges: DataFrame) -> DataFrame:
+    """Starts of cycles in (src, dst), with the length of the shortest way round.
+
+    Nodes without a way in or out are trimmed first, as they lie on no cycle. From the others the walk spreads one step a round; a node is
+    reached once from each start, so the work is bounded by starts times edges, whatever the number of paths. Each round is a written table.
+    """
+    edges = written(edges.select("src", "dst").dropna().distinct(), "edges")
+    left = edges.count()
+    while left:
+        edges = written(edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "edges")
+        edges = written(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"), "edges")
+        before, left = left, edges.count()
+        if left == before:
+            break
+    seen = front = written(edges.select(F.col("src").alias("start"), F.col("dst").alias("at"), F.lit(1).alias("length")), "walk")
+    while not front.isEmpty():
+        open_ends = front.where("at <> start").select("start", F.col("at").alias("src"), "length")
+        step = open_ends.join(edges, "src").select("start", F.col("dst").alias("at"), (F.col("length") + 1).alias("length")).distinct()
+        front = written(step.join(seen.select("start", "at"), ["start", "at"], "left_anti"), "walk")
+        seen = seen.unionByName(front)
+    return seen.where("at = start").select("start", "length")

@@ -29,11 +29,11 @@ def lexical_score(passages: DataFrame, rules: DataFrame) -> DataFrame:
     """(chunk, rule, lexical): shared words over the root of both lengths, and 1 more if the passage holds a bad example. Joined on words, so pairs without a common word never meet; the examples' first words find the rest."""
     q, r = terms(passages, "chunk", "text"), terms(rules, "rule", "text")
     size_q, size_r = q.groupBy("chunk").agg(F.sum("n").alias("lq")), r.groupBy("rule").agg(F.sum("n").alias("lr"))
-    shared = q.join(F.broadcast(r.withColumnRenamed("n", "m")), "token").groupBy("chunk", "rule").agg(F.sum(F.least("n", "m")).alias("common"))
+    shared = q.join(r.withColumnRenamed("n", "m"), "token").groupBy("chunk", "rule").agg(F.sum(F.least("n", "m")).alias("common"))
     score = F.col("common") / F.greatest(F.lit(1.0), F.sqrt("lq") * F.sqrt("lr"))
-    base = shared.join(size_q, "chunk").join(F.broadcast(size_r), "rule").select("chunk", "rule", score.alias("s"))
+    base = shared.join(size_q, "chunk").join(size_r, "rule").select("chunk", "rule", score.alias("s"))
     examples = rules.select("rule", F.explode("bad_examples").alias("bad")).where(F.length("bad") >= 3).withColumn("token", tokens(F.col("bad"))[0])
-    held = q.join(F.broadcast(examples), "token").join(passages.select("chunk", "text"), "chunk").where(F.contains(F.lower("text"), F.lower("bad"))).select("chunk", "rule", F.lit(1.0).alias("s")).distinct()
+    held = q.join(examples, "token").join(passages.select("chunk", "text"), "chunk").where(F.contains(F.lower("text"), F.lower("bad"))).select("chunk", "rule", F.lit(1.0).alias("s")).distinct()
     return base.unionByName(held).groupBy("chunk", "rule").agg(F.sum("s").alias("lexical"))
 
 

@@ -23,7 +23,7 @@ def mapped(c: Column, names: dict[str, str], default: Column) -> Column:
 
 def engine_evidence(findings: DataFrame, rules: DataFrame) -> DataFrame:
     """Findings with a block as candidates of worker 0; verification is asked where the rule is not machine-verifiable."""
-    joined = findings.join(F.broadcast(rules.select("rule", "machine_verifiable")), "rule", "left")
+    joined = findings.join(rules.select("rule", "machine_verifiable"), "rule", "left")
     return joined.select(
         "doc_id", "block_index", "rule", mapped(F.col("severity"), SEVERITY_OF_ENGINE, F.lit("suggestion")).alias("severity"), F.col("text").alias("span_text"), F.coalesce("replacement", F.lit("")).alias("suggestion"),
         F.col("message").alias("description"), F.array(F.lit(0)).alias("source_workers"), F.lit("engine").alias("evidence_source"), (~F.coalesce("machine_verifiable", F.lit(False))).alias("verification_required"),
@@ -67,7 +67,7 @@ def parse_model_response(responses: DataFrame) -> DataFrame:
 
 def validated(issues: DataFrame, blocks: DataFrame, rules: DataFrame) -> DataFrame:
     """Issues with ``reject_reason`` (null: accepted). ``blocks``: doc_id, block_index, plain. Rules may have forbidden_chars, forbidden_introduced_chars and required_chars."""
-    joined = issues.join(blocks.select("doc_id", "block_index", "plain"), ["doc_id", "block_index"], "left").join(F.broadcast(rules.select("rule", F.lit(1).alias("known"), "forbidden_chars", "forbidden_introduced_chars", "required_chars")), "rule", "left")
+    joined = issues.join(blocks.select("doc_id", "block_index", "plain"), ["doc_id", "block_index"], "left").join(rules.select("rule", F.lit(1).alias("known"), "forbidden_chars", "forbidden_introduced_chars", "required_chars"), "rule", "left")
     empty = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
     none = F.array().cast("array<string>")
     source = F.coalesce(F.nullif("span_text", F.lit("")), F.col("plain"))
@@ -91,7 +91,7 @@ def split_objective(candidates: DataFrame, verifier: bool) -> DataFrame:
 def resolve_conflicts(candidates: DataFrame, rules: DataFrame) -> DataFrame:
     """(kept rows) pairs of a block in order: a rule that supersedes or specialises another drops it; rules of one conflict family with different suggestions drop the one of lower precedence; equal ones stay, marked unresolved. A dropped row takes no further part, so the rows of a block are folded in order; blocks with one row pass by."""
     per = Window.partitionBy("doc_id", "block_index")
-    rows = candidates.join(F.broadcast(rules.select("rule", "priority", "conflict_family", "over")), "rule", "left").withColumn("alone", F.count("*").over(per) == 1)
+    rows = candidates.join(rules.select("rule", "priority", "conflict_family", "over"), "rule", "left").withColumn("alone", F.count("*").over(per) == 1)
     out = "doc_id long, block_index int, pos int, rule string, suggestion string, unresolved boolean"
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
@@ -145,7 +145,7 @@ def build_requests(chunks: DataFrame, rules_text: DataFrame, enabled: tuple[str,
     passes = F.filter(
         F.array(*(F.when((F.col(flag) if flag else F.lit(True)) & (F.col("n_blocks") >= least), name) for name, flag, least in PASSES if name in enabled)), lambda p: p.isNotNull()
     )
-    rows = chunks.select("*", F.explode(passes).alias("pass")).join(F.broadcast(rules_text), "pass", "left")
+    rows = chunks.select("*", F.explode(passes).alias("pass")).join(rules_text, "pass", "left")
     return rows.withColumn("request_key", request_key("pass", "rules", "text"))
 
 

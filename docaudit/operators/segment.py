@@ -171,7 +171,7 @@ def pack_by_chars(blocks: DataFrame, limit: int = 3500) -> DataFrame:
             held.append(u)
         if held:
             out.append("\n".join(held))
-        return pd.DataFrame({"doc_id": part["doc_id"].iloc[0], "part": range(len(out)), "text": out})
+        return pd.DataFrame({"doc_id": [part["doc_id"].iloc[0]] * len(out), "part": list(range(len(out))), "text": pd.Series(out, dtype=object)})
 
     kind = blocks.schema["doc_id"].dataType.simpleString()
     return blocks.select("doc_id", "block_index", "plain").groupBy("doc_id").applyInPandas(pack, f"doc_id {kind}, part int, text string")

@@ -59,7 +59,7 @@ def build_report(spark: SparkSession, d: str) -> DataFrame:
 def insights(spark: SparkSession, d: str) -> DataFrame:
     rows = C.rule_hits(hits(spark, d))
     titles = C.rule_titles(rows.select("rule", F.upper("rule").alias("title")).distinct())
-    return rows.join(F.broadcast(titles), "rule", "left").select("user", "rule", "title", "count")
+    return rows.join(titles, "rule", "left").select("user", "rule", "title", "count")
 
 
 @query("SELECT CAST(item_id AS VARCHAR) AS rule, substring(text, 1, 12) AS term, CAST(row_number() OVER (ORDER BY item_id) AS INT) AS at FROM benchmark QUALIFY row_number() OVER (ORDER BY item_id) <= 60")

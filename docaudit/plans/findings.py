@@ -139,7 +139,7 @@ def _morph(spark: SparkSession) -> DataFrame:
 
 
 def _readings(spark: SparkSession, d: str) -> DataFrame:
-    return L.morph_lookup(L.word_tokens(lines(spark, d)), F.broadcast(_morph(spark)))
+    return L.morph_lookup(L.word_tokens(lines(spark, d)), _morph(spark))
 
 
 @query()

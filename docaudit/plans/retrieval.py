@@ -53,13 +53,14 @@ def rule_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
-    """The first vectors as those of rules: three fields each."""
+    """Three vectors for every rule, one a field."""
     field = F.when(F.col("vec_id") % 3 == 0, "identity").when(F.col("vec_id") % 3 == 1, "policy").otherwise("examples")
-    return table(spark, d, "embeddings").where("vec_id < 60").select(F.floor(F.col("vec_id") / 3).cast("string").alias("rule"), field.alias("field"), F.col("embedding").alias("v"))
+    every = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 3).cast("string").alias("rule"), field.alias("field"), F.col("embedding").alias("v"))
+    return every.join(rules(spark, d).select("rule"), "rule", "left_semi")
 
 
 UNITS = "u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y)))) AS v FROM embeddings)"
-SEMANTIC = "SELECT q.vec_id AS chunk, CAST(r.vec_id // 3 AS VARCHAR) AS rule, round(sum(CASE r.vec_id % 3 WHEN 0 THEN 0.25 WHEN 1 THEN 0.45 ELSE 0.30 END * list_dot_product(q.v, r.v)), 6) AS semantic FROM u q, u r WHERE r.vec_id < 60 GROUP BY ALL"
+SEMANTIC = "SELECT q.vec_id AS chunk, CAST(r.vec_id // 3 AS VARCHAR) AS rule, round(sum(CASE r.vec_id % 3 WHEN 0 THEN 0.25 WHEN 1 THEN 0.45 ELSE 0.30 END * list_dot_product(q.v, r.v)), 6) AS semantic FROM u q, u r WHERE r.vec_id // 3 IN (SELECT item_id FROM benchmark) GROUP BY ALL"
 
 
 @query(f"WITH {UNITS} {SEMANTIC}")
@@ -101,8 +102,9 @@ def retrieve_batch(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def hybrid_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """Each passage with one of all stored vectors as its own."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("n"), F.col("embedding").alias("v"))
-    p = passages(spark, d).withColumn("n", F.pmod(F.xxhash64("chunk"), F.lit(500))).join(v, "n")
+    p = passages(spark, d).withColumn("n", F.pmod(F.xxhash64("chunk"), F.lit(max(1, v.count())))).join(v, "n", "left")
     return R.retrieve(p, rules(spark, d), 10, vectors(spark, d)).select("chunk", "rule", F.round("score", 6).alias("score"), "rank", "mode")
 
 
@@ -111,7 +113,7 @@ def rule_hit_counts(spark: SparkSession, d: str) -> DataFrame:
     return R.select_top_k(_boosts(spark, d), 10).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@query("SELECT label AS guide, CASE WHEN count(*) = 0 THEN 'empty' WHEN count(*) FILTER (vec_id < 20) = count(*) THEN 'hybrid' ELSE 'lexical_only' END AS state FROM embeddings GROUP BY label")
+@query("SELECT label AS guide, CASE WHEN count(*) = 0 THEN 'empty' WHEN count(*) FILTER (vec_id IN (SELECT vec_id // 3 FROM embeddings WHERE vec_id // 3 IN (SELECT item_id FROM benchmark))) = count(*) THEN 'hybrid' ELSE 'lexical_only' END AS state FROM embeddings GROUP BY label")
 def index_state(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "embeddings").select(F.col("label").alias("guide"), F.col("vec_id").cast("string").alias("rule"))
     return R.index_state(g, vectors(spark, d).select("rule"))

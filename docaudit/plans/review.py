@@ -206,7 +206,7 @@ def guide_readiness(spark: SparkSession, d: str) -> DataFrame:
 @query(FOUND + "SELECT rule, CAST(CASE severity WHEN 'error' THEN 90 WHEN 'warning' THEN 60 ELSE 40 END AS INT) AS priority, rule <> 'Digits_Long' AS machine_verifiable, count(*) AS n FROM found GROUP BY ALL")
 def authority_metadata(spark: SparkSession, d: str) -> DataFrame:
     meta = V.authority_metadata(rule_table(spark)).select("rule", "priority", "machine_verifiable")
-    return findings(spark, d).select("rule").join(F.broadcast(meta), "rule").groupBy("rule", "priority", "machine_verifiable").agg(F.count("*").alias("n"))
+    return findings(spark, d).select("rule").join(meta, "rule").groupBy("rule", "priority", "machine_verifiable").agg(F.count("*").alias("n"))
 
 
 def expectations(spark: SparkSession, d: str) -> DataFrame:

@@ -178,18 +178,20 @@ def folder_item_count(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {FOLDERS} SELECT c_custkey AS doc_id, concat_ws(' / ', 'world', r_name, n_name) AS folder FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def document_picker(spark: SparkSession, d: str) -> DataFrame:
     paths = C.folder_paths(folders(spark, d))
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), (F.col("c_nationkey") + 1000).alias("id")).join(F.broadcast(paths), "id").select("doc_id", F.col("path").alias("folder"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), (F.col("c_nationkey") + 1000).alias("id")).join(paths, "id").select("doc_id", F.col("path").alias("folder"))
 
 
-@query("""WITH e AS (SELECT DISTINCT n_nationkey AS src, (n_nationkey + n_regionkey + 1) % 5 AS dst FROM nation),
+@query("""WITH e AS (SELECT DISTINCT s_suppkey AS src, CAST(s_suppkey // 5 * 5 + (s_suppkey + s_nationkey + 1) % 5 AS BIGINT) AS dst FROM supplier),
 w AS (SELECT a.src AS start, list_distinct([a.src, a.dst]) AS p FROM e a) SELECT src AS start, CAST(min(len) AS INT) AS length FROM (
 SELECT a.src, 1 AS len FROM e a WHERE a.src = a.dst UNION ALL SELECT a.src, 2 FROM e a JOIN e b ON a.dst = b.src AND b.dst = a.src WHERE a.src <> a.dst
 UNION ALL SELECT a.src, 3 FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src AND c.dst = a.src WHERE a.src <> b.src AND b.src <> c.src AND a.src <> c.src
 UNION ALL SELECT a.src, 4 FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src JOIN e g ON c.dst = g.src AND g.dst = a.src WHERE len(list_distinct([a.src, b.src, c.src, g.src])) = 4
 UNION ALL SELECT a.src, 5 FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src JOIN e g ON c.dst = g.src JOIN e h ON g.dst = h.src AND h.dst = a.src WHERE len(list_distinct([a.src, b.src, c.src, g.src, h.src])) = 5) GROUP BY src""")
 def supersedes_cycles(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "nation")
-    return C.reference_cycles(n.select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") + F.col("n_regionkey") + 1) % 5).alias("dst")).distinct())
+    """Suppliers in fives, each pointing at one of its five."""
+    s = table(spark, d, "supplier")
+    five = F.floor(F.col("s_suppkey") / 5) * 5
+    return C.reference_cycles(s.select(F.col("s_suppkey").alias("src"), (five + (F.col("s_suppkey") + F.col("s_nationkey") + 1) % 5).alias("dst")).distinct())
 
 
 def spec(spark: SparkSession, d: str, lang: str) -> DataFrame:
