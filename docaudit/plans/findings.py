@@ -192,9 +192,11 @@ def unfinished_list_intro(spark: SparkSession, d: str) -> DataFrame:
     return L.unfinished_list_intro(turns(spark, d).withColumn("plain", F.regexp_replace("plain", r"\.$", ":")))
 
 
-@query("SELECT doc_id, CAST(0 AS INT) AS block_index FROM documents WHERE regexp_matches(text, '(?i)\\b(?:in section|see section)\\s+\\S+')")
+@query(f"WITH {LINES} SELECT doc_id, line AS block_index FROM lines WHERE regexp_matches(replace(replace(text, ' of ', ' in section '), ' de ', ' см. раздел '), '(?i)\\b(?:in section|see section)\\s+\\S+|(?:^|[^\\p{{L}}\\p{{N}}_])см\\. раздел\\s+\\S+')")
 def unlinked_cross_reference(spark: SparkSession, d: str) -> DataFrame:
-    return L.unlinked_cross_reference(table(spark, d, "documents").select("doc_id", F.lit(0).alias("block_index"), F.col("text").alias("plain")))
+    """Lines in which two common words stand for references."""
+    plain = F.replace(F.replace("text", F.lit(" of "), F.lit(" in section ")), F.lit(" de "), F.lit(" см. раздел "))
+    return L.unlinked_cross_reference(lines(spark, d).select("doc_id", F.col("line").alias("block_index"), plain.alias("plain")))
 
 
 @query()

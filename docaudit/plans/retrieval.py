@@ -145,8 +145,10 @@ def unknown_rule_refs(spark: SparkSession, d: str) -> DataFrame:
     return C.unknown_rule_refs(rules(spark, d).withColumns({"specializes": F.lit(None).cast("array<string>"), "requires": F.lit(None).cast("array<string>")}))
 
 
-@query("SELECT DISTINCT CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS conflict_family, substring(text, 1, 4) AS example FROM benchmark WHERE item_id % 2 = 0 AND substring(text, 1, 4) IN (SELECT substring(text, 2, 4) FROM benchmark WHERE item_id % 2 = 0) UNION SELECT DISTINCT 'odd', substring(text, 1, 4) FROM benchmark WHERE item_id % 2 = 1 AND substring(text, 1, 4) IN (SELECT substring(text, 2, 4) FROM benchmark WHERE item_id % 2 = 1)")
+@query("""WITH b AS (SELECT CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS conflict_family, string_split(text, ' ') AS w FROM benchmark)
+SELECT DISTINCT conflict_family, unnest(w[1:3]) AS example FROM b INTERSECT SELECT DISTINCT conflict_family, unnest(w[4:6]) FROM b""")
 def example_contradictions(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "benchmark")
+    """The first three words of an item as good examples, the next three as bad ones."""
+    b = table(spark, d, "benchmark").withColumn("w", F.split("text", " ", -1))
     family = F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd")
-    return C.example_contradictions(b.select(family.alias("conflict_family"), F.array(F.substring("text", 1, 4)).alias("good_examples"), F.array(F.substring("text", 2, 4)).alias("bad_examples")))
+    return C.example_contradictions(b.select(family.alias("conflict_family"), F.slice("w", 1, 3).alias("good_examples"), F.slice("w", 4, 3).alias("bad_examples")))

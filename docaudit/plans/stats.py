@@ -229,9 +229,10 @@ def consistency_by_name(spark: SparkSession, d: str) -> DataFrame:
     return C.consistency_by_name(fields).select("name", "variants", "total")
 
 
-@query("WITH t AS (SELECT CASE WHEN p_size > 25 THEN upper(p_type) ELSE p_type END AS text FROM part) SELECT lower(text) AS norm, count(DISTINCT text) AS spellings, count(*) AS n, 'case' AS reason FROM t GROUP BY 1 HAVING count(DISTINCT text) > 1")
+@query("WITH t AS (SELECT CASE WHEN p_size > 25 THEN upper(substring(p_name, 1, 6)) ELSE substring(p_name, 1, 6) END AS text FROM part) SELECT lower(trim(text)) AS norm, count(DISTINCT text) AS spellings, count(*) AS n, 'case' AS reason FROM t GROUP BY 1 HAVING count(DISTINCT text) > 1")
 def consistency_by_text(spark: SparkSession, d: str) -> DataFrame:
-    return C.consistency_by_text(table(spark, d, "part").select(F.when(F.col("p_size") > 25, F.upper("p_type")).otherwise(F.col("p_type")).alias("text")))
+    name = F.substring("p_name", 1, 6)
+    return C.consistency_by_text(table(spark, d, "part").select(F.when(F.col("p_size") > 25, F.upper(name)).otherwise(name).alias("text")))
 
 
 @query(f"WITH {SPEC} SELECT path_str, text FROM b WHERE contains(lower(text), 'a') OR contains(lower(path_str), '1') ORDER BY line LIMIT 50 OFFSET 50")
@@ -310,9 +311,9 @@ def candidate_pair_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return C.candidate_pairs(c).where("l_rule <> r_rule").select("block_index", "l_pos", "r_pos")
 
 
-@query("SELECT DISTINCT p_type AS rule FROM part WHERE p_type NOT IN (SELECT p_type FROM part WHERE p_size > 45) ORDER BY 1 LIMIT 50")
+@query("SELECT DISTINCT p_name AS rule FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_size > 45) ORDER BY 1 LIMIT 50")
 def never_offered_rules(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").withColumnRenamed("p_type", "rule")
+    p = table(spark, d, "part").withColumnRenamed("p_name", "rule")
     return C.never_offered_rules(p, p.where("p_size > 45"))
 
 
