@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docaudit.functions.text import stem, tokens
 from docaudit.operators.combine import rule_precedence
+from docaudit.sources.shared import written
 
 LEXICAL, SEMANTIC = 0.55, 0.45
 FIELD_WEIGHTS = {"identity": 0.25, "policy": 0.45, "examples": 0.30}
@@ -47,11 +48,22 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def semantic_score(passages: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(chunk, rule, semantic): weighted cosines to a rule's three vectors. Rules are a small table, broadcast; passages (chunk, v) are many."""
+def rule_vectors(vectors: DataFrame) -> DataFrame:
+    """(rule, vs): the vectors of a rule in the order of their fields, of unit length, each with its field's weight."""
     weights = F.create_map(*(F.lit(x) for kv in FIELD_WEIGHTS.items() for x in kv))
-    pairs = passages.select("chunk", normalize_vectors(F.col("v").cast("array<double>")).alias("q")).join(F.broadcast(vectors.select("rule", "field", normalize_vectors(F.col("v").cast("array<double>")).alias("r"))), F.lit(True))
-    return pairs.groupBy("chunk", "rule").agg(F.sum(weights[F.col("field")] * dot(F.col("q"), F.col("r"))).alias("semantic"))
+    one = F.struct("field", weights[F.col("field")].alias("w"), normalize_vectors(F.col("v").cast("array<double>")).alias("r"))
+    return vectors.groupBy("rule").agg(F.array_sort(F.collect_list(one)).alias("vs"))
+
+
+def closeness(q: Column, vs: Column) -> Column:
+    """Weighted sum of the cosines of a unit vector to a rule's vectors."""
+    return F.aggregate(vs, F.lit(0.0), lambda s, x: s + x["w"] * dot(q, x["r"]))
+
+
+def semantic_score(passages: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(chunk, rule, semantic): weighted cosines to a rule's vectors, for every passage (chunk, v) and every rule, in one narrow pass over the passages. A rule set is a stated set of queries; ``retrieve`` keeps k rules a passage."""
+    q = passages.select("chunk", normalize_vectors(F.col("v").cast("array<double>")).alias("q"))
+    return q.join(rule_vectors(vectors), F.lit(True)).select("chunk", "rule", closeness(F.col("q"), F.col("vs")).alias("semantic"))
 
 
 def metadata_boost(task: Column, category: Column) -> Column:
@@ -69,23 +81,56 @@ def select_top_k(scored: DataFrame, k: int) -> DataFrame:
     return rows.where(F.col("rank") <= F.greatest(F.lit(k), F.col("n_mandatory"))).drop("n_mandatory")
 
 
+def _leading(scored: DataFrame, per: list[str], k: int) -> DataFrame:
+    """(per, rule) of the k best by ``base`` among the rules that aren't mandatory. Spark cuts to k a task before the shuffle."""
+    order = Window.partitionBy(*per).orderBy(F.desc("base"), *rule_precedence())
+    return scored.where(~F.col("mandatory")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select(*per, "rule")
+
+
 def retrieve(passages: DataFrame, rules: DataFrame, k: int, vectors: DataFrame | None = None) -> DataFrame:
-    """(chunk, rule, score, rank, mode) for all passages in one plan. Without any lexical hit and without vectors a passage gets all rules by precedence (mode fallback)."""
-    lexical = lexical_score(passages, rules)
-    every = passages.select("chunk", "task", "category").join(F.broadcast(rules), F.lit(True))
-    scored = every.join(lexical, ["chunk", "rule"], "left")
+    """(chunk, rule, score, rank, mode) for all passages in one plan.
+
+    mode is hybrid for a passage with a vector where rules have vectors, else lexical_only if it shares a word with a rule, else
+    fallback: all rules by precedence, with score 0. Ties go by precedence. ``chunk`` is unique; task and category may be null.
+
+    A score is a part that the words add, never below 0, and a base of the rest. So a rule without common words that is not among
+    the k best bases can't be among the k best scores, and pairs are scored only for common words, the k best bases and mandatory
+    rules. Without vectors the base depends on task and category alone and is worked out once for each two of them.
+    """
+    lexical = written(lexical_score(passages, rules), "lexical")  # read several times below
+    rules = rules.withColumn("mandatory", F.coalesce("mandatory", F.lit(False)))
+    boost = metadata_boost(F.col("task"), F.col("wanted"))
+    asked = passages.select("chunk", "task", F.col("category").alias("wanted"), (F.struct("task", "category").cast("string")).alias("label"))
+    labels = asked.select("label", "task", "wanted").distinct()
+    by_label = labels.join(rules, F.lit(True)).withColumn("base", boost)
+    mandatory = rules.where("mandatory").select("rule")
+    lists = _leading(by_label, ["label"], k).unionByName(labels.select("label").join(mandatory, F.lit(True))).groupBy("label").agg(F.collect_list("rule").alias("rules"))
+    hits = lexical.select("chunk", "rule")
+    plain = asked
+    if vectors is not None:
+        known = rule_vectors(vectors)
+        q = passages.where("v is not null").select("chunk", normalize_vectors(F.col("v").cast("array<double>")).alias("q"))
+        near = q.join(asked, "chunk").join(rules.join(known, "rule", "left"), F.lit(True))
+        near = near.withColumn("base", SEMANTIC * F.coalesce(closeness(F.col("q"), F.col("vs")), F.lit(0.0)) + boost)
+        best = _leading(near, ["chunk"], k).unionByName(q.select("chunk").join(mandatory, F.lit(True)))
+        plain = asked.join(q, "chunk", "left_anti")
+    # passages without a common word and without a vector get every rule
+    some = hits.select("chunk").distinct()
+    short = plain.join(some, "chunk", "left_semi").join(lists, "label").select("chunk", F.explode("rules").alias("rule"))
+    pairs = hits.unionByName(short)
+    if vectors is not None:
+        pairs = pairs.unionByName(best)
+    pairs = pairs.distinct().join(lexical, ["chunk", "rule"], "left").join(asked, "chunk").join(rules, "rule")
+    semantic, mode = F.lit(0.0), F.lit("lexical_only")
     if vectors is not None:
-        scored = scored.join(semantic_score(passages, vectors), ["chunk", "rule"], "left")
-    else:
-        scored = scored.withColumn("semantic", F.lit(None).cast("double"))
-    boost = metadata_boost(F.col("task"), F.col("category"))
-    score = LEXICAL * F.coalesce("lexical", F.lit(0.0)) + SEMANTIC * F.coalesce("semantic", F.lit(0.0)) + boost
-    hit = F.max(F.coalesce("lexical", F.lit(0.0))).over(Window.partitionBy("chunk")) > 0
-    mode = F.when(F.col("semantic").isNotNull(), "hybrid").when(hit, "lexical_only").otherwise("fallback")
-    scored = scored.withColumns({"score": score, "mode": mode})
-    scored = scored.withColumn("score", F.when(F.col("mode") == "fallback", 0.0).otherwise(F.col("score")))
-    rows = select_top_k(scored.where("mode <> 'fallback'"), k).unionByName(select_top_k(scored.where("mode = 'fallback'"), 1 << 30))
-    return rows.select("chunk", "rule", "score", "rank", "mode")
+        pairs = pairs.join(q, "chunk", "left").join(known, "rule", "left")
+        semantic = F.coalesce(closeness(F.col("q"), F.col("vs")), F.lit(0.0))
+        mode = F.when(F.col("q").isNotNull(), "hybrid").otherwise("lexical_only")
+    score = LEXICAL * F.coalesce("lexical", F.lit(0.0)) + (SEMANTIC * semantic + boost)
+    scored = select_top_k(pairs.withColumns({"score": score, "mode": mode}), k)
+    rest = plain.join(some, "chunk", "left_anti").join(rules, F.lit(True)).withColumns({"score": F.lit(0.0), "mode": F.lit("fallback")})
+    out = ("chunk", "rule", "score", "rank", "mode")
+    return scored.select(*out).unionByName(select_top_k(rest, 1 << 30).select(*out))
 
 
 def index_state(guides: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -81,10 +81,18 @@ b AS (SELECT p.chunk, r.*, round(priority / 1000.0 + CASE WHEN for_guide THEN 0.
 
 
 def _boosts(spark: SparkSession, d: str) -> DataFrame:
-    every = passages(spark, d).select("chunk", "task", F.col("category").alias("wanted")).join(F.broadcast(rules(spark, d)), F.lit(True))
+    every = passages(spark, d).select("chunk", "task", F.col("category").alias("wanted")).join(rules(spark, d), F.lit(True))
     return every.withColumn("score", F.round(R.metadata_boost(F.col("task"), F.col("wanted")), 6))
 
 
+def _best(spark: SparkSession, d: str) -> DataFrame:
+    """The best rules of each passage by what task and category add, ranked once for each two of them."""
+    asked = passages(spark, d).select("chunk", "task", F.col("category").alias("wanted"))
+    labels = asked.select("task", "wanted").distinct().select(F.struct("task", "wanted").alias("chunk"), "task", "wanted").join(rules(spark, d), F.lit(True))
+    best = R.select_top_k(labels.withColumn("score", F.round(R.metadata_boost(F.col("task"), F.col("wanted")), 6)), 10)
+    return asked.join(best.select("task", "wanted", "rule", "rank"), ["task", "wanted"])
+
+
 @query(f"WITH {RULES} SELECT chunk, rule, CAST(boost AS DOUBLE) AS boost FROM b")
 def metadata_boost(spark: SparkSession, d: str) -> DataFrame:
     return _boosts(spark, d).select("chunk", "rule", F.col("score").alias("boost"))
@@ -92,7 +100,7 @@ def metadata_boost(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {RULES}, k AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY mandatory DESC, CASE WHEN mandatory THEN 0 ELSE -boost END, priority DESC, scope_rank DESC, mv DESC, rule) AS rank, count(*) FILTER (mandatory) OVER (PARTITION BY chunk) AS nm FROM b) SELECT chunk, rule, CAST(rank AS INT) AS rank FROM k WHERE rank <= greatest(10, nm)")
 def select_top_k(spark: SparkSession, d: str) -> DataFrame:
-    return R.select_top_k(_boosts(spark, d), 10).select("chunk", "rule", "rank")
+    return _best(spark, d).select("chunk", "rule", "rank")
 
 
 @query()
@@ -110,7 +118,7 @@ def hybrid_retrieval(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT rule, count(*) AS n FROM (WITH " + RULES + ", k AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY mandatory DESC, CASE WHEN mandatory THEN 0 ELSE -boost END, priority DESC, scope_rank DESC, mv DESC, rule) AS rank FROM b) SELECT rule FROM k WHERE rank <= 10) GROUP BY rule")
 def rule_hit_counts(spark: SparkSession, d: str) -> DataFrame:
-    return R.select_top_k(_boosts(spark, d), 10).groupBy("rule").agg(F.count("*").alias("n"))
+    return _best(spark, d).groupBy("rule").agg(F.count("*").alias("n"))
 
 
 @query("SELECT label AS guide, CASE WHEN count(*) = 0 THEN 'empty' WHEN count(*) FILTER (vec_id IN (SELECT vec_id // 3 FROM embeddings WHERE vec_id // 3 IN (SELECT item_id FROM benchmark))) = count(*) THEN 'hybrid' ELSE 'lexical_only' END AS state FROM embeddings GROUP BY label")
