@@ -21,11 +21,12 @@ class Rule:
     source: str = "style"
 
 
-def words_rule(rule: str, words: tuple[str, ...], message: str, severity: str = "warning") -> Rule:
-    """Whole words, any case."""
-    return Rule(rule, r"(?iu)(?<![\p{L}\p{N}_])(?:" + "|".join(map(re.escape, words)) + r")(?![\p{L}\p{N}_])", message, severity)
+def words_rule(rule: str, words: tuple[str, ...], message: str, severity: str = "warning", ignorecase: bool = True) -> Rule:
+    """Whole words, in any case or as they are written."""
+    flags = "(?iu)" if ignorecase else ""
+    return Rule(rule, flags + r"(?<![\p{L}\p{N}_])(?:" + "|".join(map(re.escape, words)) + r")(?![\p{L}\p{N}_])", message, severity)
 
 
-def swap_rule(rule: str, swap: dict[str, str], message: str, severity: str = "warning") -> Rule:
-    made = words_rule(rule, tuple(swap), message, severity)
-    return Rule(rule, made.pattern, message, severity, swap=tuple((k.lower(), v) for k, v in swap.items()))
+def swap_rule(rule: str, swap: dict[str, str], message: str, severity: str = "warning", ignorecase: bool = True) -> Rule:
+    made = words_rule(rule, tuple(swap), message, severity, ignorecase)
+    return Rule(rule, made.pattern, message, severity, swap=tuple({k.lower(): v for k, v in swap.items()}.items()))

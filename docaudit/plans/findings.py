@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docaudit.functions.text import escape_formula, technical_term
+from docaudit.functions import text as T
+from docaudit.functions.text import escape_formula
 from docaudit.operators import combine as C
 from docaudit.operators import lint as L
 from docaudit.plans.registry import query, table
@@ -162,14 +163,22 @@ def passive_voice(spark: SparkSession, d: str) -> DataFrame:
     return L.passive_voice(_readings(spark, d))
 
 
-@query("""SELECT word, regexp_matches(word, '[0-9_/\\\\`]') OR regexp_matches(word, '^[\\x00-\\x7F]*[A-Za-z][\\x00-\\x7F]*$') AS technical, n FROM (SELECT unnest(string_split(text, ' ')) AS word, count(*) AS n FROM documents GROUP BY 1) WHERE n >= 5""")
+_WORDS = ", ".join(f"'{w}'" for w in T.TECHNICAL_WORDS)
+_PREFIXED = " OR ".join(f"(starts_with(low, '{p}') AND length(low) > {len(p) + 3})" for p in T.TECHNICAL_PREFIXES)
+_MARKS = T.OUTER_MARKS.replace("'", "''")
+#: Of a word ``low`` in lower case without marks round it.
+TECHNICAL = rf"""low <> '' AND (low IN ({_WORDS}) OR regexp_matches(low, '[\p{{Nd}}_/\\]') OR regexp_matches(low, '^[\x00-\x7F]*[a-z][\x00-\x7F]*$') OR {_PREFIXED}
+OR regexp_matches(low, '{T.TECHNICAL_COMPOUND}') OR regexp_matches(low, '{T.TECHNICAL_DOMAIN}'))"""
+
+
+@query(f"""WITH w AS (SELECT word, lower(trim(word, '{_MARKS}')) AS low, n FROM (SELECT unnest(string_split(text, ' ')) AS word, count(*) AS n FROM documents GROUP BY 1) WHERE n >= 5) SELECT word, {TECHNICAL} AS technical, n FROM w""")
 def technical_terms(spark: SparkSession, d: str) -> DataFrame:
     words = table(spark, d, "documents").select(F.explode(F.split("text", " ", -1)).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n >= 5")
-    return words.select("word", technical_term(F.col("word")).alias("technical"), "n")
+    return words.select("word", T.technical_term(F.col("word")).alias("technical"), "n")
 
 
-@query("""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS text FROM documents) SELECT doc_id, text, count(*) AS n FROM w
-WHERE NOT contains(text, '-') AND NOT regexp_matches(text, '[0-9_/\\\\`]') AND NOT regexp_matches(text, '^[\\x00-\\x7F]*[A-Za-z][\\x00-\\x7F]*$') GROUP BY ALL""")
+@query(f"""WITH w AS (SELECT doc_id, text, lower(trim(text, '{_MARKS}')) AS low FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS text FROM documents))
+SELECT doc_id, text, count(*) AS n FROM w WHERE NOT contains(text, '-') AND NOT ({TECHNICAL}) GROUP BY ALL""")
 def spelling_filter(spark: SparkSession, d: str) -> DataFrame:
     words = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", " ", -1)).alias("text"), F.lit("S").alias("rule"), F.lit("typos").alias("category"))
     return L.spelling_filter(words, ("SKIP",)).groupBy("doc_id", "text").agg(F.count("*").alias("n"))
@@ -182,7 +191,8 @@ def severity_filter(spark: SparkSession, d: str) -> DataFrame:
     return L.severity_filter(all_found, "error", dismissed).select("doc_id", "line", F.col("column").alias("col"), "rule")
 
 
-@query()
+@query(FOUND + r"""SELECT doc_id, line, col AS "column", CASE WHEN rule = 'HomogeneousMembers' THEN trim(regexp_extract(substring(lines.text, 1, col - 1), '([^.!?]*)$', 1) || regexp_extract(substring(lines.text, col), '^([^.!?]*[.!?]?)', 1), ' ') ELSE found.text END AS text,
+CASE rule WHEN 'HomogeneousMembers' THEN 'a list' WHEN 'Exclamation_Double' THEN '!' END AS replacement FROM found JOIN lines USING (doc_id, line)""")
 def rewrite_matches(spark: SparkSession, d: str) -> DataFrame:
     return L.rewrite_to_sentence(findings(spark, d), lines(spark, d), "HomogeneousMembers", "a list").select("doc_id", "line", "column", "text", "replacement")
 
@@ -199,7 +209,7 @@ def unlinked_cross_reference(spark: SparkSession, d: str) -> DataFrame:
     return L.unlinked_cross_reference(lines(spark, d).select("doc_id", F.col("line").alias("block_index"), plain.alias("plain")))
 
 
-@query()
+@query(r"SELECT page_id AS doc_id, 0 AS block_index, unnest(regexp_extract_all(replace(html, 'The ', 'button The '), '(?i:button|кнопк[уаеи])\s+(\p{Lu}\p{L}*)', 1)) AS label FROM pages")
 def unquoted_ui_label(spark: SparkSession, d: str) -> DataFrame:
     return L.unquoted_ui_label(table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.lit(0).alias("block_index"), F.regexp_replace("html", "The ", "button The ").alias("plain")))
 

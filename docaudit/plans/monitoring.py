@@ -133,9 +133,14 @@ def list_watch_pages(spark: SparkSession, d: str) -> DataFrame:
     return state.groupBy(H.url_host(F.col("url")).alias("host")).agg(F.count("*").alias("pages"), F.count_if(F.col("last_status") == "changed").alias("changed"))
 
 
-@query("SELECT page_id, CASE WHEN length(html) < 24 THEN 'too short' WHEN regexp_matches(html, '(?i)<input[^>]+password') THEN 'login page' END AS problem FROM pages")
+@query()
 def snapshot_quality(spark: SparkSession, d: str) -> DataFrame:
-    return pages(spark, d).select("page_id", W.snapshot_quality(F.col("html"), F.col("html")).alias("problem"))
+    """Pages as they are, and each as a login page, by the text that a reader sees."""
+    both = F.array(F.struct(F.lit(0).alias("login"), F.col("html")), F.struct(F.lit(1).alias("login"), F.concat(F.lit("<p>Sign in</p><input type=password>"), F.col("html")).alias("html")))
+    p = pages(spark, d).select("page_id", F.explode(both).alias("b")).select((F.col("page_id") * 2 + F.col("b.login")).alias("page_id"), "b.html")
+    ordered = F.array_sort(F.collect_list(F.struct("line", "text")))
+    shown = H.visible_text(p).groupBy("page_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"))
+    return p.join(shown, "page_id", "left").select(F.floor(F.col("page_id") / 2).alias("page_id"), (F.col("page_id") % 2 == 1).alias("login"), W.snapshot_quality(F.col("text"), F.col("html")).alias("problem"))
 
 
 @query(f"SELECT doc_id, sha256(trim({replaced('text', T.VOLATILE)}, ' -–—•·')) AS content_hash FROM documents")

@@ -156,9 +156,14 @@ def nearest_heading(spark: SparkSession, d: str) -> DataFrame:
     return S.nearest_heading(turns(spark, d)).select("doc_id", "block_index", F.md5("heading").alias("heading"))
 
 
-@query(f"WITH {TURNS} SELECT doc_id, block_index, CAST(CASE WHEN last_value(CASE WHEN type = 'heading' THEN 1 END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY block_index) = 1 THEN 1 ELSE 0 END AS INT) AS depth FROM turns")
+@query(f"""WITH {TURNS}, h AS (SELECT doc_id, block_index, plain, CASE WHEN type <> 'list_item' THEN block_index % 3 END AS level FROM turns),
+l AS (SELECT doc_id, block_index, {', '.join(f"last_value(CASE WHEN level = {k} THEN block_index END IGNORE NULLS) OVER w AS i{k}, last_value(CASE WHEN level = {k} THEN plain END IGNORE NULLS) OVER w AS t{k}" for k in range(3))}
+FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY block_index))
+SELECT doc_id, block_index, md5(concat_ws(' / ', t0, CASE WHEN i1 > coalesce(i0, -1) THEN t1 END, CASE WHEN i2 > greatest(coalesce(i0, -1), coalesce(i1, -1)) THEN t2 END)) AS path FROM l""")
 def heading_path(spark: SparkSession, d: str) -> DataFrame:
-    return S.heading_path(turns(spark, d)).select("doc_id", "block_index", F.size("path").alias("depth"))
+    """Turns that are no answers as headings of three levels."""
+    levels = turns(spark, d).withColumn("type", F.when(F.col("type") == "list_item", "paragraph").otherwise("heading")).withColumn("level", F.col("block_index") % 3 + 1)
+    return S.heading_path(levels).select("doc_id", "block_index", F.md5(F.array_join("path", " / ")).alias("path"))
 
 
 @query(f"""WITH {TURNS}, a AS (SELECT *, type = 'list_item' AS item, coalesce(lead(type = 'list_item') OVER w, false) AS nxt FROM turns WINDOW w AS (PARTITION BY doc_id ORDER BY block_index)),
@@ -192,7 +197,9 @@ def neighbour_context(spark: SparkSession, d: str) -> DataFrame:
     return S.neighbour_context(rows.where("type = 'list_item'"), rows).select("doc_id", "block_index", F.md5("plain").alias("digest"))
 
 
-@query()
+@query(rf"""WITH {TURNS}, h AS (SELECT *, last_value(CASE WHEN type = 'heading' THEN plain END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY block_index) AS heading FROM turns),
+l AS (SELECT doc_id, block_index, coalesce(heading || ': ', '') || array_to_string(string_split_regex(trim(plain, ' '), '\s+')[1:12], ' ') AS line FROM h),
+c AS (SELECT *, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY block_index) AS BIGINT) AS upto FROM l) SELECT doc_id, block_index, line, upto FROM c WHERE upto <= 400""")
 def compress_document(spark: SparkSession, d: str) -> DataFrame:
     return S.compress_document(turns(spark, d), limit=400)
 
@@ -222,6 +229,8 @@ def document_text(spark: SparkSession, d: str) -> DataFrame:
     return S.document_text(blocks(spark, d)).select("doc_id", F.md5("text").alias("digest"))
 
 
-@query()
+@query(f"""WITH {BLOCKS}, j AS (SELECT doc_id, block_index, length('{{"block_index":' || block_index || ',"plain":' || to_json(plain) || ',"type":"' || type || '"}}') + 1 AS n FROM blocks),
+u AS (SELECT doc_id, n, sum(n) OVER (PARTITION BY doc_id ORDER BY block_index) <= 16000 AS fits FROM j)
+SELECT doc_id, count(*) FILTER (fits) AS blocks, count(*) FILTER (NOT fits) AS remaining_blocks, CAST(sum(n) FILTER (fits) AS BIGINT) AS chars FROM u GROUP BY doc_id""")
 def document_json_bounded(spark: SparkSession, d: str) -> DataFrame:
     return S.document_json_bounded(blocks(spark, d))

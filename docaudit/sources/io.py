@@ -35,7 +35,7 @@ def read_rules(spark: SparkSession, path: str) -> list[Rule]:
         name, message, level = PurePosixPath(f["path"]).stem, str(spec.get("message", "")), str(spec.get("level", "warning"))
         flags = "(?iU)" if spec.get("ignorecase") else "(?U)"
         if spec.get("swap"):
-            out.append(swap_rule(name, {str(k): str(v) for k, v in spec["swap"].items()}, message, level))
+            out.append(swap_rule(name, {str(k): str(v) for k, v in spec["swap"].items()}, message, level, bool(spec.get("ignorecase"))))
         if spec.get("tokens"):
             made = words_rule(name, (), message, level)
             out.append(Rule(name, flags + r"(?<![\p{L}\p{N}_])(?:" + "|".join(map(str, spec["tokens"])) + r")(?![\p{L}\p{N}_])", made.message, level, exceptions=tuple(map(str, spec.get("exceptions") or ()))))

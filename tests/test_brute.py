@@ -206,3 +206,139 @@ def test_own_detectors(spark, monkeypatch):
     L.register_detector("shout", lambda lines: L.existence(lines, L.Rule("Shout", "[A-Z]{3,}", "Loud")))
     lines = spark.createDataFrame([(1, 1, "so LOUD here")], "doc_id long, line int, text string")
     assert [(r["text"], r["column"], r["source"]) for r in L.detect(lines).collect()] == [("LOUD", 4, "shout")]
+
+
+def precedence(rule):
+    scope = {"all": 0, "document": 1, "section": 2, "sentence": 3, "token": 4}[rule["scope"]]
+    return (-max(0, min(100, 50 if rule["priority"] is None else rule["priority"])), -scope, not rule["machine_verifiable"], rule["rule"])
+
+
+def retrieved(passages, rules, k, lexical, vectors):
+    def unit(v):
+        n = math.sqrt(sum(x * x for x in v)) or 1.0
+        return [x / n for x in v]
+
+    weights = {"identity": 0.25, "policy": 0.45, "examples": 0.30}
+    out = {}
+    for chunk, _, task, category, v in passages:
+        hit = any(c == chunk for c, _ in lexical)
+        mode = "hybrid" if v and vectors else "lexical_only" if hit else "fallback"
+        scored = []
+        for r in rules:
+            boost = (50 if r["priority"] is None else r["priority"]) / 1000 + 0.12 * (task in r["tasks"]) + 0.10 * (category in r["categories"]) + 0.06 * (r["scope"] in ("all", "document")) + 0.02 * r["machine_verifiable"]
+            near = sum(weights[f] * sum(a * b for a, b in zip(unit(v), unit(w))) for n, f, w in vectors if n == r["rule"]) if mode == "hybrid" else 0
+            scored.append((0.0 if mode == "fallback" else 0.55 * lexical.get((chunk, r["rule"]), 0) + 0.45 * near + boost, r))
+        scored.sort(key=lambda x: (not x[1]["mandatory"], 0 if x[1]["mandatory"] else -round(x[0], 9), precedence(x[1])))
+        keep = len(rules) if mode == "fallback" else max(k, sum(r["mandatory"] for r in rules))
+        out |= {(chunk, r["rule"]): (round(s, 6), i, mode) for i, (s, r) in enumerate(scored[:keep], 1)}
+    return out
+
+
+@pytest.mark.parametrize("with_vectors", [False, True])
+@pytest.mark.parametrize("k", [1, 4])
+def test_retrieve_scores_like_all_pairs(spark, with_vectors, k):
+    from docaudit.operators import retrieve as R
+
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    rules = [
+        dict(rule=f"r{i:02}", title="t", text=f"{words[i % 8]} {words[i * 3 % 8]}", bad_examples=[words[i % 8]] if i % 5 == 0 else [], mandatory=i % 9 == 0, priority=None if i % 7 == 0 else i * 5 % 11, scope=("all", "document", "section", "token")[i % 4], machine_verifiable=i % 2 == 0, tasks=["guide"] if i % 3 else [], categories=["style"] if i % 2 else ["terms"])
+        for i in range(20)
+    ]
+    passages = [(1, "alpha beta", "guide", "style", [1.0, 0.0]), (2, "nothing here", "guide", "terms", None), (3, "", None, None, [0.5, -1.0]), (4, "zeta zeta alpha", None, "style", None), (5, "nothing here", "guide", "style", [0.0, 0.0])]
+    vectors = [(f"r{i:02}", f, [math.cos(i + n), math.sin(i * n)]) for i in range(18) for n, f in enumerate(("identity", "policy", "examples"))] if with_vectors else []
+    rs = spark.createDataFrame(rules, "rule string, title string, text string, bad_examples array<string>, mandatory boolean, priority int, scope string, machine_verifiable boolean, tasks array<string>, categories array<string>")
+    ps = spark.createDataFrame(passages, "chunk long, text string, task string, category string, v array<double>")
+    lexical = {(r["chunk"], r["rule"]): r["lexical"] for r in R.lexical_score(ps, rs).collect()}
+    vs = spark.createDataFrame(vectors, "rule string, field string, v array<double>") if with_vectors else None
+    got = R.retrieve(ps, rs, k, vs).collect()
+    assert {(r["chunk"], r["rule"]): (round(r["score"], 6), r["rank"], r["mode"]) for r in got} == retrieved(passages, rules, k, lexical, vectors)
+    assert {r["mode"] for r in got} >= ({"hybrid", "fallback", "lexical_only"} if with_vectors else {"fallback", "lexical_only"})
+    assert R.retrieve(ps.limit(0), rs, k, vs).count() == 0
+
+
+def tokens_of(spark):
+    """Words of the sentences of ``documents``: {(doc_id, line, sentence): words}."""
+    word = re.compile(r"[^\W\d_](?:[^\W_]|[_-])*")
+    return {(r["doc_id"], n, i): word.findall(s) for r in rows(spark, "documents") for n, line in enumerate(r["text"].split("\n"), 1) for i, s in enumerate(sentences_of(line), 1)}
+
+
+def test_words_of_sentences(spark):
+    sentences = tokens_of(spark)
+    forms = {"The": "the", "Of": "of", "Die": "die", "La": "la"}
+    assert {tuple(r) for r in query(spark, "formal_you")} == {(*at, i, w, forms[w]) for at, ws in sentences.items() for i, w in enumerate(ws) if i and w in forms}
+    near = {(*at, i, w, j, ws[j]) for at, ws in sentences.items() for i, w in enumerate(ws) if w in ("the", "la", "der") for j in [next((j for j in range(i + 1, min(i + 5, len(ws))) if ws[j] in ("is", "was", "est", "den")), None)] if j}
+    assert {tuple(r) for r in query(spark, "anthropomorphism")} == near
+    from docaudit.plans.findings import _morph
+
+    table = {r["form"]: r for r in _morph(spark).collect()}
+    read = {at: [table.get(w.lower()) for w in ws] for at, ws in sentences.items()}
+    assert {(r["lemma"], r["part"]): r["n"] for r in query(spark, "morph_lookup")} == Counter((m["lemma"], m["pos"]) for ms in read.values() for m in ms if m)
+    passive = {(*at, sentences[at][known[i][0]]) for at, ms in read.items() for known in [[(p, m) for p, m in enumerate(ms) if m]] for i in range(len(known) - 1) if known[i][1]["lemma"] == "be" and known[i + 1][1]["pos"] == "PRTS"}
+    assert {(r["doc_id"], r["line"], r["sentence"], r["word"]) for r in query(spark, "passive_voice")} == passive
+    apart = set()
+    for at, ms in read.items():
+        for i, (a, b) in enumerate(zip(ms, ms[1:])):
+            agree = a and b and a["number"] == b["number"] and a["grammatical_case"] == b["grammatical_case"] and (a["number"] != "sing" or a["gender"] == b["gender"])
+            if a and b and a["pos"] == "ADJ" and b["pos"] == "NOUN" and not agree:
+                apart.add((*at, i))
+    assert {(r["doc_id"], r["line"], r["sentence"], r["a_pos"]) for r in query(spark, "adj_noun_agreement")} == apart
+    lone = set()
+    for at, ms in read.items():
+        for i, m in enumerate(ms):
+            before = [x["number"] for x in ms[max(0, i - 4) : i] if x and x["pos"] == "NOUN" and x["grammatical_case"] == "nomn"]
+            if m and m["pos"] == "VERB" and m["number"] == "sing" and "plur" in before and "sing" not in before:
+                lone.add((*at, i))
+    assert {(r["doc_id"], r["line"], r["sentence"], r["pos"]) for r in query(spark, "subject_verb_agreement")} == lone
+
+
+def test_chunk_window_context(spark):
+    plain = {(r["conv_id"], r["turn"]): r["text"] for r in rows(spark, "conversations")}
+    want = {}
+    for c in query(spark, "chunk_blocks"):
+        ids = c["block_ids"]
+        near = [i for i in range(min(ids) - 2, max(ids) + 3) if i not in ids and (c["doc_id"], i) in plain]
+        if near:
+            want[c["doc_id"], c["chunk_index"]] = "\n".join(f"[{i}] {plain[c['doc_id'], i]}" for i in near)
+    assert {(r["doc_id"], r["chunk_index"]): r["context"] for r in query(spark, "chunk_window_context")} == want
+
+
+def test_snapshot_quality(spark):
+    from docaudit.sources import html as H
+
+    def problem(html):
+        shown = " ".join(H.parsed(html).lines)
+        if len(re.sub(r"\s+", " ", shown).strip()) < 24:
+            return "too short"
+        login = re.search(r"(?i)<input[^>]+type\s*=\s*[\"']?password", html) and re.search("(?i)log ?in|sign in|войти|вход", shown)
+        return "login page" if login else None
+
+    want = {(r["page_id"], login): problem("<p>Sign in</p><input type=password>" * login + r["html"]) for r in rows(spark, "pages") for login in (False, True)}
+    assert {(r["page_id"], r["login"]): r["problem"] for r in query(spark, "snapshot_quality")} == want
+
+
+def test_technical_terms_in_context(spark):
+    data = [
+        ("API", None, 1), ("«Эндпоинт»,", None, 1), ("кибербезопасность", None, 1), ("гео", None, 0), ("геодан", None, 0), ("геоданные", None, 1), ("многопоточный", None, 1), ("финтеху", None, 1), ("дом", None, 0), ("...", None, 0), ("", None, 0),
+        ("и/или", None, 1), ("x_y", None, 1), ("3", None, 1), ("шардировать", None, 0), ("шардировать", "Запрос к серверу", 1), ("стол", "Запрос к серверу", 0), ("прокси-1", None, 1),
+    ]
+    df = spark.createDataFrame(data, "w string, c string, want int")
+    assert not [tuple(r) for r in df.select("w", "c", "want", T.technical_term(F.col("w"), F.col("c")).cast("int").alias("got")).where("got is null or got <> want").collect()]
+    assert df.limit(1).select(T.technical_term(F.lit("вебхуки"), None, F.lit("вебхук")).alias("x")).first()["x"]
+
+
+def test_rules_of_the_catalogue(spark):
+    from docaudit.operators import catalogue
+
+    data = {
+        "Файл отчет.PDF": {"FileFormats_ExtensionCase"}, "в формате pdf здесь": {"FileFormats_FormatCase"}, "Вам следует подождать": {"Imperative"}, "Подождите, Пожалуйста": {"Please"}, "файл/папка": {"Slash_Words"}, "10 Мбит/с": {"Slash_Words"},
+        "кликните тут": {"UITerms_Click"}, "откликнитесь тут": set(), "установите и включите флажок": {"UITerms_CheckboxVerbs"}, "откройте вкладку": {"UITerms_Tab"}, "10 MB": {"Units_International"}, "10 мин. ждать": {"Units_Period"},
+        "ip-адрес": {"IPAddress"}, "IP-адрес": set(), "Чекбокс": {"UITerms_Checkbox"}, "сдвиньте бегунок": {"UITerms_Slider"}, "ОЗУ": set(), "АБВГ": {"Abbreviations"}, "она — тут": {"Dash_EmDash"},
+    }
+    lines = spark.createDataFrame([(i, 1, t) for i, t in enumerate(data)], "doc_id long, line int, text string")
+    found = L.lint(lines, catalogue.RULES).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r["doc_id"], set()).add(r["rule"])
+    assert {t: got.get(i, set()) for i, t in enumerate(data)} == data
+    assert {r["text"]: r["replacement"] for r in found if r["rule"] in ("IPAddress", "UITerms_Checkbox")} == {"ip-адрес": "IP-адрес", "Чекбокс": "флажок"}
+    assert {r["text"] for r in L.post_filter(L.lint(lines, catalogue.RULES).where("rule = 'Slash_Words'")).collect()} == {"файл/папка"}
