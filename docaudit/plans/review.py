@@ -68,7 +68,8 @@ def report_rows(spark: SparkSession, d: str) -> DataFrame:
     return V.report_rows(c).groupBy("severity", "rule").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(FOUND + """SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line, position(found.text IN lines.text), found.text, CASE rule WHEN 'Digits_Long' THEN 'Long run of digits' WHEN 'Email_Address' THEN 'Personal address' WHEN 'Exclamation_Double' THEN 'One exclamation mark is enough' ELSE replace(rule, '_', ' ') END) AS INT) AS number,
+line AS block_index, CAST(position(found.text IN lines.text) AS INT) AS at, rule FROM found JOIN lines USING (doc_id, line)""")
 def order_report(spark: SparkSession, d: str) -> DataFrame:
     c = V.report_rows(V.engine_evidence(placed(spark, d), rules(spark)).withColumn("reasoning", F.lit("")))
     return V.order_report(c, blocks(spark, d)).select("doc_id", "number", "block_index", "at", "rule")
@@ -193,7 +194,7 @@ def validate_lexicon(spark: SparkSession, d: str) -> DataFrame:
     return V.validate_lexicon(c).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""SELECT CAST(item_id % 4 AS VARCHAR) AS guide, sha256('[' || string_agg('{"rule":"' || item_id || '","title":' || to_json(CASE WHEN item_id % 3 = 0 THEN '' ELSE substring(text, 1, 20) END) || ',"text":' || to_json(CASE WHEN item_id % 9 = 0 THEN ' ' ELSE trim(text, ' ') END) || '}', ',' ORDER BY CAST(item_id AS VARCHAR)) || ']') AS content_hash FROM benchmark GROUP BY 1""")
 def guide_hash(spark: SparkSession, d: str) -> DataFrame:
     return V.guide_hash(guide(spark, d))
 
