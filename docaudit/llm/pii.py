@@ -239,10 +239,10 @@ def redacted(docs: DataFrame) -> DataFrame:
 
 
 def find_private(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of base spans by kind, base_sha256 and spans of every row."""
+    """doc_id, counts of base spans by kind, base_sha256, spans and n_spans (all spans, those that the classifier adds too) of every row."""
     found = with_spans(written(with_candidates(docs.select("doc_id", "text")).select("doc_id", "base", "cands"), "candidates"))
     counts = [F.size(F.filter("base", _of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op7_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
