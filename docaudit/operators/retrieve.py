@@ -49,21 +49,19 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def rule_vectors(vectors: DataFrame) -> DataFrame:
-    """(rule, vs): the vectors of a rule in the order of their fields, of unit length, each with its field's weight."""
+    """(rule, r): the weighted sum of a rule's vectors of unit length. Its product with a unit vector is the weighted sum of their cosines, so a pair takes one product instead of one a field."""
     weights = F.create_map(*(F.lit(x) for kv in FIELD_WEIGHTS.items() for x in kv))
-    one = F.struct("field", weights[F.col("field")].alias("w"), normalize_vectors(F.col("v").cast("array<double>")).alias("r"))
-    return vectors.groupBy("rule").agg(F.array_sort(F.collect_list(one)).alias("vs"))
-
-
-def closeness(q: Column, vs: Column) -> Column:
-    """Weighted sum of the cosines of a unit vector to a rule's vectors."""
-    return F.aggregate(vs, F.lit(0.0), lambda s, x: s + x["w"] * dot(q, x["r"]))
+    w = weights[F.col("field")]
+    one = F.struct("field", F.transform(normalize_vectors(F.col("v").cast("array<double>")), lambda x: x * w).alias("r"))
+    ordered = vectors.groupBy("rule").agg(F.array_sort(F.collect_list(one)).alias("vs"))
+    total = F.aggregate("vs", F.array_repeat(F.lit(0.0), F.size(F.col("vs")[0]["r"])), lambda s, x: F.zip_with(s, x["r"], lambda a, b: a + b))
+    return ordered.select("rule", total.alias("r"))
 
 
 def semantic_score(passages: DataFrame, vectors: DataFrame) -> DataFrame:
     """(chunk, rule, semantic): weighted cosines to a rule's vectors, for every passage (chunk, v) and every rule, in one narrow pass over the passages. A rule set is a stated set of queries; ``retrieve`` keeps k rules a passage."""
     q = passages.select("chunk", normalize_vectors(F.col("v").cast("array<double>")).alias("q"))
-    return q.join(rule_vectors(vectors), F.lit(True)).select("chunk", "rule", closeness(F.col("q"), F.col("vs")).alias("semantic"))
+    return q.join(rule_vectors(vectors), F.lit(True)).select("chunk", "rule", dot(F.col("q"), F.col("r")).alias("semantic"))
 
 
 def metadata_boost(task: Column, category: Column) -> Column:
@@ -84,7 +82,7 @@ def select_top_k(scored: DataFrame, k: int) -> DataFrame:
 def _leading(scored: DataFrame, per: list[str], k: int) -> DataFrame:
     """(per, rule) of the k best by ``base`` among the rules that aren't mandatory. Spark cuts to k a task before the shuffle."""
     order = Window.partitionBy(*per).orderBy(F.desc("base"), *rule_precedence())
-    return scored.where(~F.col("mandatory")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select(*per, "rule")
+    return scored.where(~F.col("mandatory")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select(*per, "rule")
 
 
 def retrieve(passages: DataFrame, rules: DataFrame, k: int, vectors: DataFrame | None = None) -> DataFrame:
@@ -111,7 +109,7 @@ def retrieve(passages: DataFrame, rules: DataFrame, k: int, vectors: DataFrame |
         known = rule_vectors(vectors)
         q = passages.where("v is not null").select("chunk", normalize_vectors(F.col("v").cast("array<double>")).alias("q"))
         near = q.join(asked, "chunk").join(rules.join(known, "rule", "left"), F.lit(True))
-        near = near.withColumn("base", SEMANTIC * F.coalesce(closeness(F.col("q"), F.col("vs")), F.lit(0.0)) + boost)
+        near = near.withColumn("base", SEMANTIC * F.coalesce(dot(F.col("q"), F.col("r")), F.lit(0.0)) + boost)
         best = _leading(near, ["chunk"], k).unionByName(q.select("chunk").join(mandatory, F.lit(True)))
         plain = asked.join(q, "chunk", "left_anti")
     # passages without a common word and without a vector get every rule
@@ -124,7 +122,7 @@ def retrieve(passages: DataFrame, rules: DataFrame, k: int, vectors: DataFrame |
     semantic, mode = F.lit(0.0), F.lit("lexical_only")
     if vectors is not None:
         pairs = pairs.join(q, "chunk", "left").join(known, "rule", "left")
-        semantic = F.coalesce(closeness(F.col("q"), F.col("vs")), F.lit(0.0))
+        semantic = F.coalesce(dot(F.col("q"), F.col("r")), F.lit(0.0))
         mode = F.when(F.col("q").isNotNull(), "hybrid").otherwise("lexical_only")
     score = LEXICAL * F.coalesce("lexical", F.lit(0.0)) + (SEMANTIC * semantic + boost)
     scored = select_top_k(pairs.withColumns({"score": score, "mode": mode}), k)
