@@ -12,6 +12,7 @@ from docaudit.llm.bpe import op5_bpe_encode_decode
 from docaudit.llm.licenses import op9_license_scan
 from docaudit.llm.mixing import op10_mix_to_weights
 from docaudit.llm.neardup import op6_minhash_near_dedup
+from docaudit.llm.periodic import op12_periodic_runs
 from docaudit.llm.pii import op7_private_data
 from docaudit.llm.quality import op3_quality_classifier
 from docaudit.llm.tokens import op2_token_counts
@@ -25,6 +26,7 @@ def queries() -> dict[str, Query]:
     operators = (
         op1_warc_revisits, op2_token_counts, op3_quality_classifier, op4_additive_quantisation, op5_bpe_encode_decode,
         op6_minhash_near_dedup, op7_private_data, op8_exact_top_k, op9_license_scan, op10_mix_to_weights,
+        op12_periodic_runs,
     )
     return {f.__name__: f for f in operators}
 
