@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docaudit.llm import mixing, topk
+from docaudit.llm import collocations, mixing, topk
 from docaudit.llm.ann import op4_additive_quantisation
 from docaudit.llm.bpe import op5_bpe_encode_decode
+from docaudit.llm.collocations import op13_phrase_collocations
 from docaudit.llm.licenses import op9_license_scan
 from docaudit.llm.mixing import op10_mix_to_weights
 from docaudit.llm.neardup import op6_minhash_near_dedup
@@ -26,10 +27,10 @@ def queries() -> dict[str, Query]:
     operators = (
         op1_warc_revisits, op2_token_counts, op3_quality_classifier, op4_additive_quantisation, op5_bpe_encode_decode,
         op6_minhash_near_dedup, op7_private_data, op8_exact_top_k, op9_license_scan, op10_mix_to_weights,
-        op12_periodic_runs,
+        op12_periodic_runs, op13_phrase_collocations,
     )
     return {f.__name__: f for f in operators}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_top_k": topk.ORACLE, "op10_mix_to_weights": mixing.ORACLE}
+    return {"op8_exact_top_k": topk.ORACLE, "op10_mix_to_weights": mixing.ORACLE, "op13_phrase_collocations": collocations.ORACLE}
