@@ -18,6 +18,7 @@ from docaudit.llm.pii import op7_private_data
 from docaudit.llm.quality import op3_quality_classifier
 from docaudit.llm.tokens import op2_token_counts
 from docaudit.llm.topk import op8_exact_top_k
+from docaudit.llm.toxicity import op11_toxicity
 from docaudit.llm.warc import op1_warc_revisits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,7 +28,7 @@ def queries() -> dict[str, Query]:
     operators = (
         op1_warc_revisits, op2_token_counts, op3_quality_classifier, op4_additive_quantisation, op5_bpe_encode_decode,
         op6_minhash_near_dedup, op7_private_data, op8_exact_top_k, op9_license_scan, op10_mix_to_weights,
-        op12_periodic_runs, op13_phrase_collocations,
+        op11_toxicity, op12_periodic_runs, op13_phrase_collocations,
     )
     return {f.__name__: f for f in operators}
 
