@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import difflib
+import json
+import re
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,8 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docaudit.functions.text import mask_pii, mask_volatile
+from docaudit.operators.align import matching, opcodes
 
 MIN_TEXT = 24
+#: Share of words that two lines must have in common for their words to be compared.
+SIMILAR = 0.3
 
 
 def content_fingerprint(text: Column) -> Column:
@@ -67,63 +72,134 @@ def line_set_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def text_hunks(pairs: DataFrame, context: int = 6) -> DataFrame:
-    """(page_id, hunk, op, lines, words, same): line differences of ``pairs`` (page_id, old, new); a line replaced by a similar one carries its words and which stayed; long equal runs keep two lines at each end."""
+    """(page_id, hunk, op, lines, words, same): line differences of ``pairs`` (page_id, old, new).
+
+    Lines that stay are a longest common subsequence (see ``align``). A line replaced by a similar one carries its words and
+    which of them stayed; runs of over ``context`` equal lines keep two lines at each end.
+    """
 
     def diff(old: list[str], new: list[str]) -> Iterator[tuple[str, list[str], list[str], list[bool]]]:
-        for op, a, b, c, e in difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
-            if op == "equal":
-                run = old[a:b]
-                if len(run) > context:
-                    yield "eq", run[:2], [], []
-                    yield "skip", [str(len(run) - 4)], [], []
-                    run = run[-2:]
-                yield "eq", run, [], []
+        for equal, i, i_end, j, j_end in opcodes(old, new):
+            if equal:
+                yield from collapsed(old[i:i_end], context)
                 continue
-            words, same = [], []
-            if b - a == 1 and e - c == 1:
-                x, y = old[a].split(), new[c].split()
-                m = difflib.SequenceMatcher(None, x, y, autojunk=False)
-                if m.ratio() > 0.3:
-                    kept = {j for blk in m.get_matching_blocks() for j in range(blk.b, blk.b + blk.size)}
-                    words, same = y, [j in kept for j in range(len(y))]
-            if b > a:
-                yield "del", old[a:b], [], []
-            if e > c:
-                yield "add", new[c:e], words, same
+            words, same = similar_words(old[i], new[j]) if (i_end - i, j_end - j) == (1, 1) else ([], [])
+            if i_end > i:
+                yield "del", old[i:i_end], [], []
+            if j_end > j:
+                yield "add", new[j:j_end], words, same
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(k, i, *h) for k, o, n in zip(batch["page_id"], batch["old"], batch["new"]) for i, h in enumerate(diff((o or "").split("\n"), (n or "").split("\n")))]
-            yield pd.DataFrame(out, columns=["page_id", "hunk", "op", "lines", "words", "same"])
+            for k, o, n in zip(batch["page_id"], batch["old"], batch["new"]):
+                out = [(k, i, *h) for i, h in enumerate(diff((o or "").split("\n"), (n or "").split("\n")))]
+                yield pd.DataFrame(out, columns=["page_id", "hunk", "op", "lines", "words", "same"])
 
     return pairs.select("page_id", "old", "new").mapInPandas(run, "page_id long, hunk int, op string, lines array<string>, words array<string>, same array<boolean>")
 
 
+def collapsed(run: list[str], context: int) -> Iterator[tuple[str, list[str], list[str], list[bool]]]:
+    """A run of equal lines; of a long one the two lines at each end, and how many were skipped."""
+    if len(run) > context:
+        yield "eq", run[:2], [], []
+        yield "skip", [str(len(run) - 4)], [], []
+        run = run[-2:]
+    yield "eq", run, [], []
+
+
+def similar_words(old: str, new: str) -> tuple[list[str], list[bool]]:
+    """The words of ``new`` and which of them stand in ``old``, too; nothing if too few do."""
+    x, y = old.split(), new.split()
+    stay = {j for _, j in matching(x, y)}
+    return (y, [j in stay for j in range(len(y))]) if 2 * len(stay) > SIMILAR * (len(x) + len(y)) else ([], [])
+
+
 EVENT_RANK = {"added": 0, "removed": 1, "moved": 2, "tag": 3, "attr": 4, "text": 5}
 
 
-def diff_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(page_id, kind, tag, path, old_path, old_text, new_text): nodes on the same path differ in tag, attributes or text; others with equal content (the same occurrence of it) have moved; the rest is added or removed. Nodes without text and attributes tell nothing and are left out."""
-    def side(df: DataFrame, s: str) -> DataFrame:
+def _sides(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Nodes of both versions that say anything, with a digest of what they show; of pages that differ only."""
+
+    def side(df: DataFrame, version: int) -> DataFrame:
         attrs = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("attrs"))))
-        rows = df.select("page_id", "path", F.col("tag").alias(f"{s}_tag"), attrs.alias(f"{s}_attrs"), F.col("text").alias(f"{s}_text"), F.col("pos").alias(f"{s}_pos"))
-        return rows.where((F.col(f"{s}_text") != "") | (F.col(f"{s}_attrs") != "{}"))
+        shown = F.xxhash64("tag", attrs, mask_volatile(mask_pii(F.col("text"))))
+        rows = df.select("page_id", F.lit(version).alias("version"), "pos", "tag", "path", attrs.alias("attrs"), "text", shown.alias("shown"))
+        return rows.where("text <> '' or attrs <> '{}'")
+
+    rows = side(old, 0).unionByName(side(new, 1))
+    # the sums of what the two versions show, place by place, are equal on pages that stayed
+    place = F.row_number().over(Window.partitionBy("page_id", "version").orderBy("pos"))
+    digest = F.xxhash64("place", "shown").cast("decimal(20,0)")
+    sign = F.when(F.col("version") == 0, -1).otherwise(1)
+    differ = rows.withColumn("place", place).groupBy("page_id").agg(F.sum(digest * sign).alias("d")).where("d <> 0").select("page_id")
+    return rows.join(differ, "page_id", "left_semi")
+
+
+def _same_spot(a: dict, b: dict) -> bool:
+    """Same path, or the same text, picture, target or id below the same parent."""
+    if a["path"] == b["path"]:
+        return True
+    if a["path"].rpartition("/")[0] != b["path"].rpartition("/")[0]:
+        return False
+    x, y = json.loads(a["attrs"]), json.loads(b["attrs"])
+    return (a["text"] != "" and a["text"] == b["text"]) or any(x.get(k) and x.get(k) == y.get(k) for k in ("alt", "href", "id"))
+
+
+def node_events(old: list[dict], new: list[dict]) -> list[tuple]:
+    """(kind, tag, path, old_path, old_text, new_text) of one page."""
+    stay = matching([n["shown"] for n in old], [n["shown"] for n in new])
+    out = []
+    kept_old, kept_new = {i for i, _ in stay}, {j for _, j in stay}
+    # what went here and came there has moved
+    piles: dict[int, deque] = {}
+    for j, n in enumerate(new):
+        if j not in kept_new:
+            piles.setdefault(n["shown"], deque()).append(j)
+    for i, n in enumerate(old):
+        if i not in kept_old and (pile := piles.get(n["shown"])):
+            j = pile.popleft()
+            kept_old.add(i)
+            kept_new.add(j)
+            out.append(("moved", new[j]["tag"], new[j]["path"], n["path"], n["text"], new[j]["text"]))
+    # between two nodes that stay, those of one spot, then those of one tag, have changed
+    last = (-1, -1)
+    for x, y in [*stay, (len(old), len(new))]:
+        gone = [i for i in range(last[0] + 1, x) if i not in kept_old]
+        came = [j for j in range(last[1] + 1, y) if j not in kept_new]
+        last = (x, y)
+        for same in (_same_spot, lambda a, b: a["tag"] == b["tag"]):
+            left = []
+            for i in gone:
+                j = next((j for j in came if same(old[i], new[j])), None)
+                if j is None:
+                    left.append(i)
+                    continue
+                came.remove(j)
+                a, b = old[i], new[j]
+                kind = "tag" if a["tag"] != b["tag"] else "attr" if a["attrs"] != b["attrs"] else "text"
+                out.append((kind, b["tag"], b["path"], a["path"], a["text"], b["text"]))
+            gone = left
+        out += [("removed", old[i]["tag"], old[i]["path"], old[i]["path"], old[i]["text"], None) for i in gone]
+        out += [("added", new[j]["tag"], new[j]["path"], None, None, new[j]["text"]) for j in came]
+    return out
+
+
+def diff_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(page_id, kind, tag, path, old_path, old_text, new_text): nodes that changed between two versions of pages.
 
-    # written once by the caller's plan: both sides are used for the matched and for the unmatched nodes
-    both = side(old, "o").join(side(new, "n"), ["page_id", "path"], "full")
-    kind = F.when(F.col("o_tag") != F.col("n_tag"), "tag").when(F.col("o_attrs") != F.col("n_attrs"), "attr").when(F.col("o_text") != F.col("n_text"), "text")
-    matched = both.where("o_tag is not null and n_tag is not null").withColumn("kind", kind).where("kind is not null")
-    matched = matched.select("page_id", "kind", F.col("n_tag").alias("tag"), "path", F.col("path").alias("old_path"), F.col("o_text").alias("old_text"), F.col("n_text").alias("new_text"))
+    The nodes of both versions are aligned by what they show (tag, attributes, text without dates and the like), whatever their paths:
+    an item put in front of a list is one addition. Of the others, equal ones have moved; between two that stay, nodes on one spot,
+    then nodes with one tag, differ in tag, attributes or text; the rest is added or removed. Nodes without text and attributes tell
+    nothing and are left out. Pages that show the same never reach Python; a page holds a bounded number of nodes (``dom_nodes``).
+    """
+    columns = ["version", "pos", "tag", "path", "attrs", "text", "shown"]
 
-    def lone(s: str, other: str) -> DataFrame:
-        sig = ["page_id", "tag", "attrs", "text"]
-        rows = both.where(F.col(f"{other}_tag").isNull()).select("page_id", F.col(f"{s}_tag").alias("tag"), F.col(f"{s}_attrs").alias("attrs"), F.col(f"{s}_text").alias("text"), F.col("path").alias(f"{s}_path"), F.col(f"{s}_pos").alias("pos"))
-        return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*sig).orderBy("pos"))).drop("pos")
+    def run(page: pd.DataFrame) -> pd.DataFrame:
+        both = [part.sort_values("pos")[columns].to_dict("records") for part in (page[page["version"] == v] for v in (0, 1))]
+        rows = [(page["page_id"].iloc[0], *e) for e in node_events(*both)]
+        return pd.DataFrame(rows, columns=["page_id", "kind", "tag", "path", "old_path", "old_text", "new_text"])
 
-    rest = lone("o", "n").join(lone("n", "o"), ["page_id", "tag", "attrs", "text", "nth"], "full")
-    kind = F.when(F.col("o_path").isNull(), "added").when(F.col("n_path").isNull(), "removed").otherwise("moved")
-    rest = rest.select("page_id", kind.alias("kind"), "tag", F.coalesce("n_path", "o_path").alias("path"), F.col("o_path").alias("old_path"), F.when(F.col("o_path").isNotNull(), F.col("text")).alias("old_text"), F.when(F.col("n_path").isNotNull(), F.col("text")).alias("new_text"))
-    return matched.unionByName(rest)
+    return _sides(old, new).groupBy("page_id").applyInPandas(run, "page_id long, kind string, tag string, path string, old_path string, old_text string, new_text string")
 
 
 def merge_events(events: DataFrame) -> DataFrame:
@@ -145,7 +221,49 @@ def event_ui_list(hunks: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def salvage_truncated(json_text: Column) -> Column:
-    """struct<json, full>: an array of objects that was cut is closed behind its last whole object."""
-    full = F.endswith(F.rtrim(json_text), F.lit("]"))
-    cut = F.concat(F.regexp_extract(json_text, r"(?s)^(.*\})\s*,", 1), F.lit("]"))
-    return F.struct(F.when(full, json_text).when(F.length(cut) > 1, cut).otherwise("[]").alias("json"), full.alias("full"))
+    """struct<json, full>: a JSON array that was cut is closed behind its last whole element; a text that is no array gives an empty one.
+
+    The text is scanned once: depth, whether within a string, whether the next character is escaped. What stands behind the array is left out.
+    """
+
+    @F.pandas_udf("json string, full boolean")
+    def scanned(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([closed(t) for t in texts], columns=["json", "full"])
+
+    return scanned(json_text)
+
+
+_SYNTAX = re.compile(r'["\\[\]{},]')
+
+
+def closed(text: str | None) -> tuple[str, bool]:
+    """A JSON array as it is, or closed behind its last whole element, and whether it was whole."""
+    text = (text or "").strip()
+    if not text.startswith("["):
+        return "[]", False
+    depth, inside, skip, end = 0, False, -1, 1
+    for m in _SYNTAX.finditer(text):
+        c, at = m[0], m.start()
+        if at == skip:
+            continue
+        if inside:
+            if c == "\\":
+                skip = at + 1
+            elif c == '"':
+                inside = False
+        elif c == '"':
+            inside = True
+        elif c in "[{":
+            depth += 1
+        elif c in "]}":
+            depth -= 1
+            if depth == 0:
+                return text[: at + 1], True
+            if depth == 1:
+                end = at + 1
+        elif c == "," and depth == 1:
+            end = max(end, at)
+    # an element that is no object or list is whole only where a comma follows; a closing quote ends a string
+    if depth == 1 and not inside and text.endswith('"') and len(text) > end:
+        end = len(text)
+    return text[:end].rstrip() + "]", False

@@ -176,14 +176,28 @@ def text_hunks(spark: SparkSession, d: str) -> DataFrame:
     return hunks(spark, d).select("page_id", "hunk", "op", F.size("lines").alias("n_lines"), F.size("words").alias("n_words"))
 
 
-def events(spark: SparkSession, d: str) -> DataFrame:
+def changes(spark: SparkSession, d: str) -> DataFrame:
     # both versions are read several times below, so they are parsed once and written
     nodes = written(H.dom_nodes(versions(spark, d).where("version in (1, 3)"), ("page_id", "version")), "nodes")
-    return W.merge_events(W.diff_nodes(nodes.where("version = 1").drop("version"), nodes.where("version = 3").drop("version")))
+    return W.diff_nodes(nodes.where("version = 1").drop("version"), nodes.where("version = 3").drop("version"))
+
+
+def events(spark: SparkSession, d: str) -> DataFrame:
+    return W.merge_events(changes(spark, d))
 
 
 @query()
 def diff_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return changes(spark, d)
+
+
+@query()
+def merge_events(spark: SparkSession, d: str) -> DataFrame:
+    return events(spark, d)
+
+
+@query()
+def order_events(spark: SparkSession, d: str) -> DataFrame:
     return W.order_events(events(spark, d)).select("page_id", "at", "kind", "tag", "count", "old_text", "new_text")
 
 
