@@ -36,10 +36,10 @@ MAX_WORDS = 3
 #: A phrase goes if a longer one with it has so many hundredths of its occurrences.
 SHARE = 50
 TOP = 2000
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 BITS = 26
 #: Rows of counts that a task holds before it hands them on.
-HELD = 1 << 21
+HELD = 1 << 20
 LONG_WORD = 64
 SALTS = 64
 NO_LANGUAGE = "und"
