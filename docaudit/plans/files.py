@@ -91,4 +91,4 @@ _COUNTS = " UNION ALL ".join(f"SELECT '{rule}' AS rule, count(*) AS n FROM lines
 
 @query(f"WITH {LINES} {_COUNTS}")
 def rule_catalogue(spark: SparkSession, d: str) -> DataFrame:
-    return L.lint(lines(spark, d), catalogue.RULES).groupBy("rule").agg(F.count("*").alias("n"))
+    return L.lint_many(lines(spark, d), catalogue.RULES).groupBy("rule").agg(F.count("*").alias("n"))

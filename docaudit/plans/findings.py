@@ -97,7 +97,7 @@ def enrich_findings(spark: SparkSession, d: str) -> DataFrame:
     return C.enrich_findings(findings(spark, d), rule_table(spark)).select("doc_id", "line", F.col("column").alias("col"), "rule", "section", "name", "automation", "rule_group")
 
 
-USER_RULES = [{"id": "u1", "pattern": "th(?:is|at)", "message": "demonstrative"}, {"id": "bad", "pattern": "(a+)+"}, {"id": "none", "pattern": ""}, {"id": "broken", "pattern": "("}]
+USER_RULES = [{"id": "u1", "pattern": "th(?:is|at)", "message": "demonstrative"}, {"id": "bad", "pattern": "(a+)+\\1"}, {"id": "none", "pattern": ""}, {"id": "broken", "pattern": "("}]
 
 
 @query(f"WITH {LINES} SELECT doc_id, line, CAST(len(regexp_extract_all(text, '(?i)th(?:is|at)')) AS BIGINT) AS n FROM lines WHERE regexp_matches(text, '(?i)th(?:is|at)')")
