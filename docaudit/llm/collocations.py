@@ -39,7 +39,7 @@ TOP = 2000
 BLOCK_BYTES = 1 << 19
 BITS = 26
 #: Rows of counts that a task holds before it hands them on.
-HELD = 1 << 20
+HELD = 1 << 18
 LONG_WORD = 64
 SALTS = 64
 NO_LANGUAGE = "und"
