@@ -9,12 +9,15 @@ propose the notice at p - t. Neighbouring places pool their proposals: where ``V
 the notice is laid there. A notice that stands there thus gets its votes whatever else the file holds, and with up to
 ``DRIFT`` words put in or left out.
 
+A licence has several forms: a notice, openings of its grant, statements ("licensed under the ...") with each of its names, and its
+identifiers. A statement must stand there word for word, as its text is its key phrase.
+
 Phrases must stand there word for word. They are proposed by the rarest of their own words, at all its places, so
 none is missed. Notices must hold ``COVER`` of their words in their order, and all their mandatory key phrases.
 Templates are a parameter; ``templates`` reads them from a table.
 
 Defined results: a null text counts as an empty one (0 words, no labels, score 0); repeated rows come back alike; rows
-without doc_id are scanned too; other columns are ignored; empty tables give no rows. Score: 1 with a phrase, else the
+without doc_id are scanned too, a doc_id that is no whole number is an error; other columns are ignored; empty tables give no rows. Score: 1 with a phrase, else the
 largest covered share of a notice that was found, else 0.
 """
 
@@ -30,6 +33,9 @@ from pyspark.sql import functions as F
 
 from docaudit.llm.common import table
 
+#: A form of a licence: label, text, key phrases that must stand in it. A label may have several.
+Form = tuple[str, str, tuple[str, ...]]
+
 COVER = 0.8
 VOTES = 3
 DRIFT = 8
@@ -49,6 +55,81 @@ NOTICES = {
     "cc-by-nc": ("This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License", ("creative commons attribution noncommercial",)),
 }
 
+#: Names that statements give licences, and their identifiers. Of Creative Commons licences the version belongs to the name, as one name begins another.
+NAMES = {
+    "mit": (("MIT License", "MIT Licence", "Expat License"), ("MIT",)),
+    "apache-2": (("Apache License Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache Software License"), ("Apache-2.0",)),
+    "bsd": (("BSD License", "BSD 3-Clause License", "3-Clause BSD License", "BSD 2-Clause License", "2-Clause BSD License", "New BSD License", "Modified BSD License", "Simplified BSD License"), ("BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "0BSD")),
+    "gpl": (("GNU General Public License", "GNU GPL", "GPLv2", "GPLv3", "GPL version", "GNU Public License"), ("GPL-2.0", "GPL-3.0", "GPL-1.0")),
+    "lgpl": (("GNU Lesser General Public License", "GNU Library General Public License", "GNU LGPL", "LGPLv2", "LGPLv3"), ("LGPL-2.0", "LGPL-2.1", "LGPL-3.0")),
+    "agpl": (("GNU Affero General Public License", "Affero General Public License", "GNU AGPL", "AGPLv3"), ("AGPL-3.0", "AGPL-1.0")),
+    "gfdl": (("GNU Free Documentation License",), ("GFDL-1.2", "GFDL-1.3")),
+    "mpl-2": (("Mozilla Public License",), ("MPL-2.0", "MPL-1.1")),
+    "isc": (("ISC License",), ("ISC",)),
+    "unlicense": (("Unlicense",), ("Unlicense",)),
+    "cc0": (("Creative Commons Zero", "Creative Commons CC0", "CC0 1.0"), ("CC0-1.0",)),
+    "cc-by": (("Creative Commons Attribution 4.0", "Creative Commons Attribution 3.0", "Creative Commons Attribution 2.0", "CC BY 4.0", "CC BY 3.0"), ("CC-BY-4.0", "CC-BY-3.0")),
+    "cc-by-sa": (("Creative Commons Attribution-ShareAlike", "Creative Commons Attribution Share Alike", "CC BY-SA"), ("CC-BY-SA",)),
+    "cc-by-nd": (("Creative Commons Attribution-NoDerivatives", "Creative Commons Attribution-NoDerivs", "CC BY-ND"), ("CC-BY-ND",)),
+    "cc-by-nc": (("Creative Commons Attribution-NonCommercial 4.0", "Creative Commons Attribution-NonCommercial 3.0", "CC BY-NC 4.0"), ("CC-BY-NC-4.0", "CC-BY-NC-3.0")),
+    "cc-by-nc-sa": (("Creative Commons Attribution-NonCommercial-ShareAlike", "CC BY-NC-SA"), ("CC-BY-NC-SA",)),
+    "cc-by-nc-nd": (("Creative Commons Attribution-NonCommercial-NoDerivatives", "Creative Commons Attribution-NonCommercial-NoDerivs", "CC BY-NC-ND"), ("CC-BY-NC-ND",)),
+    "epl": (("Eclipse Public License",), ("EPL-1.0", "EPL-2.0")),
+    "cddl": (("Common Development and Distribution License",), ("CDDL-1.0", "CDDL-1.1")),
+    "cpl": (("Common Public License",), ("CPL-1.0",)),
+    "eupl": (("European Union Public Licence", "European Union Public License"), ("EUPL-1.1", "EUPL-1.2")),
+    "artistic": (("Artistic License", "Perl Artistic License"), ("Artistic-1.0", "Artistic-2.0")),
+    "zlib": (("zlib License", "zlib/libpng License"), ("Zlib",)),
+    "boost": (("Boost Software License",), ("BSL-1.0",)),
+    "wtfpl": (("Do What The Fuck You Want To Public License", "WTFPL"), ("WTFPL",)),
+    "osl": (("Open Software License",), ("OSL-3.0",)),
+    "afl": (("Academic Free License",), ("AFL-3.0",)),
+    "ofl": (("SIL Open Font License",), ("OFL-1.1",)),
+    "psf": (("Python Software Foundation License", "PSF License"), ("PSF-2.0", "Python-2.0")),
+    "ms-pl": (("Microsoft Public License",), ("MS-PL",)),
+    "ms-rl": (("Microsoft Reciprocal License",), ("MS-RL",)),
+    "postgresql": (("PostgreSQL License",), ("PostgreSQL",)),
+    "openssl": (("OpenSSL License",), ("OpenSSL",)),
+    "php": (("PHP License",), ("PHP-3.0", "PHP-3.01")),
+    "ruby": (("Ruby License",), ("Ruby",)),
+    "ncsa": (("University of Illinois/NCSA Open Source License",), ("NCSA",)),
+    "odbl": (("Open Database License", "Open Data Commons Open Database License"), ("ODbL-1.0",)),
+    "upl": (("Universal Permissive License",), ("UPL-1.0",)),
+    "cecill": (("CeCILL License", "CeCILL Free Software License"), ("CECILL-2.0", "CECILL-2.1", "CECILL-B", "CECILL-C")),
+}
+#: What stands before the name of a licence in a statement, and before an identifier.
+STATEMENTS = ("licensed under the", "licensed under a", "licensed under", "released under the", "released under", "distributed under the", "available under the", "governed by the", "under the terms of the", "subject to the terms of the", "covered by the")
+IDENTIFIERS = ("SPDX-License-Identifier:",)
+#: Openings of full grants, with the key phrases that must stand in them.
+OPENINGS = (
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted", ("redistribution and use in source and binary forms with or without modification",)),
+    ("gpl", "You should have received a copy of the GNU General Public License along with this program", ("a copy of the gnu general public license",)),
+    ("lgpl", "You should have received a copy of the GNU Lesser General Public License along with this library", ("a copy of the gnu lesser general public license",)),
+    ("agpl", "You should have received a copy of the GNU Affero General Public License along with this program", ("a copy of the gnu affero general public license",)),
+    ("agpl", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", ("gnu affero general public license as published",)),
+    ("boost", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ("person or organization obtaining a copy",)),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software", ("in no event will the authors be held liable",)),
+    ("wtfpl", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed", ("changing it is allowed as long as the name is changed",)),
+)
+
+
+def statements() -> list[Form]:
+    """A form for each statement or identifier with each name: it must stand there word for word."""
+    out = [(label, f"{before} {name}") for label, (names, _) in NAMES.items() for name in names for before in STATEMENTS]
+    out += [(label, f"{before} {name}") for label, (_, ids) in NAMES.items() for name in ids for before in IDENTIFIERS]
+    return [(label, text, (text,)) for label, text in out]
+
+
+def listed(notices: dict[str, tuple[str, tuple[str, ...]]] | list[Form]) -> list[Form]:
+    """Forms as a list; of a dictionary each label has one."""
+    return [(label, text, tuple(keys)) for label, (text, keys) in sorted(notices.items())] if isinstance(notices, dict) else list(notices)
+
+
+def known_forms() -> list[Form]:
+    """The notices, openings and statements that this module knows."""
+    return [*listed(NOTICES), *OPENINGS, *statements()]
+
+
 #: Bytes that may stand in a word (digits, a-z, all above ASCII) stay, A-Z become a-z, others a space.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -89,34 +170,37 @@ def in_order(notice: list[bytes], window: list[bytes]) -> int:
     return row[-1]
 
 
-def templates(table: DataFrame) -> dict[str, tuple[str, tuple[str, ...]]]:
-    """Notices from a table of label, text and keys (array of key phrases). One row for each licence comes to the driver."""
-    return {r["label"]: (r["text"], tuple(r["keys"] or ())) for r in table.select("label", "text", "keys").collect()}
+def templates(table: DataFrame) -> list[Form]:
+    """Forms from a table of label, text and keys (array of key phrases). One row for each form comes to the driver."""
+    return sorted((r["label"], r["text"], tuple(r["keys"] or ())) for r in table.select("label", "text", "keys").collect())
 
 
 class Index:
     """Postings of the phrases' and notices' rarest words."""
 
-    def __init__(self, idf: dict[bytes, float], phrases: dict[str, str], notices: dict[str, tuple[str, tuple[str, ...]]]):
+    def __init__(self, idf: dict[bytes, float], phrases: dict[str, str], notices: dict | list[Form]):
         self.idf = idf
         self.anchors: dict[bytes, list[tuple[list[bytes], int, str]]] = defaultdict(list)
         for phrase, label in phrases.items():
             words = words_of(phrase)
             at = max(range(len(words)), key=lambda i: (idf[words[i]], -i))
             self.anchors[words[at]].append((words, at, label))
-        self.notices = [(label, words_of(text), [words_of(k) for k in keys]) for label, (text, keys) in sorted(notices.items()) if words_of(text)]
+        self.notices = [(label, words_of(text), [words_of(k) for k in keys]) for label, text, keys in listed(notices) if words_of(text)]
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for n, (_, words, _) in enumerate(self.notices):
             rarest = sorted(range(len(words)), key=lambda i: (-idf[words[i]], words[i], i))
             for at in rarest[: lacking(len(words)) + VOTES]:
                 self.postings[words[at]].append((n, at))
+        self.looked_up = self.anchors.keys() | self.postings.keys()
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, str]], dict[str, float]]:
         """Places of phrases (first word, label), and the covered shares of the notices found."""
-        idf = self.idf
         places: dict[bytes, list[int]] = defaultdict(list)
+        looked_up = self.looked_up
+        if looked_up.isdisjoint(words):
+            return [], {}
         for i, w in enumerate(words):
-            if w in idf:
+            if w in looked_up:
                 places[w].append(i)
         base = []
         for anchor, phrases in self.anchors.items():
@@ -142,8 +226,8 @@ class Index:
         return sorted(base), found
 
 
-def vocabulary(phrases: dict[str, str], notices: dict[str, tuple[str, tuple[str, ...]]]) -> set[bytes]:
-    return {w for t in [*phrases, *(text for text, _ in notices.values())] for w in words_of(t)}
+def vocabulary(phrases: dict[str, str], notices: dict | list[Form]) -> set[bytes]:
+    return {w for t in [*phrases, *(text for _, text, _ in listed(notices))] for w in words_of(t)}
 
 
 def document_frequencies(docs: DataFrame, words: set[bytes], text: str = "text") -> tuple[int, dict[bytes, int]]:
@@ -164,9 +248,9 @@ def document_frequencies(docs: DataFrame, words: set[bytes], text: str = "text")
     return got.pop(b"", 0), got
 
 
-def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, notices: dict | None = None) -> DataFrame:
+def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, notices: dict | list[Form] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every row."""
-    phrases, notices = PHRASES if phrases is None else phrases, NOTICES if notices is None else notices
+    phrases, notices = PHRASES if phrases is None else phrases, known_forms() if notices is None else notices
     words = vocabulary(phrases, notices)
     total, counts = document_frequencies(docs, words)
     idf = {w: math.log((total + 1) / (counts.get(w, 0) + 1)) for w in words}

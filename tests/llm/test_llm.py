@@ -387,6 +387,37 @@ def test_license_with_words_put_in(spark):
     assert licenses.scan_licenses(docs_of(spark, ["now use this as you like but name its makers"]), {}, own).first()["labels"] == "own"
 
 
+OTHER_FORMS = {
+    "This work is licensed under the GNU General Public License, version 3.": "gpl", "Released under the GNU GPL.": "gpl", "# SPDX-License-Identifier: GPL-3.0-or-later": "gpl", "// SPDX-License-Identifier: MIT": "mit",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted.": "bsd", "This file is distributed under the BSD 3-Clause License, see LICENSE": "bsd", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa",
+    "It is available under the Eclipse Public License v2": "epl", "Licensed under CC BY 4.0": "cc-by", "Licensed under CC BY-NC-SA 4.0": "cc-by-nc-sa,cc-by-nc", "under the terms of the GNU Lesser General Public License": "lgpl", "covered by the zlib/libpng License": "zlib",
+    "You should have got a copy of the GNU Affero General Public License along with this program": "agpl", "released under the Unlicense": "unlicense", "licensed under the Boost Software License, Version 1.0": "boost",
+    "the general public license of no one": "", "GNU is not a licence": "", "We licensed the software under a deal": "", "a public domain book": "", "permitted forms of redistribution and use": "",
+}
+
+
+def test_license_forms_that_are_no_templates(spark):
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs_of(spark, [*OTHER_FORMS, *["some common words"] * 30])).collect()}
+    for i, (text, labels) in enumerate(OTHER_FORMS.items()):
+        assert got[i]["labels"] == ",".join(sorted(filter(None, labels.split(",")))), text
+    assert len(licenses.NAMES) >= 30 and len({label for label, _, _ in licenses.known_forms()}) >= 30
+
+
+def test_license_labels_of_documents(spark):
+    d = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{d}/documents.parquet").join(licenses.op9_license_scan(spark, d), "doc_id").select("text", "labels", "base_labels").collect()
+    said = [r for r in rows if "licensed under the gnu general public license" in r["text"].lower()]
+    assert said and all("gpl" in r["labels"].split(",") for r in said)
+    # no text without a word of licences gets a label
+    assert not [r for r in rows if r["labels"] and not re.search("licen[sc]e|redistribution|permission|cc.by", r["text"], re.I)]
+
+
+def test_license_repeated_rows(spark):
+    docs = docs_of(spark, ["under the MIT license", "x"])
+    got = licenses.scan_licenses(docs.unionAll(docs)).collect()
+    assert len(got) == 4 and len(set(map(tuple, got))) == 2
+
+
 def test_license_all_notices_in_one_text(spark):
     """A long text of all notices, each with as many words replaced as COVER allows, amid stray words of other notices."""
     stray = " " + " ".join(sorted(w.decode() for w in licenses.vocabulary({}, licenses.NOTICES))) + " "
