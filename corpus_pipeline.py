@@ -10,7 +10,7 @@ further columns are carried along whatever their names, but for the last stage,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docaudit.llm import bpe, mixing, neardup, pii, quality
@@ -26,14 +26,41 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.accepted(docs, weights)
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates, the one with the smallest doc_id (any of those that share it; none counts as the largest).
+def row_digest(turn: int) -> Column:
+    """64 bits of doc_id and text; other ones for each turn."""
+    return F.xxhash64(F.lit(turn), "doc_id", F.md5("text"), F.length("text"))
+
 
-    doc_id may be missing or repeated, so a row is known by a 64-bit digest of doc_id and text; rows that share one are copies.
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` as (ROW, doc_id, text, carried): equal rows share a 64-bit number, different ones don't.
+
+    Rows whose digests meet though doc_id or text differ (told by a second digest, of 128 bits) get another one, until none meet.
+    Of 10^10 different rows some three do, so what is looked up stays small.
     """
     # only the columns at hand are named, so others may have any name
     carried = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    rows = docs.select(F.xxhash64("doc_id", F.md5("text")).alias(ROW), "doc_id", "text", carried.alias("carried"))
+    rows = docs.select(row_digest(0).alias(ROW), "doc_id", "text", carried.alias("carried"))
+    full = F.struct(F.xxhash64(F.lit(-1), "doc_id"), F.unhex(F.md5(F.concat(F.lit("/"), "text"))))
+    turn = 0
+    while True:
+        # sums of a digest's two halves, so that counting keeps two numbers a row
+        halves = [F.xxhash64(F.lit(-k), full).alias(f"half{k}") for k in (1, 2)]
+        ends = [f(f"half{k}").alias(f"{n}{k}") for k in (1, 2) for n, f in (("least", F.min), ("most", F.max))]
+        met = rows.select(ROW, *halves).groupBy(ROW).agg(*ends).where("least1 <> most1 or least2 <> most2").select(ROW)
+        met = written(met, "met")
+        if met.isEmpty():
+            return rows
+        turn += 1
+        rows = rows.join(met.withColumn("again", F.lit(True)), ROW, "left")
+        rows = rows.withColumn(ROW, F.when(F.col("again"), row_digest(turn)).otherwise(F.col(ROW))).drop("again")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates, the one with the smallest doc_id (any of those that share it; none counts as the largest).
+
+    doc_id may be missing or repeated, so a row is known by the number that ``numbered`` gives it; rows that share one are copies.
+    """
+    rows = numbered(docs)
     found = neardup.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text")).where("n_shingles > 0").select(F.col("doc_id").alias(ROW), "component_id")
     found = written(found.groupBy(ROW).agg(F.min("component_id").alias("component_id"), F.count("*").alias("copies")), "components")
     found = found.join(rows.select(ROW, "doc_id").distinct(), ROW)
