@@ -89,37 +89,86 @@ def split_objective(candidates: DataFrame, verifier: bool) -> DataFrame:
 
 
 def resolve_conflicts(candidates: DataFrame, rules: DataFrame) -> DataFrame:
-    """(kept rows) pairs of a block in order: a rule that supersedes or specialises another drops it; rules of one conflict family with different suggestions drop the one of lower precedence; equal ones stay, marked unresolved. A dropped row takes no further part, so the rows of a block are folded in order; blocks with one row pass by."""
+    """(kept rows) pairs of a block in order: a rule that supersedes or specialises another drops it; of rules that conflict and have different suggestions the one of lower precedence goes; of equal precedence both stay, marked unresolved.
+
+    Rules conflict that share a conflict family or of which one names the other in ``conflicts``. Precedence is that of
+    ``combine.rule_precedence``; of the columns mandatory, scope, machine_verifiable and conflicts each may be missing, and candidates of
+    unknown rules count as a rule without properties. A dropped row takes no further part, so the rows of a block are folded in
+    order, each compared with those of related rules alone; blocks without related rows pass by.
+    """
+    have = rules
+    for c, kind in (("mandatory", "boolean"), ("scope", "string"), ("machine_verifiable", "boolean"), ("conflicts", "array<string>")):
+        if c not in rules.columns:
+            have = have.withColumn(c, F.lit(None).cast(kind))
+    none = F.array().cast("array<string>")
+    have = have.select("rule", "mandatory", "priority", "scope", "machine_verifiable", "conflict_family", F.coalesce("over", none).alias("over"), F.coalesce("conflicts", none).alias("conflicts"))
+    rows = candidates.join(have, "rule", "left").withColumns({"over": F.coalesce("over", none), "conflicts": F.coalesce("conflicts", none)})
+    scope = F.coalesce(F.create_map(*(F.lit(x) for kv in SCOPE_RANK.items() for x in kv))[F.lower(F.trim("scope"))], F.lit(0))
+    priority = F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce("priority", F.lit(50))))
+    key = F.struct((~F.coalesce("mandatory", F.lit(False))).cast("int").alias("m"), (-priority).alias("p"), (-scope).alias("s"), (~F.coalesce("machine_verifiable", F.lit(False))).cast("int").alias("v"))
     per = Window.partitionBy("doc_id", "block_index")
-    rows = candidates.join(rules.select("rule", "priority", "conflict_family", "over"), "rule", "left").withColumn("alone", F.count("*").over(per) == 1)
+    rows = rows.withColumn("key", key).withColumn("alone", F.count("*").over(per) == 1)
     out = "doc_id long, block_index int, pos int, rule string, suggestion string, unresolved boolean"
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
-        items = part.sort_values("pos").to_dict("records")
-        gone, open_ = set(), set()
-        for i, a in enumerate(items):
-            for j in range(i + 1, len(items)):
-                b = items[j]
-                if i in gone or j in gone:
-                    continue
-                if b["rule"] in list(a["over"] if a["over"] is not None else []):
-                    gone.add(j)
-                elif a["rule"] in list(b["over"] if b["over"] is not None else []):
-                    gone.add(i)
-                elif a["conflict_family"] and a["conflict_family"] == b["conflict_family"] and a["suggestion"] != b["suggestion"]:
-                    if a["priority"] == b["priority"]:
-                        open_ |= {i, j}
-                    else:
-                        gone.add(j if a["priority"] > b["priority"] else i)
-        keep = [i for i in range(len(items)) if i not in gone]
-        return pd.DataFrame({c: [items[i][c] for i in keep] for c in ("doc_id", "block_index", "pos", "rule", "suggestion")} | {"unresolved": [i in open_ for i in keep]})
+        items = part.sort_values("pos", kind="stable").to_dict("records")
+        kept, open_ = settled(items)
+        return pd.DataFrame({c: [items[i][c] for i in kept] for c in ("doc_id", "block_index", "pos", "rule", "suggestion")} | {"unresolved": [i in open_ for i in kept]})
 
     cols = ["doc_id", "block_index", "pos", "rule", "suggestion"]
     single = rows.where("alone").select(*cols, F.lit(False).alias("unresolved"))
-    folded = rows.where("not alone").select(*cols, "priority", "conflict_family", "over").groupBy("doc_id", "block_index").applyInPandas(fold, out)
+    folded = rows.where("not alone").select(*cols, "key", "conflict_family", "over", "conflicts").groupBy("doc_id", "block_index").applyInPandas(fold, out)
     return single.select(*(F.col(c).cast(t) for c, t in (x.split(" ") for x in out.split(", ")))).unionByName(folded)
 
 
+#: Wider scopes come later in the order of precedence.
+SCOPE_RANK = {"all": 0, "document": 1, "section": 2, "sentence": 3, "token": 4}
+
+
+def settled(items: list[dict]) -> tuple[list[int], set[int]]:
+    """Places of the items of a block that stay, and of those that a conflict leaves open."""
+    by_rule: dict[str, list[int]] = {}
+    by_family: dict[str, list[int]] = {}
+    for i, x in enumerate(items):
+        by_rule.setdefault(x["rule"], []).append(i)
+        if x["conflict_family"]:
+            by_family.setdefault(x["conflict_family"], []).append(i)
+    related: dict[str, set[str]] = {}
+    for x in items:
+        for other in (*x["over"], *x["conflicts"]):
+            if other in by_rule:
+                related.setdefault(x["rule"], set()).add(other)
+                related.setdefault(other, set()).add(x["rule"])
+    gone: set[int] = set()
+    open_: set[int] = set()
+    for i, a in enumerate(items):
+        if i in gone:
+            continue
+        others = {j for r in related.get(a["rule"], ()) for j in by_rule[r]} | set(by_family.get(a["conflict_family"] or "", ()))
+        for j in sorted(x for x in others if x > i):
+            if j in gone:
+                continue
+            b = items[j]
+            if b["rule"] in a["over"]:
+                gone.add(j)
+                continue
+            if a["rule"] in b["over"]:
+                gone.add(i)
+                break
+            named = b["rule"] in a["conflicts"] or a["rule"] in b["conflicts"]
+            if not named and not (a["conflict_family"] and a["conflict_family"] == b["conflict_family"]) or a["suggestion"] == b["suggestion"]:
+                continue
+            x, y = ((*(k[c] for c in "mpsv"), r) for k, r in ((a["key"], a["rule"]), (b["key"], b["rule"])))
+            if x < y:
+                gone.add(j)
+            elif y < x:
+                gone.add(i)
+                break
+            else:
+                open_ |= {i, j}
+    return [i for i in range(len(items)) if i not in gone], open_ - gone
+
+
 def report_rows(candidates: DataFrame) -> DataFrame:
     message = F.concat_ws(" ", "description", F.nullif(F.trim("reasoning"), F.lit("")))
     return candidates.withColumns({"message": message, "severity": mapped(F.col("severity"), SEVERITY_OF_REPORT, F.lit("warning"))})

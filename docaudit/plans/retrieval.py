@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.functions.text import stem, tokens
+from docaudit.functions.text import SUFFIXES, stem, tokens
 from docaudit.operators import combine as C
 from docaudit.operators import retrieve as R
 from docaudit.plans.registry import query, table
@@ -36,13 +36,38 @@ def term_frequency(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.explode(tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 3")
 
 
-@query()
+#: The first of the endings, in their order, that a word of over five letters can lose.
+_ENDINGS = "[" + ", ".join(f"'{s}'" for s in SUFFIXES) + "]"
+
+
+def _stem(t: str) -> str:
+    return f"CASE WHEN length({t}) > 5 THEN left({t}, length({t}) - length(list_filter({_ENDINGS}, lambda e: ends_with({t}, e) AND length({t}) - length(e) >= 3)[1])) END"
+
+
+@query(f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(replace(lower(text), 'ё', 'е'), '[0-9a-zа-я]+')) AS token FROM documents),
+forms AS (SELECT DISTINCT token FROM (SELECT token FROM w UNION ALL SELECT token || {_ENDINGS}[length(token) % {len(SUFFIXES)} + 1] FROM w UNION ALL SELECT token || 'ами' FROM w))
+SELECT stem, count(*) AS forms FROM (SELECT {_stem('token')} AS stem FROM forms) WHERE stem IS NOT NULL GROUP BY stem HAVING count(*) > 1""")
 def stems(spark: SparkSession, d: str) -> DataFrame:
+    """Words of the documents, each as it is and with two endings, by what they have in common."""
     words = table(spark, d, "documents").select(F.explode(tokens(F.col("text"))).alias("token")).distinct()
-    return words.select("token", stem(F.col("token")).alias("stem")).where("stem is not null").groupBy("stem").agg(F.count("*").alias("forms")).where("forms > 1")
+    ending = F.get(F.array(*map(F.lit, SUFFIXES)), F.length("token") % len(SUFFIXES))
+    forms = words.select(F.explode(F.array("token", F.concat("token", ending), F.concat("token", F.lit("ами")))).alias("token")).distinct()
+    return forms.select("token", stem(F.col("token")).alias("stem")).where("stem is not null").groupBy("stem").agg(F.count("*").alias("forms")).where("forms > 1")
 
 
-@query()
+def _terms(key: str, source: str) -> str:
+    words = f"(SELECT {key}, unnest(regexp_extract_all(replace(lower(text), 'ё', 'е'), '[0-9a-zа-я]+')) AS token FROM {source})"
+    return f"SELECT {key}, token, count(*) AS n FROM (SELECT {key}, token FROM {words} UNION ALL SELECT {key}, stem FROM (SELECT {key}, {_stem('token')} AS stem FROM {words}) WHERE stem IS NOT NULL) GROUP BY ALL"
+
+
+LEXICAL = f"""turn AS (SELECT conv_id * 1000 + turn AS chunk, text FROM conversations), item AS (SELECT CAST(item_id AS VARCHAR) AS rule, text, lower(substring(text, 1, 12)) AS bad FROM benchmark),
+tq AS ({_terms('chunk', 'turn')}), ti AS ({_terms('rule', 'item')}), lq AS (SELECT chunk, sum(n) AS l FROM tq GROUP BY 1), li AS (SELECT rule, sum(n) AS l FROM ti GROUP BY 1),
+common AS (SELECT chunk, rule, sum(least(tq.n, ti.n)) AS c FROM tq JOIN ti USING (token) GROUP BY ALL),
+held AS (SELECT DISTINCT chunk, rule FROM item JOIN tq ON tq.token = regexp_extract(replace(bad, 'ё', 'е'), '[0-9a-zа-я]+') JOIN turn USING (chunk) WHERE length(bad) >= 3 AND contains(lower(turn.text), bad)),
+lexical AS (SELECT chunk, rule, sum(s) AS lexical FROM (SELECT chunk, rule, CAST(c AS DOUBLE) / greatest(1.0, sqrt(CAST(lq.l AS DOUBLE)) * sqrt(CAST(li.l AS DOUBLE))) AS s FROM common JOIN lq USING (chunk) JOIN li USING (rule) UNION ALL SELECT chunk, rule, 1.0 FROM held) GROUP BY ALL)"""
+
+
+@query(f"WITH {LEXICAL} SELECT chunk, rule, round(lexical, 6) AS lexical FROM lexical")
 def lexical_score(spark: SparkSession, d: str) -> DataFrame:
     return R.lexical_score(passages(spark, d), rules(spark, d)).select("chunk", "rule", F.round("lexical", 6).alias("lexical"))
 
@@ -103,7 +128,9 @@ def select_top_k(spark: SparkSession, d: str) -> DataFrame:
     return _best(spark, d).select("chunk", "rule", "rank")
 
 
-@query()
+@query(f"""WITH {RULES}, {LEXICAL}, met AS (SELECT DISTINCT chunk FROM lexical), s AS (SELECT b.*, met.chunk IS NOT NULL AS hit, 0.55 * coalesce(lexical.lexical, 0.0) + CAST(boost AS DOUBLE) AS score FROM b LEFT JOIN lexical USING (chunk, rule) LEFT JOIN met ON met.chunk = b.chunk),
+k AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY mandatory DESC, CASE WHEN mandatory OR NOT hit THEN 0 ELSE -score END, priority DESC, scope_rank DESC, mv DESC, rule) AS rank, count(*) FILTER (mandatory) OVER (PARTITION BY chunk) AS nm FROM s)
+SELECT chunk, rule, CASE WHEN hit THEN round(score, 6) ELSE 0.0 END AS score, CAST(rank AS INT) AS rank, CASE WHEN hit THEN 'lexical_only' ELSE 'fallback' END AS mode FROM k WHERE NOT hit OR rank <= greatest(10, nm)""")
 def retrieve_batch(spark: SparkSession, d: str) -> DataFrame:
     return R.retrieve(passages(spark, d), rules(spark, d), 10).select("chunk", "rule", F.round("score", 6).alias("score"), "rank", "mode")
 

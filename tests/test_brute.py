@@ -55,11 +55,13 @@ def words_of(text):
 def stem_of(token):
     if len(token) <= 5:
         return None
-    return next((token[: -len(s)] for s in T.SUFFIXES if token.endswith(s) and len(token) - len(s) >= 3), token)
+    return next((token[: -len(s)] for s in T.SUFFIXES if token.endswith(s) and len(token) - len(s) >= 3), None)
 
 
 def test_stems(spark):
-    tokens = {t for r in rows(spark, "documents") for t in words_of(r["text"])}
+    words = {t for r in rows(spark, "documents") for t in words_of(r["text"])}
+    tokens = words | {t + T.SUFFIXES[len(t) % len(T.SUFFIXES)] for t in words} | {t + "ами" for t in words}
+    assert stem_of("documents") is None and stem_of("таблицами") == "таблиц"
     want = Counter(s for s in map(stem_of, tokens) if s)
     assert {r["stem"]: r["forms"] for r in query(spark, "stems")} == {s: n for s, n in want.items() if n > 1}
     made = spark.createDataFrame([(t,) for t in ("исправление", "исправлений", "исправить", "таблицами", "поле", "новому")], "t string").select("t", T.stem(F.col("t")).alias("s"))
