@@ -9,6 +9,7 @@ from docaudit.functions import text as T
 from docaudit.functions.text import escape_formula
 from docaudit.operators import combine as C
 from docaudit.operators import lint as L
+from docaudit.operators import morph as M
 from docaudit.plans.registry import query, table
 from docaudit.plans.text import LINES, TURNS, lines, turns
 from docaudit.sources.shared import written
@@ -143,11 +144,41 @@ def _readings(spark: SparkSession, d: str) -> DataFrame:
     return L.morph_lookup(L.word_tokens(lines(spark, d)), _morph(spark))
 
 
+def _all_readings(spark: SparkSession, d: str) -> DataFrame:
+    """Readings of every word: those of ``word_table``, others by their endings."""
+    tokens = L.word_tokens(lines(spark, d))
+    return L.morph_lookup(tokens, written(M.completed(tokens.select("word"), word_table(spark, d)), "readings"))
+
+
+@query()
+def morph_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Words of the documents by part of speech and number, and how many of these are guessed."""
+    return _all_readings(spark, d).groupBy("part", "number").agg(F.count("*").alias("n"), F.count_if("guessed").alias("guessed"))
+
+
 @query()
 def morph_lookup(spark: SparkSession, d: str) -> DataFrame:
     return _readings(spark, d).groupBy("lemma", "part").agg(F.count("*").alias("n"))
 
 
+def word_table(spark: SparkSession, d: str) -> DataFrame:
+    """Three in four of the different words of the documents with a reading that their letters tell, as a morphology table."""
+    w = L.word_tokens(lines(spark, d)).select(F.lower("word").alias("form")).distinct().where(F.crc32("form") % 4 != 0)
+    part = F.when(F.col("form").rlike("[nt]$"), "NOUN").when(F.col("form").rlike("e$"), "ADJ").when(F.col("form").rlike("(d|ing)$"), "VERB").otherwise("ADV")
+    number = F.when(F.col("form").endswith("s"), "plur").otherwise("sing")
+    lemma = F.when(F.col("form").endswith("s"), F.expr("left(form, length(form) - 1)")).otherwise(F.col("form"))
+    none = F.lit(None).cast("string")
+    return w.select("form", F.lit(0).alias("rank"), lemma.alias("lemma"), part.alias("pos"), number.alias("number"), none.alias("grammatical_case"), none.alias("gender"))
+
+
+@query()
+def morph_predicted(spark: SparkSession, d: str) -> DataFrame:
+    """Readings of the words that the table of ``word_table`` lacks, by the endings of the others."""
+    m = word_table(spark, d)
+    made = M.completed(L.word_tokens(lines(spark, d)).select("word"), m)
+    return made.where("guessed").select("form", "lemma", F.col("pos").alias("part"), "number")
+
+
 @query()
 def adj_noun_agreement(spark: SparkSession, d: str) -> DataFrame:
     return L.disagreement(_readings(spark, d), "ADJ", "NOUN")
