@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,23 +14,50 @@ from docaudit.operators.lint import DEFAULT_RULES, Rule, lint
 from docaudit.operators.segment import explode_lines
 
 
-def watch_stream(snapshots: DataFrame) -> DataFrame:
-    """Status of each arriving snapshot (page_id, checked_at, content_hash, struct_hash, error) against the page's last one, which is all the state a page keeps."""
+#: Columns of a snapshot that waits for its turn, in the state of its page.
+_WAITING = ("checked_at", "content_hash", "struct_hash", "error")
+
+
+def watch_stream(snapshots: DataFrame, late: str = "0 seconds", quiet_days: int = 90) -> DataFrame:
+    """Status of each snapshot (page_id, checked_at, content_hash, struct_hash, error) against the page's one before it in event time.
+
+    A snapshot waits in its page's state until the watermark, ``late`` behind the newest snapshot of all, has passed it; then
+    those that wait are judged in the order of their times. So batches that come in the wrong order give what one batch
+    gives, unless a snapshot comes later than the watermark: Spark drops it. Besides what waits a page keeps its last two hashes, until
+    it has been silent for ``quiet_days``; the first snapshot after that counts as a page's first. Ties go by hash.
+    """
     out = "page_id long, checked_at timestamp, status string"
+    keeps = "content_hash string, struct_hash string, seen long, waiting string"
+    quiet = quiet_days * 86_400_000_000
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(["checked_at", "content_hash"])
-        last = state.get if state.exists else None
+        content, struct, seen, waiting = state.get if state.exists else (None, None, None, "[]")
+        rows = [tuple(r) for r in json.loads(waiting)]
+        for part in parts:
+            for at, *rest in part[list(_WAITING)].itertuples(index=False):
+                rows.append((int(pd.Timestamp(at).value // 1000), *(None if x is None or pd.isna(x) else x for x in rest)))
+        mark = state.getCurrentWatermarkMs()
+        # the watermark has whole milliseconds
+        due = sorted((r for r in rows if r[0] // 1000 <= mark), key=lambda r: (r[0], r[1] or ""))
+        rows = [r for r in rows if r[0] // 1000 > mark]
         found = []
-        for r in rows.itertuples(index=False):
-            bad = r.error is not None and not pd.isna(r.error)
-            now = ("", "") if bad else (r.content_hash or "", r.struct_hash or "")
-            found.append((key[0], r.checked_at, "error" if bad else "changed" if last is not None and tuple(last) != now else "same"))
-            last = now
-        state.update(tuple(last))
-        yield pd.DataFrame(found, columns=["page_id", "checked_at", "status"])
-
-    return snapshots.groupBy("page_id").applyInPandasWithState(step, out, "content_hash string, struct_hash string", "append", GroupStateTimeout.NoTimeout)
+        for at, content_now, struct_now, error in due:
+            now = ("", "") if error is not None else (content_now or "", struct_now or "")
+            known = seen is not None and at - seen <= quiet
+            found.append((key[0], pd.Timestamp(at, unit="us"), "error" if error is not None else "changed" if known and (content, struct) != now else "same"))
+            (content, struct), seen = now, at
+        if rows or (seen is not None and mark * 1000 - seen <= quiet):
+            state.update((content, struct, seen, json.dumps(rows)))
+            # wakes when the first that waits is due, else when the page has been silent for too long
+            wake = min((r[0] // 1000 for r in rows), default=((seen or 0) + quiet) // 1000 + 1)
+            state.setTimeoutTimestamp(max(wake, mark + 1))
+        elif state.exists:
+            state.remove()
+        if found:
+            yield pd.DataFrame(found, columns=["page_id", "checked_at", "status"])
+
+    marked = snapshots.withWatermark("checked_at", late)
+    return marked.groupBy("page_id").applyInPandasWithState(step, out, keeps, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def rule_hits_stream(hits: DataFrame) -> DataFrame:
