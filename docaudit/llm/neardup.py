@@ -17,12 +17,12 @@ if 100 * intersection >= 75 * union, confirmed on the full sets; a component is
    in the long ones. Pairs that collide in T coordinates are confirmed on the full sets; pairs that links already join are left
    out, and only the links that join something are emitted, so no pair is ever a row.
 5. A group of over ``BLOCK`` nodes is dealt out: each block is searched by itself, together with the group's first
-   node. Mostly that joins all of it. Where it does not, the pairs of blocks are searched for links between different
-   components. What links join are the components.
+   node. Mostly that joins all of it. Where it does not, the nodes outside its largest component are searched for links with
+   each block, and with each other. What links join are the components.
 
 Defined results: empty texts, null texts and texts of white space have an empty set, are linked with nothing
 and are kept. A row without doc_id takes no part: component_id null, kept. Rows that repeat a doc_id each come
-back; the texts of all of them count. Ties do not arise. Other columns are ignored. The nodes' 64-bit digests
+back (a doc_id that is no whole number is an error); the texts of all of them count. Ties do not arise. Other columns are ignored. The nodes' 64-bit digests
 may meet by chance: one wrong pair is expected among six billion different sets.
 """
 
@@ -224,11 +224,31 @@ def links(members: DataFrame, nodes: DataFrame, firsts: DataFrame, docs: DataFra
     roots = components(found)
     split = split.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
     split = written(split, "split")
-    # only groups whose blocks are not all joined yet
-    open_groups = split.groupBy("first").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("first")
-    split = split.join(open_groups, "first").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> own")
-    pairs = split.select("first", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
-    return found.unionByName(confirmed(pairs, full))
+    return found.unionByName(confirmed(strangers(split), full))
+
+
+def strangers(split: DataFrame) -> DataFrame:
+    """Rows (first, i, j, own, node, label) of what is left to be searched in groups whose blocks links have not joined altogether.
+
+    Nodes outside a group's largest component, its strangers, are dealt out over blocks of their own. Each of these is searched with
+    each block of the group and with each block of strangers, so a node of the component is sent once for ``BLOCK`` strangers, whatever the
+    size of the group, and a stranger once for ``BLOCK`` nodes. ``split``: first, node, blocks, own, label.
+    """
+    sizes = split.groupBy("first", "label").agg(F.count("*").alias("c"))
+    sizes = sizes.groupBy("first").agg(F.max(F.struct("c", "label"))["label"].alias("main"), (F.sum("c") - F.max("c")).alias("others")).where("others > 0")
+    sizes = written(sizes.select("first", "main", F.ceil(F.col("others") / BLOCK).cast("int").alias("extra")), "open")
+    rows = split.join(sizes, "first")
+    other = F.pmod(F.xxhash64("node", F.lit(1)), F.col("extra")).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    inside = rows.where(F.col("label") == F.col("main")).select("first", F.col("own").alias("i"), F.explode(upto(F.col("extra"))).alias("j"), "own", "node", "label")
+    outside = rows.where(F.col("label") != F.col("main")).withColumn("other", other)
+    # blocks of strangers are numbered behind those of the group
+    own = (F.col("blocks") + F.col("other")).alias("own")
+    with_group = outside.select("first", F.explode(upto(F.col("blocks"))).alias("i"), F.col("other").alias("j"), own, "node", "label")
+    with_others = outside.select("first", own, "blocks", "other", F.explode(upto(F.col("extra"))).alias("to"), "node", "label")
+    low, high = (F.col("blocks") + f("other", "to") for f in (F.least, F.greatest))
+    with_others = with_others.select("first", low.alias("i"), high.alias("j"), "own", "node", "label")
+    return inside.unionByName(with_group).unionByName(with_others)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
