@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,6 +134,54 @@ def retrieve(passages: DataFrame, rules: DataFrame, k: int, vectors: DataFrame |
     return scored.select(*out).unionByName(select_top_k(rest, 1 << 30).select(*out))
 
 
+Model = Callable[[list[str]], list[list[float]]]
+
+
+def embedded(texts: DataFrame, model: Model, batch: int = 90, cache: DataFrame | None = None) -> DataFrame:
+    """(digest, v): the vector of each different text of ``texts`` (text), by its SHA-256.
+
+    ``model`` is the user's function from a list of texts to as many vectors. It is called once for up to ``batch`` different texts, in
+    the tasks, wherever Arrow's batches end; texts that ``cache`` (digest, v) holds are not sent to it. The result is written, so
+    that whoever reads it several times calls no model again (a task that is lost with its executor is run anew). Null and empty
+    texts have no vector. A model that returns another number of vectors is an error.
+    """
+    rows = texts.where("text <> ''").select(F.sha2("text", 256).alias("digest"), "text").groupBy("digest").agg(F.min("text").alias("text"))
+    known = None
+    if cache is not None:
+        known = cache.join(rows.select("digest"), "digest", "left_semi").select("digest", F.col("v").cast("array<double>").alias("v")).dropDuplicates(["digest"])
+        rows = rows.join(cache.select("digest").distinct(), "digest", "left_anti")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[str, str]] = []
+
+        def out(part: list[tuple[str, str]]) -> pd.DataFrame:
+            vectors = model([t for _, t in part])
+            if len(vectors) != len(part):
+                raise ValueError(f"the model returned {len(vectors)} vectors for {len(part)} texts")
+            return pd.DataFrame({"digest": [k for k, _ in part], "v": [[float(x) for x in v] for v in vectors]})
+
+        for b in batches:
+            held += zip(b["digest"], b["text"])
+            while len(held) >= batch:
+                yield out(held[:batch])
+                del held[:batch]
+        if held:
+            yield out(held)
+
+    made = rows.mapInPandas(run, "digest string, v array<double>")
+    return written(made if known is None else made.unionByName(known), "vectors")
+
+
+def retrieve_embedded(passages: DataFrame, rules: DataFrame, k: int, model: Model, cache: DataFrame | None = None) -> DataFrame:
+    """``retrieve`` with vectors that ``model`` makes of the passages and of the three texts of each rule; each different text once."""
+    documents = rule_documents(rules)
+    fields = documents.select("rule", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in FIELD_WEIGHTS))).alias("d")).select("rule", "d.field", "d.text")
+    vectors = embedded(passages.select("text").unionByName(fields.select("text")), model, cache=cache)
+    of_rules = fields.withColumn("digest", F.sha2("text", 256)).join(vectors, "digest").select("rule", "field", "v")
+    asked = passages.drop("v").withColumn("digest", F.sha2("text", 256)).join(vectors, "digest", "left").drop("digest")
+    return retrieve(asked, rules, k, of_rules)
+
+
 def index_state(guides: DataFrame, vectors: DataFrame) -> DataFrame:
     """hybrid, lexical_only or empty for each guide (guide, rule)."""
     have = vectors.select("rule", F.lit(1).alias("v")).distinct()

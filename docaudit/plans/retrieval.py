@@ -143,6 +143,27 @@ def hybrid_retrieval(spark: SparkSession, d: str) -> DataFrame:
     return R.retrieve(p, rules(spark, d), 10, vectors(spark, d)).select("chunk", "rule", F.round("score", 6).alias("score"), "rank", "mode")
 
 
+def letter_model(texts: list[str]) -> list[list[float]]:
+    """A stand-in for a user's model: how often each letter of a to z stands in a text."""
+    return [[float(t.lower().count(chr(97 + i))) for i in range(26)] for t in texts]
+
+
+@query()
+def embedded_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """Rules for each turn with vectors that a model makes of both."""
+    r = R.retrieve_embedded(passages(spark, d), rules(spark, d), 10, letter_model)
+    return r.select("chunk", "rule", F.round("score", 6).alias("score"), "rank", "mode")
+
+
+_LETTERS = "list_transform(range(26), lambda i: CAST(length(lower(t)) - length(replace(lower(t), chr(CAST(97 + i AS INT)), '')) AS DOUBLE))"
+
+
+@query(f"SELECT digest, {_LETTERS} AS v FROM (SELECT DISTINCT sha256(text) AS digest, text AS t FROM conversations WHERE text <> '')")
+def embedder(spark: SparkSession, d: str) -> DataFrame:
+    """A vector for each different turn."""
+    return R.embedded(table(spark, d, "conversations").select("text"), letter_model)
+
+
 @query("SELECT rule, count(*) AS n FROM (WITH " + RULES + ", k AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY mandatory DESC, CASE WHEN mandatory THEN 0 ELSE -boost END, priority DESC, scope_rank DESC, mv DESC, rule) AS rank FROM b) SELECT rule FROM k WHERE rank <= 10) GROUP BY rule")
 def rule_hit_counts(spark: SparkSession, d: str) -> DataFrame:
     return _best(spark, d).groupBy("rule").agg(F.count("*").alias("n"))
