@@ -345,23 +345,57 @@ def folder_descendants(folders: DataFrame, root: int, max_depth: int = 50) -> Da
 
 
 def reference_cycles(edges: DataFrame) -> DataFrame:
-    """Starts of cycles in (src, dst), with the length of the shortest way round.
+    """(start, length): each node of (src, dst) that lies on a cycle, with the length of the shortest way round.
 
-    Nodes without a way in or out are trimmed first, as they lie on no cycle. From the others the walk spreads one step a round; a node is
-    reached once from each start, so the work is bounded by starts times edges, whatever the number of paths. Each round is a written table.
+    Nodes without a way in or out lie on no cycle and are trimmed. A node with one way in and one way out is passed over: its two edges
+    become one, which keeps their length, so a chain or ring of any length is gone after a logarithmic number of rounds
+    (neighbours never go in one round: the one with the larger hash does). Ways are then searched between the nodes that are left, from each
+    along the edges until none gets shorter. A node that was passed over lies on its edge's shortest way round. Each round is
+    a written table; only counts come to the driver.
     """
-    edges = written(edges.select("src", "dst").dropna().distinct(), "edges")
-    left = edges.count()
-    while left:
-        edges = written(edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "edges")
-        edges = written(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"), "edges")
-        before, left = left, edges.count()
-        if left == before:
-            break
-    seen = front = written(edges.select(F.col("src").alias("start"), F.col("dst").alias("at"), F.lit(1).alias("length")), "walk")
+    whole = edges.select("src", "dst").dropna().distinct()
+    left, inside = _without_chains(whole)
+    seen = front = written(left.groupBy("src", "dst").agg(F.min("length").alias("length")).select(F.col("src").alias("start"), F.col("dst").alias("at"), "length"), "walk")
     while not front.isEmpty():
         open_ends = front.where("at <> start").select("start", F.col("at").alias("src"), "length")
-        step = open_ends.join(edges, "src").select("start", F.col("dst").alias("at"), (F.col("length") + 1).alias("length")).distinct()
-        front = written(step.join(seen.select("start", "at"), ["start", "at"], "left_anti"), "walk")
-        seen = seen.unionByName(front)
-    return seen.where("at = start").select("start", "length")
+        step = open_ends.join(left.withColumnRenamed("length", "more"), "src").select("start", F.col("dst").alias("at"), (F.col("length") + F.col("more")).alias("length"))
+        step = step.groupBy("start", "at").agg(F.min("length").alias("length"))
+        better = step.join(seen.withColumnRenamed("length", "known"), ["start", "at"], "left").where("known is null or length < known").select("start", "at", "length")
+        front = written(better, "walk")
+        seen = written(seen.unionByName(front).groupBy("start", "at").agg(F.min("length").alias("length")), "ways")
+    own = seen.where("at = start").select("start", "length")
+    back = seen.select(F.col("start").alias("dst"), F.col("at").alias("src"), F.col("length").alias("back"))
+    round_ = left.join(back, ["src", "dst"], "left").withColumn("back", F.when(F.col("src") == F.col("dst"), 0).otherwise(F.col("back")))
+    passed = inside.join(round_.where("back is not null").select("edge", (F.col("length") + F.col("back")).alias("length")), "edge").select(F.col("node").alias("start"), "length")
+    return own.unionByName(passed).select("start", F.col("length").cast("int").alias("length"))
+
+
+def _without_chains(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (src, dst, length, edge) between the nodes that can't be passed over, and (node, edge) of those that were."""
+    # numbers stay as they are, as the table is written
+    left = written(edges.select("src", "dst", F.lit(1).cast("long").alias("length"), F.monotonically_increasing_id().alias("edge")), "edges")
+    node = left.schema["src"].dataType.simpleString()
+    inside = edges.sparkSession.createDataFrame([], f"node {node}, edge long")
+    turn, before = 0, 1 << 60
+    # a few that are left cost the walk no more than further rounds would
+    while before - (size := left.count()) > 16:
+        before = size
+        # trimmed: edges that begin where none ends, or end where none begins
+        left = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        left = written(left.select("src", "dst", "length", "edge"), "edges")
+        into = left.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.min("src").alias("src"), F.min("edge").alias("first"))
+        out = left.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("m"), F.min("dst").alias("dst"), F.min("edge").alias("second"))
+        plain = into.where("n = 1").join(out.where("m = 1"), "node").where("src <> node").select("node", "src", "dst", "first", "second", F.xxhash64("node", F.lit(turn)).alias("h"))
+        plain = written(plain, "plain")
+        rival = plain.select("node", F.col("h").alias("other"))
+        near = plain.join(rival.withColumnsRenamed({"node": "src", "other": "of_src"}), "src", "left").join(rival.withColumnsRenamed({"node": "dst", "other": "of_dst"}), "dst", "left")
+        gone = written(near.where("(of_src is null or of_src < h) and (of_dst is null or of_dst < h)").select("node", "src", "dst", "first", "second"), "gone")
+        lengths = left.select("edge", "length")
+        joined = gone.join(lengths.withColumnsRenamed({"edge": "first", "length": "a"}), "first").join(lengths.withColumnsRenamed({"edge": "second", "length": "b"}), "second")
+        joined = joined.select("src", "dst", (F.col("a") + F.col("b")).alias("length"), F.col("first").alias("edge"))
+        kept = left.join(gone.select(F.explode(F.array("first", "second")).alias("edge")), "edge", "left_anti").select("src", "dst", "length", "edge")
+        moved = inside.join(gone.select(F.col("second").alias("edge"), F.col("first").alias("to")), "edge", "left").select("node", F.coalesce("to", "edge").alias("edge"))
+        inside = written(moved.unionByName(gone.select("node", F.col("first").alias("edge"))), "inside")
+        left = written(kept.unionByName(joined), "edges")
+        turn += 1
+    return left, inside

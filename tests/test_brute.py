@@ -189,6 +189,38 @@ def test_cycles_longer_than_twenty_steps(spark):
     assert C.reference_cycles(spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long")).count() == 0
 
 
+def shortest_rounds(edges):
+    out = {}
+    for start in {a for a, _ in edges}:
+        front, length = {b for a, b in edges if a == start}, 1
+        seen = set(front)
+        while front and start not in seen:
+            front = {b for a, b in edges if a in front} - seen
+            seen |= front
+            length += 1
+        if start in seen:
+            out[start] = length
+    return out
+
+
+def test_cycles_of_random_graphs_and_long_rings(spark):
+    import random
+
+    rng = random.Random(7)
+    edges = set()
+    for g in range(12):
+        n = rng.randint(2, 9)
+        edges |= {(100 * g + rng.randrange(n), 100 * g + rng.randrange(n)) for _ in range(rng.randint(n, 2 * n))}
+        # chains between nodes of the graph, side by side with its edges
+        for c in range(2):
+            chain = [100 * g + rng.randrange(n), *(100 * g + 20 + 10 * c + i for i in range(rng.randint(1, 8))), 100 * g + rng.randrange(n)]
+            edges |= set(zip(chain, chain[1:]))
+    ring = {(10_000 + i, 10_000 + (i + 1) % 2000) for i in range(2000)}
+    path = {(20_000 + i, 20_001 + i) for i in range(1500)}
+    got = {r["start"]: r["length"] for r in C.reference_cycles(spark.createDataFrame([*edges, *ring, *path, (None, 1)], "src long, dst long")).collect()}
+    assert got == shortest_rounds(edges) | dict.fromkeys(range(10_000, 12_000), 2000)
+
+
 def test_rule_ids_stay_unique(spark):
     ids = ["a", "a", "a_2", "a", "a_3", "a_3", None, "b", "a_2"]
     df = spark.createDataFrame([(i, r, f"T {i}") for i, r in enumerate(ids)], "seq int, rule string, title string")
