@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docaudit.operators.evaluate import meets
 from docaudit.sources.shared import written
 
 
@@ -92,10 +93,9 @@ def unseen_documents(activity: DataFrame, views: DataFrame) -> DataFrame:
 
 def expectation_match(expectations: DataFrame, findings: DataFrame) -> DataFrame:
     """Pairs in which a finding meets every key that the expectation gives (null: any)."""
-    e = expectations.select("case", *(F.col(c).alias(f"e_{c}") for c in ("rule", "line", "severity", "text")))
-    any_or_same = [F.col(f"e_{c}").isNull() | (F.col(f"e_{c}") == F.col(c)) for c in ("rule", "line", "severity")]
-    ok = reduce(Column.__and__, any_or_same) & (F.col("e_text").isNull() | F.contains(F.lower("text"), F.lower("e_text")))
-    return findings.join(e, "case").where(ok)
+    keys = tuple(c for c in ("rule", "line", "severity", "text", "start", "end") if c in expectations.columns)
+    e = expectations.select("case", *(F.col(c).alias(f"e_{c}") for c in keys))
+    return findings.join(e, "case").where(meets(keys))
 
 
 def candidate_pairs(candidates: DataFrame) -> DataFrame:

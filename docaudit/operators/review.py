@@ -1,4 +1,4 @@
-"""Candidates: evidence, model responses, validation, conflicts, reports; guides; evaluation."""
+"""Candidates: evidence, model responses, validation, conflicts, reports; guides."""
 
 from __future__ import annotations
 
@@ -260,49 +260,3 @@ def authority_metadata(rules: DataFrame) -> DataFrame:
     return rules.withColumns({
         "categories": F.array_distinct(F.array("rule_group", F.element_at(F.split("section", r"\."), 1))), "priority": priority, "scope": F.lit("all"),
         "machine_verifiable": (F.col("automation") == "automatic") & (F.col("engine") != "manual")})
-
-
-# evaluation
-def suggestion_match(kind: Column, expected: Column, got: Column) -> Column:
-    return F.when(kind == "exact", F.trim(expected) == F.trim(got)).when(kind == "regex", F.regexp(got, expected)).otherwise(F.contains(F.lower(got), F.lower(expected)))
-
-
-def evaluate_cases(expectations: DataFrame, findings: DataFrame) -> DataFrame:
-    """(case): what is missing, what violates a prohibition, whether a clean case has findings. ``expectations``: case, polarity, rule, clean."""
-    hit = findings.select("case", "rule").distinct().withColumn("hit", F.lit(1))
-    per = findings.groupBy("case").agg(F.count("*").alias("n"))
-    rows = expectations.join(hit, ["case", "rule"], "left").groupBy("case").agg(
-        F.count_if((F.col("polarity") == "expect") & F.col("hit").isNull()).alias("missing"), F.count_if((F.col("polarity") == "forbid") & F.col("hit").isNotNull()).alias("violations"),
-        F.count_if((F.col("polarity") == "expect") & F.col("hit").isNotNull()).alias("hits"), F.coalesce(F.bool_or("clean"), F.lit(False)).alias("clean"))
-    return rows.join(per, "case", "left").withColumn("clean_failure", F.col("clean") & (F.coalesce("n", F.lit(0)) > 0)).drop("n", "clean")
-
-
-def regression_rules(cases: DataFrame, found: DataFrame) -> DataFrame:
-    """(case): expected rules not found, forbidden rules found. ``found``: case, rules."""
-    none = F.array().cast("array<string>")
-    both = cases.join(found, "case", "left").withColumn("rules", F.coalesce("rules", none))
-    return both.select("case", F.array_sort(F.array_except("expect_rules", "rules")).alias("missing"), F.array_sort(F.array_intersect("forbid_rules", "rules")).alias("forbidden"))
-
-
-def eval_metrics(results: DataFrame) -> DataFrame:
-    ok = (F.col("missing") == 0) & (F.col("violations") == 0) & ~F.col("clean_failure")
-    return results.agg(
-        F.count("*").alias("cases"), (F.count_if(ok) / F.nullif(F.count("*"), F.lit(0))).alias("pass_rate"), (F.sum("hits") / F.nullif(F.sum("hits") + F.sum("missing"), F.lit(0))).alias("rule_recall"),
-        F.coalesce(F.sum("violations"), F.lit(0)).alias("violations"), F.count_if("clean_failure").alias("clean_failures"))
-
-
-#: What an evaluation has to reach.
-THRESHOLDS = {
-    "pass_rate": ("min", 0.70), "rule_recall": ("min", 0.80), "block_recall": ("min", 0.70), "span_recall": ("min", 0.70), "suggestion_recall": ("min", 0.60), "violations": ("max", 0),
-    "clean_failures": ("max", 0), "rule_recall_at_k": ("min", 0.90), "finder_rule_recall": ("min", 0.80), "verifier_rule_recall": ("min", 0.80),
-}
-
-
-def eval_thresholds(metrics: DataFrame, limits: dict[str, tuple[str, float]] | None = None) -> DataFrame:
-    """(metric, value, ok): minimum or maximum checks; a metric that is null or wasn't measured passes."""
-    limits = THRESHOLDS if limits is None else limits
-    names = list(limits)
-    metrics = metrics.withColumns({n: F.lit(None).cast("double") for n in names if n not in metrics.columns})
-    tall = metrics.select(F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value"), F.lit(limits[n][0]).alias("kind"), F.lit(float(limits[n][1])).alias("bound")) for n in names))).alias("m")).select("m.*")
-    ok = F.col("value").isNull() | F.when(F.col("kind") == "min", F.col("value") >= F.col("bound")).otherwise(F.col("value") <= F.col("bound"))
-    return tall.select("metric", "value", ok.alias("ok"))
