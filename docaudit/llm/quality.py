@@ -1,9 +1,11 @@
 """Quality classifier (operator 3): logistic regression over hashed word n-grams, trained with
 follow-the-regularised-leader (FTRL-proximal) updates and scored as sparse dot products.
 
-Words are runs of letters, of digits or of symbols; features are the words and pairs of neighbouring words of a
-text, hashed to ``2 ** BITS`` places. The value of a place is ``SCALE`` times the root of its share of all the
-text's words and pairs, so long and short texts have feature vectors of one length. L1 regularisation keeps the
+Words are runs of letters, of digits or of symbols; features are n-grams of three orders, hashed to ``2 ** BITS``
+places: the words of a text, pairs of neighbouring words, and runs of ``WINDOW`` words with each word written as a
+reference to the equal ones before it in the run, so that n-grams of words that were never learnt from still meet by
+how they repeat. The value of a place is ``SCALE`` times the root of its share of all the
+text's n-grams, so long and short texts have feature vectors of one length. L1 regularisation keeps the
 weights of rare features at zero.
 
 Fitting takes a bounded sample: the ``sample_rows`` labelled rows whose hashed doc_id is smallest. It is
@@ -34,6 +36,7 @@ from pyspark.sql import functions as F
 from docaudit.llm.common import BoundedCache, table, written
 
 BITS = 18
+WINDOW = 4
 SHARDS = 4
 EPOCHS = 5
 SAMPLE_ROWS = 12_000
@@ -46,11 +49,21 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 _hashes = BoundedCache(lambda word: xxhash.xxh64_digest(word.encode("utf-8", "replace")))
 
 
+def references(words: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of ``WINDOW`` words by which of their words are equal: one bit for each two places of the run."""
+    runs = max(0, len(words) - WINDOW + 1)
+    code = np.ones(runs, dtype=np.uint64)
+    for later in range(1, WINDOW):
+        for earlier in range(later):
+            code = (code << np.uint64(1)) | (words[later : later + runs] == words[earlier : earlier + runs])
+    return code * MIX * MIX
+
+
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed places of the words and word pairs of a text, in rising order, and their values."""
+    """Hashed places of the n-grams of a text, in rising order, and their values."""
     words = np.frombuffer(b"".join(_hashes.all(WORD.findall(text or ""))), dtype="<u8")
     pairs = (words[:-1] * MIX) ^ (words[1:] >> np.uint64(7))
-    places = (np.concatenate([words, pairs * MIX]) >> np.uint64(64 - BITS)).astype(np.int32)
+    places = (np.concatenate([words, pairs * MIX, references(words)]) >> np.uint64(64 - BITS)).astype(np.int32)
     at, times = np.unique(places, return_counts=True)
     return at, SCALE * np.sqrt(times / max(1, len(places)))
 

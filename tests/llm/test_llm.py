@@ -125,6 +125,15 @@ def test_quality_on_held_out_rows(spark):
     assert ((scored["predicted"] == 0) & (scored["quality"] == 1)).sum() == 0
 
 
+def test_quality_catches_bad_rows_of_unseen_words(spark):
+    """Texts in which one word comes again and again share no word with those learnt from."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    got = queries()["op3_quality_classifier"](spark, sf).join(labels, "doc_id").where("held_out").groupBy("quality", "predicted").count().collect()
+    n = {(r["quality"], r["predicted"]): r["count"] for r in got}
+    assert n[0, 0] >= 0.9 * (n[0, 0] + n.get((0, 1), 0)) and n.get((1, 0), 0) <= 0.01 * n[1, 1]
+
+
 def test_quality_odd_rows(spark):
     df = docs_of(spark, ODD, extra=False)
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(len(ODD))] + [(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
@@ -160,7 +169,9 @@ def brute_features(text):
     """{place: value} of the words and pairs of a text."""
     words = [int.from_bytes(xxhash.xxh64_digest(w.encode()), "little") for w in re.findall(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+", text or "")]
     pairs = [((a * int(quality.MIX) % 2**64) ^ (b >> 7)) * int(quality.MIX) % 2**64 for a, b in zip(words, words[1:])]
-    places = Counter(h >> (64 - quality.BITS) for h in words + pairs)
+    runs = [words[i : i + quality.WINDOW] for i in range(len(words) - quality.WINDOW + 1)]
+    codes = [int("1" + "".join(str(int(run[j] == run[i])) for j in range(len(run)) for i in range(j)), 2) for run in runs]
+    places = Counter(h >> (64 - quality.BITS) for h in words + pairs + [c * int(quality.MIX) ** 2 % 2**64 for c in codes])
     return {i: quality.SCALE * math.sqrt(c / sum(places.values())) for i, c in places.items()}
 
 
