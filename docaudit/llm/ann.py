@@ -1,11 +1,16 @@
-"""Approximate nearest neighbours by additive quantisation (operator 4).
+"""Nearest neighbours by additive quantisation with an exact check (operator 4).
 
 A vector is approximated by the sum of one word from each of ``BOOKS`` codebooks of full-dimensional words.
 The codebooks are fitted on a bounded sample (the ``SAMPLE`` vectors whose hash is smallest): residual k-means, then
 turns of encoding and least squares over all books together. Every vector is encoded by beam search over the
-residuals and stored with its codes and the norm of its approximation. A query builds a table of its inner products
-with all words; the sum of a row's entries over its stored norm approximates the cosine. The ``SHORTLIST`` best of all
-rows by that are a query's short list, which is then scored exactly, once, in double precision on the original vectors.
+residuals and stored with its codes, the norm of its approximation and the cosine and sine of the angle between the two.
+A query builds a table of its inner products with all words; the sum of a row's entries over its stored norm
+approximates the cosine. The ``SHORTLIST`` best of a chunk of rows by that are a query's short list there, which is scored
+exactly, in double precision on the original vectors.
+
+How well a sum of words fits differs between tables, so the exact check goes on: a query's angle to a row is at least that to
+the row's approximation less the angle between the two. Rows that may, by that bound, be nearer than the k-th best found
+so far are scored as well. What is returned is therefore exact on any rows; a bad fit costs time only.
 
 Equal vectors are one entry of the index, with their k + 1 smallest ids, so large groups of copies cost nothing further,
 cannot push nearer vectors out of a short list, and ties go to the smaller id. Queries come in blocks with a fixed
@@ -28,19 +33,28 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docaudit.llm.common import table, written
+from docaudit.llm.topk import Best
 from docaudit.llm.vectors import chunks, in_query_blocks, lengths, ranked, rows_of, usable
 
 BOOKS, WORDS, BEAM = 32, 64, 4
 SAMPLE = 4096
 SHORTLIST = 256
 CHUNK = 8192
+QUERIES_AT_ONCE = 128
+PRODUCTS = 1 << 22
 NEAREST = 5
 EVERY = 50
 FOUND = "query_id long, rank int, vec_id long, score double"
 
 
+def levelled(x: np.ndarray) -> np.ndarray:
+    """Each row times a power of two, so that its squares neither overflow nor vanish. Its cosines stay the same."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
-    return (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
+    x = levelled(x)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.RandomState) -> np.ndarray:
@@ -66,18 +80,18 @@ def fit(x: np.ndarray) -> np.ndarray:
     books = np.stack(books)
     for _ in range(2):
         chosen = np.zeros((len(x), BOOKS * k), dtype=np.float32)
-        chosen[np.arange(len(x))[:, None], encode(x, books)[0].astype(np.int64) + np.arange(BOOKS) * k] = 1
+        chosen[np.arange(len(x))[:, None], encode(x, books).astype(np.int64) + np.arange(BOOKS) * k] = 1
         gram = (chosen.T @ chosen).astype(np.float64)
         gram[np.diag_indices(BOOKS * k)] += 1.0
         books = np.linalg.solve(gram, chosen.T @ x + books.reshape(BOOKS * k, -1)).reshape(books.shape).astype(np.float32)
     return books
 
 
-def encode(x: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes by beam search over the residuals, and the norms of the approximations."""
+def encode(x: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Codes by beam search over the residuals."""
     k = books.shape[1]
     own = (books * books).sum(axis=2)
-    codes, norms = [], []
+    codes = []
     for start in range(0, len(x), 1024):
         part = x[start : start + 1024]
         n = len(part)
@@ -89,10 +103,27 @@ def encode(x: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             cost = np.take_along_axis(grown, at, 1)
             left = np.take_along_axis(left, path, 1) - words[word]
             chosen = np.concatenate([np.take_along_axis(chosen, path, 1), word[:, :, None].astype(np.uint8)], axis=2)
-        best = np.arange(n), cost.argmin(axis=1)
-        codes.append(chosen[best])
-        norms.append(np.sqrt(((part - left[best]) ** 2).sum(axis=1)))
-    return np.concatenate(codes), np.concatenate(norms).astype(np.float32)
+        codes.append(chosen[np.arange(n), cost.argmin(axis=1)])
+    return np.concatenate(codes)
+
+
+def fits(x: np.ndarray, codes: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The approximations' norms, and cosine and sine of the angles between them and the rows, which have unit length."""
+    near = np.zeros(x.shape)
+    for i, book in enumerate(books):
+        near += book[codes[:, i]]
+    norm = np.sqrt((near * near).sum(axis=1))
+    near /= np.maximum(norm, 1e-300)[:, None]
+    cosine = (x * near).sum(axis=1)
+    off = x - cosine[:, None] * near
+    return norm, cosine, np.sqrt((off * off).sum(axis=1))
+
+
+def bounds(near: np.ndarray, room: np.ndarray, cosine: np.ndarray, sine: np.ndarray) -> np.ndarray:
+    """Above every cosine that can go with the looked-up ``near``, which rounding moved by at most ``room``: that of the angle to
+    the approximation less the angle between it and the row."""
+    near = np.clip(near + room, -1, 1)
+    return np.where(near >= cosine, 1, near * cosine + np.sqrt(1 - near * near) * sine) + np.float32(4e-6)
 
 
 def distinct_vectors(rows: DataFrame, ids: int) -> DataFrame:
@@ -103,78 +134,93 @@ def distinct_vectors(rows: DataFrame, ids: int) -> DataFrame:
 
 
 def build_index(entries: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """Every entry with its codes and norm, as a written table, and the codebooks."""
+    """Every entry with its codes and how well they fit, as a written table, and the codebooks."""
     sample = entries.select("v", "h").orderBy("h", "v").limit(SAMPLE).select("v").toArrow()
-    books = fit(unit(rows_of(sample.column(0).combine_chunks())))
+    books = fit(unit(rows_of(sample.column(0).combine_chunks())).astype(np.float32))
     shared = entries.sparkSession.sparkContext.broadcast(books)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                codes, norms = encode(unit(rows_of(batch.column(1))), shared.value)
-                yield pa.record_batch([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], names=["h", "v", "names", "codes", "norm"])
+                x = unit(rows_of(batch.column(0)))
+                codes = encode(x.astype(np.float32), shared.value)
+                kept = [pa.array(c.astype(np.float32)) for c in fits(x, codes, shared.value)]
+                yield pa.record_batch([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), *kept], names=["v", "names", "codes", "norm", "cosine", "sine"])
 
-    coded = entries.select("h", "v", "names").mapInArrow(run, "h long, v array<double>, names array<long>, codes binary, norm float")
+    coded = entries.select("v", "names").mapInArrow(run, "v array<double>, names array<long>, codes binary, norm float, cosine float, sine float")
     return written(coded, "index"), books
 
 
-def short_lists(index: DataFrame, books: np.ndarray, ids: np.ndarray, queries: np.ndarray, size: int) -> DataFrame:
-    """(query_id, h, first): the entries of each query's short list, by looked-up scores over all entries; ``first`` is an entry's smallest id."""
-    shared = index.sparkSession.sparkContext.broadcast((books, ids, unit(queries)))
+class Chunk:
+    """Some entries of the index and what scores them for queries."""
+
+    def __init__(self, table: pa.Table, ids: np.ndarray, queries: np.ndarray, best: Best):
+        self.ids, self.queries, self.best = ids, queries, best
+        self.v = levelled(rows_of(table.column("v").combine_chunks()))
+        self.size, self.asked = np.sqrt((self.v * self.v).sum(axis=1)), np.sqrt((queries * queries).sum(axis=1))
+        names = table.column("names").combine_chunks()
+        self.names, self.count = names.flatten().to_numpy(), names.value_lengths().to_numpy()
+        self.first = np.cumsum(self.count) - self.count
+
+    def rescore(self, q: np.ndarray, at: np.ndarray) -> None:
+        """Exact cosines of queries ``q`` and entries ``at``, for every id of an entry but the query's own."""
+        step = max(1, PRODUCTS // self.v.shape[1])
+        for start in range(0, len(q), step):
+            x, y = q[start : start + step], at[start : start + step]
+            score = (self.queries[x] * self.v[y]).sum(axis=1) / (self.asked[x] * self.size[y])
+            full, kth = self.best.full_kth()
+            good = ~full[x] | (score >= kth[x])
+            x, y, score = x[good], y[good], score[good]
+            each = np.repeat(np.arange(len(y)), self.count[y])
+            names = self.names[np.arange(len(each)) + (self.first[y] - np.cumsum(self.count[y]) + self.count[y])[each]]
+            other = names != self.ids[x][each]
+            if other.any():
+                self.best.add(x[each][other], score[each][other], names[other])
+
+    def check(self, q: slice, open_: np.ndarray) -> None:
+        """Scores what is marked in ``open_`` (queries, entries), where products of unit vectors come up to the k-th score."""
+        full, kth = self.best.full_kth()
+        some, rounding = np.flatnonzero(open_.any(axis=0)), (self.v.shape[1] + 8) * 2.0**-52
+        near = (self.queries[q] / self.asked[q, None]) @ (self.v[some] / self.size[some, None]).T
+        x, y = np.nonzero(open_[:, some] & (~full[q, None] | (near >= kth[q, None] - rounding)))
+        self.rescore(x + q.start, some[y])
+
+
+def search(index: DataFrame, books: np.ndarray, ids: np.ndarray, queries: np.ndarray, size: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score): each task's k nearest of each query. In each chunk first the short list is scored, then what its k-th score leaves open."""
+    shared = index.sparkSession.sparkContext.broadcast((books, ids, levelled(queries)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books, ids, asked = shared.value
-        best = np.full((len(ids), 0), -np.inf, dtype=np.float32)
-        who = np.zeros((len(ids), 0), dtype=np.int32)
-        hashes, firsts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        for chunk in chunks(batches, CHUNK):
-            codes = np.frombuffer(b"".join(chunk.column(2).to_pylist()), dtype=np.uint8).reshape(-1, len(books)).astype(np.int64)
-            norm, base = np.maximum(chunk.column(3).to_numpy(), 1e-12), len(hashes)
-            hashes, firsts = np.concatenate([hashes, chunk.column(0).to_numpy()]), np.concatenate([firsts, chunk.column(1).to_numpy()])
-            keep = min(size, best.shape[1] + len(norm))
-            nearest, names = np.empty((len(ids), keep), dtype=np.float32), np.empty((len(ids), keep), dtype=np.int32)
-            for start in range(0, len(ids), 128):
-                q = slice(start, start + 128)
+        books, ids, queries = shared.value
+        best, asked = Best(len(ids), k, np.float64), unit(queries).astype(np.float32)
+        rounding = (len(books) + books.shape[2]) * 2.0**-23 * np.sqrt((books * books).sum(axis=2)).max(axis=1).sum()
+        for table in chunks(batches, CHUNK):
+            chunk = Chunk(table, ids, queries, best)
+            codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), dtype=np.uint8).reshape(-1, len(books)).astype(np.int64)
+            norm, cosine, sine = (np.maximum(table.column(c).to_numpy(), least) for c, least in (("norm", np.float32(1e-12)), ("cosine", np.float32(-1)), ("sine", np.float32(0))))
+            room = np.minimum(rounding / norm, 2).astype(np.float32)
+            keep = min(size, len(norm))
+            for start in range(0, len(ids), QUERIES_AT_ONCE):
+                q = slice(start, min(start + QUERIES_AT_ONCE, len(ids)))
                 near = sum(np.take(asked[q] @ book.T, codes[:, i], axis=1) for i, book in enumerate(books)) / norm
-                near = np.concatenate([best[q], near], axis=1)
+                most = bounds(near, room, cosine, sine)
+                full, kth = best.full_kth()
+                open_ = ~full[q, None] | (most >= kth[q, None])
                 at = np.argpartition(-near, keep - 1, axis=1)[:, :keep]
-                nearest[q] = np.take_along_axis(near, at, 1)
-                names[q] = np.where(at < best.shape[1], np.take_along_axis(who[q], np.minimum(at, best.shape[1] - 1), 1) if best.shape[1] else 0, at - best.shape[1] + base)
-            best, who = nearest, names
-            # only entries that some query still holds are remembered
-            used, who = np.unique(who, return_inverse=True)
-            hashes, firsts, who = hashes[used], firsts[used], who.reshape(best.shape).astype(np.int32)
-        for start in range(0, len(ids) if best.shape[1] else 0, 64):
-            part = who[start : start + 64]
-            yield pa.record_batch([pa.array(np.repeat(ids[start : start + 64], part.shape[1])), pa.array(hashes[part].ravel()), pa.array(firsts[part].ravel()), pa.array(best[start : start + 64].ravel())], names=["query_id", "h", "first", "near"])
-
-    found = index.select("h", F.col("names")[0].alias("first"), "codes", "norm").mapInArrow(run, "query_id long, h long, first long, near float")
-    order = Window.partitionBy("query_id").orderBy(F.desc("near"), "first", "h")
-    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size).select("query_id", "h", "first")
-
-
-def rescored(index: DataFrame, listed: DataFrame, ids: np.ndarray, queries: np.ndarray) -> DataFrame:
-    """(query_id, vec_id, score): exact cosines of the short lists, with every id of an entry but the query's own."""
-    shared = index.sparkSession.sparkContext.broadcast((ids, queries, np.sqrt((queries * queries).sum(axis=1))))
-    rows = listed.join(index.select("h", F.col("names")[0].alias("first"), "v", "names"), ["h", "first"]).select("query_id", "v", "names")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, queries, size = shared.value
-        order = np.argsort(ids)
-        for batch in batches:
-            asked = order[np.searchsorted(ids[order], batch.column(0).to_numpy())]
-            v = rows_of(batch.column(1))
-            score = (queries[asked] * v).sum(axis=1) / (size[asked] * np.sqrt((v * v).sum(axis=1)))
-            each = np.repeat(np.arange(len(asked)), np.diff(batch.column(2).offsets.to_numpy()))
-            names = batch.column(2).flatten().to_numpy()
-            other = names != ids[asked][each]
-            yield pa.record_batch([pa.array(ids[asked][each][other]), pa.array(names[other]), pa.array(score[each][other])], names=["query_id", "vec_id", "score"])
+                x, y = np.nonzero(np.take_along_axis(open_, at, 1))
+                chunk.rescore(x + start, at[x, y])
+                np.put_along_axis(open_, at, False, 1)
+                full, kth = best.full_kth()
+                open_ &= ~full[q, None] | (most >= kth[q, None])
+                chunk.check(q, open_)
+        x, y = np.nonzero(np.arange(k) < best.n[:, None])
+        yield pa.record_batch([pa.array(ids[x]), pa.array(best.ids[x, y]), pa.array(best.score[x, y])], names=["query_id", "vec_id", "score"])
 
-    return rows.mapInArrow(run, "query_id long, vec_id long, score double")
+    return index.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, every: int = EVERY, k: int = NEAREST, shortlist: int = SHORTLIST) -> DataFrame:
-    """query_id, rank, vec_id and score: the k nearest found for each row whose vec_id is divisible by ``every``."""
+    """query_id, rank, vec_id and score: the k nearest for each row whose vec_id is divisible by ``every``."""
     rows = usable(vectors, nonzero=True)
     parts = [_nearest(rows.where(F.size("v") == d), every, k, shortlist) for d in lengths(rows)]
     return reduce(DataFrame.unionByName, parts) if parts else vectors.sparkSession.createDataFrame([], FOUND)
@@ -183,10 +229,10 @@ def nearest(vectors: DataFrame, every: int = EVERY, k: int = NEAREST, shortlist:
 def _nearest(rows: DataFrame, every: int, k: int, shortlist: int) -> DataFrame:
     index, books = build_index(written(distinct_vectors(rows, k + 1), "entries"))
 
-    def search(ids: np.ndarray, queries: np.ndarray) -> DataFrame:
-        return ranked(rescored(index, short_lists(index, books, ids, queries, shortlist), ids, queries), k)
+    def found(ids: np.ndarray, queries: np.ndarray) -> DataFrame:
+        return ranked(search(index, books, ids, queries, shortlist, k), k)
 
-    return in_query_blocks(rows, F.col("vec_id") % every == 0, search, FOUND)
+    return in_query_blocks(rows, F.col("vec_id") % every == 0, found, FOUND)
 
 
 def op4_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:

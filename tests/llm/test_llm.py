@@ -244,6 +244,42 @@ def test_ann_recall_on_ten_thousand_vectors(spark):
     assert hit / 500 >= 0.9
 
 
+@pytest.mark.parametrize("spread", [3e-5, 0.3, 1e150])
+def test_ann_misses_nothing_whatever_the_rows(spark, spread):
+    """Groups of 800 vectors closer together than looked-up scores can tell, of 64 loose ones, and sizes whose squares overflow or vanish."""
+    rng = np.random.RandomState(11)
+    if spread == 1e150:
+        x = rng.randn(600, 16) * 10.0 ** rng.choice([-200, 0, 200], 600)[:, None]
+    else:
+        x = (rng.randn(4 if spread < 0.1 else 50, 64)[np.arange(3200) % (4 if spread < 0.1 else 50)] + spread * rng.randn(3200, 64)).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, every=50).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    u = x / np.abs(x).max(axis=1, keepdims=True)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    assert sorted(got) == list(range(0, len(x), 50))
+    for q, found in got.items():
+        s = u @ u[q]
+        s[q] = -9
+        assert sorted(found) == [1, 2, 3, 4, 5]
+        assert all(abs(s[k] - score) < 1e-14 for k, score in found.values())
+        assert np.allclose([found[r][1] for r in range(1, 6)], np.sort(s)[:-6:-1], rtol=0, atol=1e-14)
+
+
+def test_ann_bounds_lie_above_all_cosines():
+    rng = np.random.RandomState(3)
+    for spread in (1.0, 0.1, 1e-4):
+        x = ann.unit(rng.randn(3, 24)[rng.randint(0, 3, 1500)] + spread * rng.randn(1500, 24))
+        books = ann.fit(x[:300].astype(np.float32))
+        codes = ann.encode(x.astype(np.float32), books)
+        norm, cosine, sine = (c.astype(np.float32) for c in ann.fits(x, codes, books))
+        near = sum(np.take(x[:50].astype(np.float32) @ book.T, codes[:, i], axis=1) for i, book in enumerate(books)) / norm
+        most = ann.bounds(near, np.float32(1e-4), cosine, sine)
+        assert (most >= x[:50] @ x.T).all()
+        assert spread < 1 or (most < 1).mean() > 0.5
+
+
 def test_vector_searches_on_odd_rows(spark):
     """Repeated ids, columns with clashing names, vectors of two lengths."""
     rows = [(0, [1.0, 0.0], 0), (0, [1.0, 0.0], 0), (1, [1.0, 1.0], 0), (1, [1.0, 1.0], 0), (2, [0.0, 2.0], 0), (3, [1.0], 0), (20, [2.0], 0), (21, [-1.0], 0)]
