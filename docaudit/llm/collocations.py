@@ -16,11 +16,16 @@ them share one, all is hashed anew with another seed. (Within a block, equal has
 Defined results: null texts are empty; rows without language belong to ``und``; doc_id is not read; repeated rows count each
 time; ties are ranked by phrase in byte order; an empty table gives no rows; other columns are ignored. A text longer than a
 block is cut between pieces; a single piece stays whole, so a task's memory grows with the longest piece.
+
+Rows of texts and blocks are long, so that Spark's usual batches of them for Python (10,000 rows) and Parquet's usual pages (100
+rows before the first look at their size) hold tens of megabytes, several times in each task and outside the heap. Here both
+are a few rows (``TEXTS``, ``BLOCKS``), whatever the size of a task; blocks are joined across batches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -38,8 +43,13 @@ SHARE = 50
 TOP = 2000
 BLOCK_BYTES = 1 << 19
 BITS = 26
-#: Rows of counts that a task holds before it hands them on.
+#: Rows of counts that a task holds before it hands them on, and rows of these in a batch.
 HELD = 1 << 18
+HANDED = 1 << 15
+#: Rows in a batch for Python: of texts, of blocks.
+TEXTS, BLOCKS = 256, 8
+#: Bytes of texts of all languages that a task holds until they make blocks, in blocks.
+OPEN_BLOCKS = 8
 LONG_WORD = 64
 SALTS = 64
 NO_LANGUAGE = "und"
@@ -122,24 +132,47 @@ def _cut(text: bytes) -> Iterator[bytes]:
         yield text[at:]
 
 
-def blocks(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
-    """(language, text) of the rows (lang, text) of a batch, joined to blocks by language."""
+def blocks(*batches: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
+    """(language, text) of the rows (lang, text) of batches, joined to blocks by language."""
+    return joined_blocks(iter(batches))
+
+
+def joined_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    """``blocks`` of batches that come one by one. Where many languages meet, the largest open block goes before it is full."""
     held: dict[str, list[bytes]] = {}
     sizes: dict[str, int] = {}
-    for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-        if not text.is_valid:
-            continue
-        for part in _cut(text.as_buffer().to_pybytes()):
-            if held.get(lang) and sizes[lang] + len(part) > BLOCK_BYTES:
-                yield lang, b"\n".join(held.pop(lang))
-            if lang not in held:
-                held[lang], sizes[lang] = [], 0
-            held[lang].append(part)
-            sizes[lang] += len(part) + 1
+    total = 0
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if not text.is_valid:
+                continue
+            for part in _cut(text.as_buffer().to_pybytes()):
+                if held.get(lang) and sizes[lang] + len(part) > BLOCK_BYTES:
+                    total -= sizes.pop(lang)
+                    yield lang, b"\n".join(held.pop(lang))
+                held.setdefault(lang, []).append(part)
+                sizes[lang] = sizes.get(lang, 0) + len(part) + 1
+                total += len(part) + 1
+                if total > OPEN_BLOCKS * BLOCK_BYTES:
+                    largest = max(sizes, key=sizes.__getitem__)
+                    total -= sizes.pop(largest)
+                    yield largest, b"\n".join(held.pop(largest))
     for lang, parts in held.items():
         yield lang, b"\n".join(parts)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, what runs hands Python at most ``rows`` rows at once, or as many as the session says if these are fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(usual)) if int(usual) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, usual)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), F.col("text").cast("string").alias("text"))
 
@@ -155,18 +188,18 @@ def word_counts(docs: DataFrame) -> tuple[DataFrame, int]:
     while True:
 
         def run(batches: Iterator[pa.RecordBatch], turn: int = turn) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for lang, text in blocks(batch):
-                    words = Words(text, seed_of(lang, turn), check=True)
-                    by_hash = np.lexsort((words.second, words.hash))
-                    h, second = words.hash[by_hash], words.second[by_hash]
-                    new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (second[1:] != second[:-1])])) if len(h) else by_hash
-                    n = np.diff(np.append(new, len(h)))
-                    found = pa.array(words.at(by_hash[new]), pa.binary()).cast(pa.string())
-                    yield pa.record_batch([pa.array([lang] * len(new), pa.string()), found, _signed(h[new]), pa.array(n, pa.int64())], schema=schema)
+            for lang, text in joined_blocks(batches):
+                words = Words(text, seed_of(lang, turn), check=True)
+                by_hash = np.lexsort((words.second, words.hash))
+                h, second = words.hash[by_hash], words.second[by_hash]
+                new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (second[1:] != second[:-1])])) if len(h) else by_hash
+                n = np.diff(np.append(new, len(h)))
+                found = pa.array(words.at(by_hash[new]), pa.binary()).cast(pa.string())
+                yield pa.record_batch([pa.array([lang] * len(new), pa.string()), found, _signed(h[new]), pa.array(n, pa.int64())], schema=schema)
 
         counted = _texts(docs).mapInArrow(run, "lang string, word string, h long, n long").groupBy("h", "lang", "word").agg(F.sum("n").alias("n"))
-        counted = written(counted, "words")
+        with batches_of(docs.sparkSession, TEXTS):
+            counted = written(counted, "words")
         if counted.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
             return counted, turn
         turn += 1
@@ -207,14 +240,24 @@ def relation(ids: np.ndarray, joined: np.ndarray) -> np.ndarray:
     return out
 
 
-_BLOCK = "phrases array<long>, ids array<int>"
+_BLOCK = "phrases binary, ids binary"
+
+
+def _number_type(phrases: int) -> str:
+    """Of the numbers of so many phrases, and of 0 for none."""
+    return "<u2" if phrases < 1 << 16 else "<u4"
 
 
 def _rows(phrases: list[np.ndarray], ids: np.ndarray) -> pa.RecordBatch:
-    """One block: the hashes of each phrase, one after the other, and the occurrences."""
-    flat = np.stack(phrases, axis=1).reshape(-1) if len(phrases) else np.empty(0, dtype=np.uint64)
-    lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (_signed(flat), pa.array(ids, pa.int32()))]
-    return pa.record_batch(lists, names=["phrases", "ids"])
+    """One block: the hashes of each phrase, one after the other, and the occurrences, each as bytes."""
+    flat = np.stack(phrases, axis=1).astype("<u8", copy=False)
+    return pa.record_batch([pa.array([flat.tobytes()], pa.binary()), pa.array([(ids + 1).astype(_number_type(len(flat))).tobytes()], pa.binary())], names=["phrases", "ids"])
+
+
+def relation_written(blocks_of: DataFrame, name: str, rows: int) -> DataFrame:
+    """Write a relation that is made from batches of ``rows`` rows, in pages of few blocks."""
+    with batches_of(blocks_of.sparkSession, rows):
+        return written(blocks_of, name, **{"parquet.page.size.row.check.min": BLOCKS, "parquet.page.row.count.limit": BLOCKS, "parquet.block.size": 16 * BLOCK_BYTES})
 
 
 def _used(phrases: list[np.ndarray], ids: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -231,22 +274,21 @@ def occurrences(docs: DataFrame, frequent: np.ndarray, turn: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        for batch in batches:
-            for lang, text in blocks(batch):
-                words = Words(text, seed_of(lang, turn))
-                at = np.flatnonzero(among(bits, words.hash))
-                known, ids = np.unique(words.hash[at], return_inverse=True)
-                piece = words.piece[at]
-                ids = relation(ids.astype(np.int32), (at[1:] == at[:-1] + 1) & (piece[1:] == piece[:-1]))
-                if len(ids):
-                    yield _rows(*_used([known], ids))
+        for lang, text in joined_blocks(batches):
+            words = Words(text, seed_of(lang, turn))
+            at = np.flatnonzero(among(bits, words.hash))
+            known, ids = np.unique(words.hash[at], return_inverse=True)
+            piece = words.piece[at]
+            ids = relation(ids.astype(np.int32), (at[1:] == at[:-1] + 1) & (piece[1:] == piece[:-1]))
+            if len(ids):
+                yield _rows(*_used([known], ids))
 
     return _texts(docs).mapInArrow(run, _BLOCK)
 
 
 def _joined(phrases: np.ndarray, ids: np.ndarray, width: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Merge-join of a block with itself by adjacent position: the hashes of each longer phrase, how often it occurs, and its number at each position (-1: none)."""
-    words = phrases.view(np.uint64).reshape(-1, width)
+    words = phrases.reshape(-1, width)
     a, b = ids[:-1].astype(np.int64), ids[1:].astype(np.int64)
     both = (a >= 0) & (b >= 0)
     found, numbers, n = np.unique(a[both] * len(words) + b[both], return_inverse=True, return_counts=True)
@@ -256,10 +298,11 @@ def _joined(phrases: np.ndarray, ids: np.ndarray, width: int) -> tuple[list[np.n
     return [*words[first].T, words[last, width - 1]], n, at
 
 
-def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _each(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for batch in batches:
         for phrases, ids in zip(batch.column(0), batch.column(1)):
-            yield phrases.values.to_numpy(), ids.values.to_numpy()
+            flat = np.frombuffer(phrases.as_py(), dtype="<u8")
+            yield flat, np.frombuffer(ids.as_py(), dtype=_number_type(len(flat) // width)).astype(np.int32) - 1
 
 
 def _summed(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -279,22 +322,23 @@ def phrase_counts(blocks_of: DataFrame, width: int, min_count: int) -> DataFrame
         held: list[tuple[list[np.ndarray], np.ndarray]] = []
         size = 0
 
-        def out() -> pa.RecordBatch:
+        def out() -> Iterator[pa.RecordBatch]:
             columns = [np.concatenate(c) for c in zip(*(c for c, _ in held))]
             columns, n = _summed(columns, np.concatenate([n for _, n in held]))
             held.clear()
-            return pa.record_batch([*map(_signed, columns), pa.array(n, pa.int64())], names=[*names, "a"])
+            for i in range(0, len(n), HANDED):
+                yield pa.record_batch([*(_signed(c[i : i + HANDED]) for c in columns), pa.array(n[i : i + HANDED], pa.int64())], names=[*names, "a"])
 
-        for phrases, ids in _each(batches):
+        for phrases, ids in _each(batches, width):
             columns, n, _ = _joined(phrases, ids, width)
             if len(n):
                 held.append((columns, n))
                 size += len(n)
             if size > HELD:
-                yield out()
+                yield from out()
                 size = 0
         if held:
-            yield out()
+            yield from out()
 
     counted = blocks_of.mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", a long")
     return counted.groupBy(*names).agg(F.sum("a").alias("a")).where(F.col("a") >= min_count)
@@ -305,7 +349,7 @@ def extended(blocks_of: DataFrame, width: int, frequent: np.ndarray) -> DataFram
     shared = blocks_of.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for phrases, ids in _each(batches):
+        for phrases, ids in _each(batches, width):
             columns, n, at = _joined(phrases, ids, width)
             if not len(n):
                 continue
@@ -357,11 +401,12 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WO
     words, turn = word_counts(docs)
     frequent = words.where(F.col("n") >= min_count)
     counts = [frequent.select(F.col("h").alias("h0"), "lang", F.col("word").alias("phrase"), F.col("n").alias("a"))]
-    found = written(occurrences(docs, bitmap(frequent, ["h"]), turn), "occurrences-1")
+    found = relation_written(occurrences(docs, bitmap(frequent, ["h"]), turn), "occurrences-1", TEXTS)
     for width in range(1, max_words):
-        counts.append(written(phrase_counts(found, width, min_count), f"counts-{width + 1}"))
+        with batches_of(docs.sparkSession, BLOCKS):
+            counts.append(written(phrase_counts(found, width, min_count), f"counts-{width + 1}"))
         if width + 1 < max_words:
-            found = written(extended(found, width, bitmap(counts[-1], [f"h{i}" for i in range(width + 1)])), f"occurrences-{width + 1}")
+            found = relation_written(extended(found, width, bitmap(counts[-1], [f"h{i}" for i in range(width + 1)])), f"occurrences-{width + 1}", BLOCKS)
     order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
     rows = candidates(counts, share).withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
     # a language may hold most phrases, so the first of each share of them are found before the first of all

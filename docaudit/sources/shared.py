@@ -37,11 +37,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back, so that a lost executor costs no recomputation and the plan starts afresh."""
+def written(df: DataFrame, name: str, **options: object) -> DataFrame:
+    """Write ``df`` as a table in the shared folder, with ``options`` of its writer, and read it back, so that a lost executor costs no recomputation and the plan starts afresh."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
